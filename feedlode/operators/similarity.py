@@ -18,6 +18,8 @@ from feedlode.operators.rows import exclude_explicit
 BLOCK_BYTES = 64 << 20
 # Largest set of targets handed to the tasks from the driver; beyond it they are shuffled.
 BROADCAST_BYTES = 64 << 20
+# Cosines are compared to this many decimals.
+DIGITS = 12
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -35,6 +37,8 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def _best(ids: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of one target, undefined ones left out; equal cosines by id."""
+    # Equal vectors can differ in the last bits of their cosine.
+    cosines = cosines.round(DIGITS)
     known = ~np.isnan(cosines)
     ids, cosines = ids[known], cosines[known]
     order = np.lexsort((ids, -cosines))[:k]
@@ -159,7 +163,7 @@ class _RunningBest:
             self._merge(ids[start : start + step], units[start : start + step])
 
     def _merge(self, ids: np.ndarray, units: np.ndarray) -> None:
-        cosines = self.units @ units.T
+        cosines = (self.units @ units.T).round(DIGITS)
         cosines[self.target_ids[:, None] == ids[None, :]] = np.nan
         cosines = np.concatenate([self.cosines, np.where(np.isnan(cosines), -np.inf, cosines)], 1)
         all_ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(self.units), len(ids)))], 1)

@@ -74,11 +74,11 @@ SCORE = " + ".join(
     ]
 )
 
-ANALYSED = f"""{POSTS},
-texts AS (
-  SELECT *, lower(title || ' ' || content) AS t, {clean('title')} AS ct, {clean('content')} AS cc,
-         {hits("title || ' ' || content")} AS kw
-  FROM posts),
+KEYWORDED = f"""{POSTS},
+found AS (SELECT *, {hits("title || ' ' || content")} AS kw FROM posts)"""
+
+ANALYSIS = f"""texts AS (
+  SELECT *, lower(title || ' ' || content) AS t, {clean('title')} AS ct, {clean('content')} AS cc FROM found),
 analysed AS (
   SELECT *,
     CASE WHEN ct <> '' THEN ct
@@ -92,6 +92,8 @@ analysed AS (
     {lit(fixed.HEURISTIC_MODEL)} AS analysis_model
   FROM texts)"""
 
+ANALYSED = f"{KEYWORDED}, {ANALYSIS}"
+
 
 def without_noise(x: str) -> str:
     for phrase in fixed.NOISE_PHRASES:
@@ -105,8 +107,7 @@ def ordered_set(x: str) -> str:
 
 STOP = lst(fixed.STOP_WORDS)
 
-CLUSTERED = f"""{ANALYSED},
-labelled AS (
+CLUSTERING = f"""labelled AS (
   SELECT *, CASE WHEN length({clean('core_pain_point')}) > 120
                  THEN {trim(f"left({clean('core_pain_point')}, 120)")} || '...'
                  ELSE {clean('core_pain_point')} END AS label
@@ -135,6 +136,8 @@ clustered AS (
   SELECT *, CASE WHEN label = '' THEN replace(cluster_key, '::', ' / ') ELSE label END AS cluster_label
   FROM keyed)"""
 
+CLUSTERED = f"{ANALYSED}, {CLUSTERING}"
+
 EMBEDDING_TEXT = clean(
     "platform || chr(10) || channel || chr(10) || title || chr(10) || core_pain_point || chr(10) || "
     "current_workaround || chr(10) || saas_feasibility || chr(10) || content || chr(10) || "
@@ -202,17 +205,20 @@ FROM {rows} GROUP BY cluster_key
 ORDER BY insight_count DESC, average_score DESC, latest_seen_at DESC, cluster_key LIMIT {limit}"""
 
 
-def post_rows(
+def shaped(
     platform: str, channel: str, kind: str, content: str, id_: str = "id", url: str = "url",
-    author: str = "''", searched: str | None = None, where: str = "TRUE",
+    author: str = "''", searched: str | None = None,
 ) -> str:
     """Posts a parser should give for the documents, with the keywords found."""
-    return f"""WITH {POSTS}, shaped AS (
-  SELECT {id_} AS id, {platform} AS platform, {channel} AS channel, '{kind}' AS content_kind,
-    {clean('title')} AS title, {url} AS url, {author} AS author, published_at,
-    {content} AS content, {hits(f"title || ' ' || {searched or content}")} AS found FROM posts)
+    return f"""SELECT {id_} AS id, {platform} AS platform, {channel} AS channel, '{kind}' AS content_kind,
+    {clean('title')} AS title, {url} AS url, {author} AS author, published_at, doc_id,
+    {content} AS content, {hits(f"title || ' ' || {searched or content}")} AS found FROM posts"""
+
+
+def post_rows(spec: dict[str, str]) -> str:
+    return f"""WITH {POSTS}, shaped AS ({shaped(**spec)})
 SELECT id, platform, channel, content_kind, title, url, author, published_at,
-  {bar('found')} AS matched_keywords, md5(content) AS content_md5 FROM shaped WHERE {where}"""
+  {bar('found')} AS matched_keywords, md5(content) AS content_md5 FROM shaped WHERE {MATCHED}"""
 
 
 MATCHED = "len(found) > 0"
@@ -258,7 +264,7 @@ tokens AS (
          THEN list_filter(regexp_extract_all(replace(p, ' ', ''), '(?s)..?'),
                           lambda w: NOT list_contains({STOP}, w))[1:5] ELSE []::VARCHAR[] END))) AS token
   FROM plain),
-words AS (SELECT DISTINCT token FROM tokens),
+words AS (SELECT token FROM tokens UNION SELECT unnest(['license', 'of', 'data'])),
 hashed AS (
   SELECT token, list_reduce(
     list_concat([14695981039346656037::UHUGEINT],
@@ -358,14 +364,20 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY c DESC, id) AS rank FROM pairs)
 SELECT target_id, id, round(greatest(0, c), 4) AS similarity, rank FROM ranked WHERE rank <= 8"""
 
-# Bucket and sign of the three tokens of the query text that are no stop words.
+# The query text has three tokens that are no stop words.
 SEARCH = f"""WITH {TOKENS},
 query AS (SELECT bucket, sum(s)::DOUBLE AS n FROM signed WHERE token IN ('license', 'of', 'data') GROUP BY bucket),
-missing AS (SELECT 3 - count(*) AS n FROM signed WHERE token IN ('license', 'of', 'data')),
-dots AS (SELECT doc_id, sum(CASE WHEN q.n IS NULL THEN 0 ELSE x * q.n END) AS d, sqrt(sum(x * x)) AS n
-  FROM parts LEFT JOIN query q USING (bucket) GROUP BY doc_id),
-scored AS (SELECT doc_id AS id, d / n / sqrt((SELECT sum(n * n) FROM query)) AS c FROM dots)
-SELECT id, round(greatest(0, c), 4) AS similarity FROM scored ORDER BY round(c, 9) DESC, id LIMIT {TOP}"""
+dots AS (
+  SELECT doc_id, sum(x * COALESCE(q.n, 0)) / sqrt(sum(x * x)) / sqrt((SELECT sum(n * n) FROM query)) AS c
+  FROM parts LEFT JOIN query q USING (bucket) GROUP BY doc_id)
+SELECT doc_id AS id, round(greatest(0, c), 4) AS similarity FROM dots ORDER BY round(c, 12) DESC, id LIMIT {TOP}"""
+
+FEED_ROWS = f"""WITH {POSTS}, shaped AS ({' UNION ALL '.join(shaped(**spec) for spec in PARSERS.values())}),
+found AS (SELECT *, found AS kw FROM shaped WHERE {MATCHED}), {ANALYSIS}, {CLUSTERING}
+SELECT platform, channel, content_kind, id AS source_post_id, cluster_key, core_pain_point,
+  commercial_potential, is_explicit_content, {bar('kw')} AS matched_keywords,
+  'mock-hash:256' AS embedding_model, 256::BIGINT AS dims, published_at,
+  TIMESTAMP '2024-01-01' + to_minutes({FEED}) AS created_at FROM clustered"""
 
 STATS_AT = "TIMESTAMP '2024-01-30'"
 
@@ -421,15 +433,14 @@ SELECT event_id, written, CASE event_type
 SELECT doc_id, {bar('found')} AS matched_keywords FROM k WHERE {MATCHED}""",
     "first_sentences": f"""WITH c AS (SELECT doc_id, {clean('text')} AS body FROM documents)
 SELECT doc_id, {first_sentence('body')} AS sentence FROM c""",
-    **{name: post_rows(**spec, where=MATCHED) for name, spec in PARSERS.items()},
+    **{name: post_rows(spec) for name, spec in PARSERS.items()},
     "conversation_transcripts": f"""WITH t AS (
   SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)
 SELECT conv_id::VARCHAR AS id, '{fixed.TRANSCRIPT_PLATFORM}' AS platform, '' AS channel,
   'transcript' AS content_kind, '' AS title, '' AS url, '' AS author,
   TIMESTAMP '2024-01-31' AS published_at, '' AS matched_keywords, md5({clean('body')}) AS content_md5 FROM t""",
     "union_sources": "WITH " + POSTS + ", every AS (" + " UNION ALL ".join(
-        f"SELECT '{source}' AS source, {spec['platform']} AS platform, '{spec['kind']}' AS content_kind, "
-        f"{spec['content']} AS content, {clean('title')} AS title FROM posts"
+        f"SELECT '{source}' AS source, * FROM ({shaped(**spec)})"
         for source, spec in zip(("forum", "listing", "atom", "transcript"), PARSERS.values())
     ) + """) SELECT source, platform, content_kind, count(*) AS posts,
   sum(length(content))::BIGINT AS content_chars, sum(length(title))::BIGINT AS title_chars FROM every GROUP BY ALL""",
@@ -460,6 +471,8 @@ SELECT doc_id, 256::BIGINT AS dims, COALESCE(filled, 0) AS filled, COALESCE(tota
     "semantic_search": nearest(1, "TRUE"),
     "similar_insights": nearest(2, "a.id <> 2"),
     "similar_bulk": BULK,
+    "search_text": SEARCH,
+    "run_feed": FEED_ROWS,
     "dedup_ttl": TTL,
     "dedup_stream": TTL,
     "upsert_latest": UPSERTED,
