@@ -25,6 +25,16 @@ def instant(value: datetime | Column) -> Column:
     return F.timestamp_micros(F.lit(micros).cast("bigint"))
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter on columns that are costly to work out.
+
+    A plain filter moves below the projection it reads from and repeats the projection's
+    expressions there, once per mention; a row generator in between keeps them apart.
+    """
+    marked = df.select("*", F.explode_outer(F.when(condition, F.array(F.lit(True)))).alias("_keep"))
+    return marked.filter(F.col("_keep").isNotNull()).drop("_keep")
+
+
 def clean_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Strip tags and collapse blanks in the given columns."""
     return df.withColumns({c: clean(F.col(c)) for c in cols})
@@ -50,7 +60,7 @@ def match_keywords(
     """Keep rows that mention a keyword and list those found; without keywords keep all."""
     matched = df.withColumn(out, keyword_hits([F.col(c) for c in cols], keywords))
     # A list of blanks only is still a list: it matches nothing.
-    return matched.filter(F.size(out) > 0) if keywords else matched
+    return keep_where(matched, F.size(out) > 0) if keywords else matched
 
 
 def exclude_explicit(df: DataFrame, flag: str = "is_explicit_content") -> DataFrame:
@@ -64,6 +74,6 @@ def since(df: DataFrame, ts: str, hours: int, as_of: datetime | Column) -> DataF
 
 
 __all__ = [
-    "assign_post_id", "clean_text", "exclude_explicit", "instant", "match_keywords",
+    "assign_post_id", "clean_text", "exclude_explicit", "instant", "keep_where", "match_keywords",
     "parse_times", "since", "usable_keywords",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from feedlode.functions.fixed_values import KIND_POST
 from feedlode.functions.text import default_text, text_or_empty
-from feedlode.operators.rows import assign_post_id, instant
+from feedlode.operators.rows import assign_post_id, instant, keep_where
 from feedlode.schema import POST_COLUMNS, QUEUE_SCHEMA
 from feedlode.sources.payloads import Parsed
 
@@ -44,8 +44,8 @@ def from_queue(messages: DataFrame) -> Parsed:
         for c in POST_COLUMNS
     ]
     return Parsed(
-        read.filter(~bad).select(*columns),
-        read.filter(bad).select("key", "value", F.lit("undecodable message").alias("error")),
+        keep_where(read, ~bad).select(*columns),
+        keep_where(read, bad).select("key", "value", F.lit("undecodable message").alias("error")),
     )
 
 
