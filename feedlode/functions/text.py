@@ -9,6 +9,8 @@ from feedlode.functions.fixed_values import SENTENCE_BYTES, SENTENCE_MARKS
 
 # \s of the Java engine also takes vertical tab, so the class is written out.
 BLANKS = "[\\t\\n\\f\\r ]+"
+# A run that is not just one space: most gaps between words need no replacement.
+LOOSE_BLANKS = "[\\t\\n\\f\\r][\\t\\n\\f\\r ]*| [\\t\\n\\f\\r ]+"
 TAG = "<[^>]+>"
 NON_WORD = "[^\\p{L}\\p{N}\\t\\n\\f\\r ]+"
 
@@ -31,7 +33,7 @@ def trim_unicode(col: Column) -> Column:
 
 def clean(col: Column) -> Column:
     """Tags become a space, runs of blanks one space, ends trimmed."""
-    spaced = F.regexp_replace(F.regexp_replace(col, TAG, " "), BLANKS, " ")
+    spaced = F.regexp_replace(F.regexp_replace(col, TAG, " "), LOOSE_BLANKS, " ")
     return trim_unicode(spaced)
 
 

@@ -18,7 +18,7 @@ from feedlode.plans.tables import AS_OF, KEYWORDS
 from feedlode.session import cut_lineage, work_path
 from feedlode.sources import payloads, queue
 from feedlode.streaming import flow, live
-from feedlode.streaming.dedup import dedup_ttl_stream
+from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
 from feedlode.streaming.store import InsightStore, insight_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -329,7 +329,7 @@ def similar_bulk(spark: SparkSession, sf: str) -> DataFrame:
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     """A text query over hash vectors of all documents."""
     docs = tables.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    stored = embed.hash_embed(docs, "text")
+    stored = cut_lineage(embed.hash_embed(docs, "text").drop("text"))
     query = embed.hash_embed_query(spark, "license of the data")
     found = similarity.semantic_search(stored, query, TOP)
     return found.select("id", F.round("similarity", 4).alias("similarity"))
@@ -456,8 +456,10 @@ def dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("id"),
         F.col("ts").cast("timestamp").alias("seen_at"), "event_id",
     )
-    admitted = dedup_ttl_stream(events, ttl_seconds=TWO_DAYS, tie=["event_id"])
-    return shown(_to_parquet(spark, admitted, "dedup"))
+    folder = work_path(spark, "dedup")
+    ledger = SightingLedger(spark, f"{folder}/ledger", ttl_seconds=TWO_DAYS, tie=["event_id"])
+    _finish(dedup_ttl_stream(events, ledger, f"{folder}/checkpoint"), "dedup")
+    return shown(ledger.read().select("platform", "id", "seen_at", "event_id"))
 
 
 STORE_SCHEMA = (
@@ -515,8 +517,6 @@ def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.make_dt_interval(F.lit(0), F.lit(1))
     again = raw.withColumn("fetched_at", F.col("fetched_at") + hour)
     raw.unionByName(again).write.partitionBy("source").parquet(f"{folder}/landed")
-    landed = spark.read.parquet(f"{folder}/landed")
-    details = landed.filter(F.col("source") == payloads.FORUM_DETAIL)
     store = InsightStore(spark, f"{folder}/insights", buckets=8)
     words = {k: KEYWORDS for k in ("forum", "listing", "atom", "transcript")}
 
@@ -524,8 +524,8 @@ def run_feed(spark: SparkSession, sf: str) -> DataFrame:
         return analyze.analyze_heuristic(batch, **WORDS)
 
     writer = flow.run_feed(
-        flow.read_landed(spark, f"{folder}/landed"), store, f"{folder}/checkpoint", AS_OF, words,
-        details, analyse=analyse,
+        flow.read_landed(spark, f"{folder}/landed"), store, flow.feed_ledger(spark, f"{folder}/ledger"),
+        f"{folder}/checkpoint", AS_OF, words, analyse=analyse,
     )
     _finish(writer, "feed")
     stored = store.read().select(

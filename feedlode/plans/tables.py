@@ -12,8 +12,16 @@ KEYWORDS = ["license", "data", "worthless", "double", "that"]
 FEED_SIZE = 20
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts in fewer files than there are cores are dealt out to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def minutes_after_start(minutes: Column) -> Column:

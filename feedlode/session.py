@@ -47,12 +47,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     Survives the loss of executors; each row is worked out once, and later steps read only
-    the columns they need.
+    the columns they need. ``spark`` is the session to go on in.
     """
-    path = work_path(df.sparkSession, "cut")
+    spark = spark or df.sparkSession
+    path = work_path(spark, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
