@@ -183,3 +183,15 @@ def test_whole_feed_in_two_runs(spark):
     assert spark.read.parquet(f"{folder}/log/rejects").count() == 1
     shown = live.live_insights(store.changes().drop("version"))
     assert shown.count() == first and "embedding" not in shown.columns
+
+
+def test_store_keeps_few_manifests(spark):
+    folder = work_path(spark, "test-manifests")
+    store = InsightStore(spark, folder, ROW, buckets=1)
+    from feedlode.streaming.store import MANIFESTS
+
+    for batch in range(MANIFESTS + 2):
+        store.merge(writes(spark, ("a", batch % 24, batch, True, False)).coalesce(1), batch_id=batch)
+    assert state(store.read())["a"][1] == MANIFESTS + 1
+    manifests = spark.read.parquet(f"{folder}/manifest")
+    assert manifests.select("version").distinct().count() == MANIFESTS
