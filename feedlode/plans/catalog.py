@@ -513,7 +513,7 @@ def running_stats_stream(spark: SparkSession, sf: str) -> DataFrame:
 def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads of all four kinds, each fetched twice, through to the store; its rows."""
     folder = work_path(spark, "feed")
-    raw = tables.all_payloads(spark, sf)
+    raw = cut_lineage(tables.all_payloads(spark, sf))
     hour = F.make_dt_interval(F.lit(0), F.lit(1))
     again = raw.withColumn("fetched_at", F.col("fetched_at") + hour)
     raw.unionByName(again).write.partitionBy("source").parquet(f"{folder}/landed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedlode.operators.dedup import dedup_ttl
@@ -114,9 +115,10 @@ def test_upsert(spark):
     assert state(upsert_latest(merged, late)) == state(merged)
 
 
-def test_store(spark):
+@pytest.mark.parametrize("compact_every", [1, 2, 10])
+def test_store(spark, compact_every):
     folder = work_path(spark, "test-store")
-    store = InsightStore(spark, folder, ROW, buckets=4)
+    store = InsightStore(spark, folder, ROW, buckets=4, compact_every=compact_every)
     assert store.read().count() == 0
     store.merge(writes(spark, ("a", 1, 5, True, False), ("b", 2, 6, True, None)), batch_id=0)
     late = writes(spark, ("a", 4, 8, False, True), ("a", 3, 7, True, False), ("c", 5, 1, True, False))
@@ -137,7 +139,7 @@ def test_insight_sink_over_several_batches(spark):
     for part in range(3):
         writes(spark, ("a", part + 1, part, True, False), (str(part), part + 1, 9, True, False)).coalesce(1).write.parquet(f"{folder}/in/part={part}")
     stream = spark.readStream.schema(ROW + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in").drop("part")
-    store = InsightStore(spark, f"{folder}/store", ROW, buckets=2)
+    store = InsightStore(spark, f"{folder}/store", ROW, buckets=2, compact_every=2)
     insight_sink(stream, store, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     assert store.read().count() == 4
     assert state(store.read())["a"][0::3] == (1, 1)
@@ -185,13 +187,13 @@ def test_whole_feed_in_two_runs(spark):
     assert shown.count() == first and "embedding" not in shown.columns
 
 
-def test_store_keeps_few_manifests(spark):
+def test_store_keeps_few_manifests(spark, monkeypatch):
+    monkeypatch.setattr("feedlode.streaming.store.MANIFESTS", 2)
     folder = work_path(spark, "test-manifests")
-    store = InsightStore(spark, folder, ROW, buckets=1)
-    from feedlode.streaming.store import MANIFESTS
-
-    for batch in range(MANIFESTS + 2):
-        store.merge(writes(spark, ("a", batch % 24, batch, True, False)).coalesce(1), batch_id=batch)
-    assert state(store.read())["a"][1] == MANIFESTS + 1
-    manifests = spark.read.parquet(f"{folder}/manifest")
-    assert manifests.select("version").distinct().count() == MANIFESTS
+    store = InsightStore(spark, folder, ROW, buckets=2, compact_every=2)
+    for batch in range(5):
+        rows = writes(spark, ("a", batch, batch, True, False), (str(batch), batch, 1, True, False))
+        store.merge(rows.coalesce(1), batch_id=batch)
+    stored = state(store.read())
+    assert stored["a"] == (0, 4, [1.0], 0) and len(stored) == 6
+    assert spark.read.parquet(f"{folder}/manifest").select("version").distinct().count() == 2
