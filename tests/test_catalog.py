@@ -6,7 +6,10 @@ import pytest
 
 import __spark_entry__ as contract
 from feedlode.plans import catalog
+from feedlode.plans.tables import AS_OF
 from feedlode.plans.twins import SQL
+from feedlode.schema import RAW_SCHEMA
+from feedlode.sources.payloads import parse_atom
 from tests.compare import compare, connect
 from tests.conftest import SMALL
 
@@ -39,4 +42,9 @@ def test_plans(spark):
     stats = plan(catalog.insight_stats(spark, SMALL))
     # Only the columns that count are read, and the rows once.
     assert stats.count("FileScan") == 1 and "props" not in stats
-    assert plan(catalog.parse_atom(spark, SMALL)).count("from_xml") == 1
+    # Each payload is read once, and not carried along with every entry.
+    raw = spark.createDataFrame([], RAW_SCHEMA)
+    atom = plan(parse_atom(raw, AS_OF, ["a"]).posts)
+    assert atom.count("from_xml") == 1
+    spread = [line for line in atom.splitlines() if "Generate explode" in line]
+    assert all("_read" not in line.split("END), ")[1] for line in spread)
