@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlode.functions.ids import post_id
-from feedlode.functions.keywords import keyword_hits, usable_keywords
+from feedlode.functions.keywords import keyword_hits
 from feedlode.functions.text import clean
 from feedlode.functions.timeparse import parse_time
 
@@ -75,5 +75,5 @@ def since(df: DataFrame, ts: str, hours: int, as_of: datetime | Column) -> DataF
 
 __all__ = [
     "assign_post_id", "clean_text", "exclude_explicit", "instant", "keep_where", "match_keywords",
-    "parse_times", "since", "usable_keywords",
+    "parse_times", "since",
 ]
