@@ -6,16 +6,17 @@ the last token of the prefix before it is kept. Going back from the end by token
 the ids. Two tokens can stand side by side if undoing their merges, latest first, never shows
 a merge across their border that would have been made earlier.
 
-No piece holds the space mark after another character, so no merge crosses from a word into
-the spaces after it: a text falls into stretches of spaces and one word, and equal stretches
-are worked out once per task.
+No piece holds the space mark after another character, and in most models none mixes letters
+with signs, so no merge crosses such a border: a text falls into stretches, and equal
+stretches are worked out once per task.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,16 @@ from feedlode.llm.common import small_batches, table, without
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-#: Remembered stretches and pairs of a task; a full memory is emptied.
-REMEMBER = 300_000
+#: Remembered stretches and pairs of a task; a full memory is emptied. Longer
+#: stretches are worked out anew.
+REMEMBER = 400_000
+LONG = 48
+
+#: Stretches that no merge leaves: spaces before Latin letters, or before others. The coarse rule
+#: (spaces and all up to the next space) is for models with pieces of letters and signs.
+LATIN = "A-Za-zÀ-ÖØ-öø-ʯ"
+FINE = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+")
+COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 @dataclass
@@ -93,6 +102,21 @@ def load_model(path: str) -> PieceModel:
     return PieceModel(pieces, scores, kinds)
 
 
+class Remembered(dict):
+    """Results for stretches, worked out when first asked for; long ones are not kept."""
+
+    def __init__(self, work: Callable[[str], bytes | str]) -> None:
+        self.work = work
+
+    def __missing__(self, stretch: str) -> bytes | str:
+        found = self.work(stretch)
+        if len(stretch) <= LONG:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[stretch] = found
+        return found
+
+
 class PieceTables:
     """Encoder and decoder; built in the task from the model."""
 
@@ -101,6 +125,8 @@ class PieceTables:
 
         self.pieces, self.kinds = model.pieces, model.kinds
         self.ids = {p: i for i, p in enumerate(model.pieces) if model.kinds[i] == NORMAL}
+        #: Ids that are not simply their piece's text.
+        self.loose = frozenset(i for i, kind in enumerate(model.kinds) if kind != NORMAL)
         self.bytes = [0] * 256
         for i, piece in enumerate(model.pieces):
             if model.kinds[i] == BYTE:
@@ -120,10 +146,16 @@ class PieceTables:
                 reachable.append(i)
         self.automaton = ahocorasick.Automaton()
         for i in reachable:
-            self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i])))
+            self.automaton.add_word(self.pieces[i], i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.sizes = [len(p) for p in self.pieces]
+        self.singles = frozenset(p for p in self.ids if len(p) == 1)
+        whole = all(len(FINE.findall(p)) == 1 for p in self.ids)
+        self.stretches = (FINE if whole else COARSE).findall
+        self.fits: dict[int, bool] = {}
+        self.known_ids = Remembered(lambda s: array("i", self._stretch(s)).tobytes())
+        self.known_text = Remembered(
+            lambda s: self.decode_ids(np.frombuffer(self.known_ids[s], np.int32).tolist()))
 
     def _last_merge(self, token: int) -> tuple[int, int] | None:
         piece, rank = self.pieces[token], self.rank
@@ -160,7 +192,7 @@ class PieceTables:
                 right = halves[right][0]
 
     def can_follow(self, left: int, right: int) -> bool:
-        pair = (left, right)
+        pair = left << 24 | right
         fits = self.fits.get(pair)
         if fits is None:
             if len(self.fits) >= REMEMBER:
@@ -170,30 +202,32 @@ class PieceTables:
 
     def _last_tokens(self, run: str) -> list[int]:
         """Ids of characters that are all in the vocabulary."""
-        last = [-1] * (len(run) + 1)
-        fits = self.fits
-        for end, (token, size) in self.automaton.iter(run):
+        fits, sizes, n = self.fits, self.sizes, len(run)
+        last = [-1] * (n + 1)
+        for end, token in self.automaton.iter(run):
             end += 1
             if last[end] < 0:
-                before = last[end - size]
-                if end == size:
-                    last[end] = token
-                elif before >= 0:
-                    ok = fits.get((before, token))
-                    if self.can_follow(before, token) if ok is None else ok:
+                left = last[end - sizes[token]]
+                if left >= 0:
+                    ok = fits.get(left << 24 | token)
+                    if self.can_follow(left, token) if ok is None else ok:
                         last[end] = token
-        out, end = [], len(run)
+                elif end == sizes[token]:
+                    last[end] = token
+        out, end = [], n
         while end:
             out.append(last[end])
-            end -= len(self.pieces[last[end]])
+            end -= sizes[last[end]]
         out.reverse()
         return out
 
     def _stretch(self, stretch: str) -> list[int]:
+        if self.singles.issuperset(stretch):
+            return self._last_tokens(stretch)
         ids: list[int] = []
         run = 0
         for i, char in enumerate(stretch):
-            if char not in self.ids:
+            if char not in self.singles:
                 if run < i:
                     ids += self._last_tokens(stretch[run:i])
                 ids += [self.bytes[b] for b in char.encode()]
@@ -203,6 +237,8 @@ class PieceTables:
     def decode_ids(self, ids: list[int]) -> str:
         """The text of ids, without taking off the space put before it; bytes that are no
         character become U+FFFD each."""
+        if not self.loose.intersection(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out, loose = [], bytearray()
 
         def flush() -> None:
@@ -232,27 +268,13 @@ class PieceTables:
         flush()
         return "".join(out).replace(SPACE, " ")
 
-    def _remembered(self, stretch: str) -> tuple[int, bytes, str]:
-        ids = self._stretch(stretch)
-        if len(self.known) >= REMEMBER:
-            self.known.clear()
-        found = (len(ids), np.array(ids, np.int32).tobytes(), self.decode_ids(ids))
-        if len(stretch) <= 64:
-            self.known[stretch] = found
-        return found
-
-    def encode(self, text: str) -> tuple[int, bytes, str]:
-        """Number of ids, the ids, and the text that they decode to."""
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids as 32-bit integers, and the text that they decode to."""
         if not text:
-            return 0, b"", ""
-        known, make = self.known, self._remembered
-        parts = [known.get(s) or make(s)
-                 for s in STRETCHES.findall(SPACE + text.replace(" ", SPACE))]
-        decoded = "".join([p[2] for p in parts])
-        return sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), decoded[1:]
-
-
-STRETCHES = re.compile(f"{SPACE}+[^{SPACE}]*")
+            return b"", ""
+        found = self.stretches(SPACE + text.replace(" ", SPACE))
+        ids = b"".join(map(self.known_ids.__getitem__, found))
+        return ids, "".join(map(self.known_text.__getitem__, found))[1:]
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text",
@@ -275,8 +297,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text",
         for batch in batches:
             counts, flat, texts = [0], [], []
             for value in batch.column(place).to_pylist():
-                n, found, back = tables.encode(value or "")
-                counts.append(counts[-1] + n)
+                found, back = tables.encode(value or "")
+                counts.append(counts[-1] + len(found) // 4)
                 flat.append(found)
                 texts.append(back)
             values = pa.array(np.frombuffer(b"".join(flat), np.int32))
