@@ -50,3 +50,23 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """The rows without columns that the operator is about to add."""
     gone = {name.lower() for name in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+#: Separators of words, as a regular expression and as the characters that a word may hold.
+WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def split_words(text: Column) -> Column:
+    """Words of lower-cased letters and digits; an empty word can stand first and last."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP)
+
+
+def row_key(*columns: str) -> list[Column]:
+    """Two hashes, 96 bits together, that stand for a row's values; equal rows share them."""
+    values = [F.col(f"`{c}`") for c in columns]
+    return [F.xxhash64(*values).alias("key_a"), F.hash(*values, F.lit(1)).alias("key_b")]
+
+
+def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Ask for a broadcast of a table of so many rows if they are at most `most`."""
+    return F.broadcast(df) if rows <= most else df

@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import re
+
+from feedlode.llm import licenses
+from tests.llm.cases import MIDDLE, SMALL, TEXTS, no_docs, odd_docs, small_rows, words_of
+
+RULES = licenses.build_rules()
+
+
+def base_places(words: list[str]) -> list[tuple[int, str]]:
+    return [(i, label) for phrase, label in licenses.BASE_PHRASES.items()
+            for i in range(len(words)) if words[i:i + len(phrase.split())] == phrase.split()]
+
+
+def check_base(row, text) -> None:
+    words = words_of(text)
+    places = base_places(words)
+    assert row["n_words"] == len(words)
+    assert row["n_base"] == len(places)
+    assert row["first_word"] == min((p for p, _ in places), default=None)
+    assert row["last_word"] == max((p for p, _ in places), default=None)
+    assert row["base_labels"] == ",".join(sorted({label for _, label in places}))
+    assert {label for _, label in places} <= set(row["labels"].split(","))
+    assert row["labels"] == ",".join(sorted(set(row["labels"].split(","))))
+    assert 0 <= row["score"] <= 1
+
+
+def test_query_against_plain_search(spark):
+    for sf_dir in (SMALL, MIDDLE):
+        texts = {r[0]: r[1] for r in small_rows("documents", sf_dir)}
+        rows = licenses.op1_licenses(spark, sf_dir).collect()
+        assert len(rows) == len(texts)
+        for row in rows:
+            check_base(row, texts[row["doc_id"]])
+    assert any(row["labels"] for row in rows)
+
+
+def brute(text: str) -> set[tuple[str, int, int]]:
+    """All rules on the joined words, without keywords; kept ones by priority and containment."""
+    joined = " " + " ".join(words_of(text)) + " "
+    found = []
+    for number, rule in enumerate(RULES):
+        pattern = f"(?=( (?:{rule.pattern})(?= )))" if rule.base else f"( (?:{rule.pattern})(?= ))"
+        for match in re.finditer(pattern, joined):
+            found.append((-rule.priority, -match.group(1).count(" "), joined.count(" ", 0, match.start(1)), number))
+    kept: list[tuple[str, int, int]] = []
+    for _, size, first, number in sorted(found):
+        if not any(a <= first and first - size <= b for _, a, b in kept):
+            kept.append((RULES[number].label, first, first - size))
+    return set(kept)
+
+
+def test_keywords_hide_no_detection():
+    scanner = licenses.Scanner(RULES)
+    texts = [
+        "Licensed under the Apache License, Version 2.0 (the License)", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This work is licensed under the GNU General Public License, version 3.", "CC BY-NC-ND 4.0 International",
+        "https://creativecommons.org/licenses/by-sa/4.0/", "https://opensource.org/licenses/MIT", "cc by nc cc by nc",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "Neither the name of the Example Corp nor the names of its contributors may be used to endorse",
+        "Copyright (c) 2021. All rights reserved. See the accompanying license.", "Mozilla Public License v2.0",
+        "released by OpenRAIL-M license", "BigScience OpenRAIL-M licence", "the new BSD licence", "no word of it",
+    ]
+    for text in texts:
+        _, found = scanner.scan(text)
+        assert {(d["label"], d["first_word"], d["first_word"] + d["n_words"]) for d in found if d["kept"]} == brute(text), text
+
+
+def test_priority_and_containment():
+    scanner = licenses.Scanner(RULES)
+    _, found = scanner.scan("Licensed under CC BY-NC-ND 4.0")
+    kept = {d["label"] for d in found if d["kept"]}
+    assert "cc-by-nc-nd-4" in kept and "cc-by" not in kept
+    # Base phrases are listed even within a stronger detection.
+    _, found = scanner.scan("SPDX-License-Identifier: Apache License Version 2")
+    assert [d["label"] for d in found if d["base"]] == ["apache-2"]
+
+
+def test_there_are_hundreds_of_rules():
+    assert len(RULES) > 300 and len({r.label for r in RULES}) > 60
+
+
+def test_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = licenses.scan(odd_docs(spark)).select("*", F.size("detections").alias("n")).collect()
+    assert len(rows) == len(TEXTS) + 2
+    by_id = {r["doc_id"]: r for r in rows}
+    assert by_id[0]["n_words"] == by_id[1]["n_words"] == by_id[2]["n_words"] == 0
+    assert sum(d["base"] for d in by_id[7]["detections"]) == 2
+    assert by_id[9]["n_words"] == len(words_of(TEXTS[9]))
+    assert licenses.scan(no_docs(spark)).collect() == []

@@ -1,0 +1,103 @@
+from __future__ import annotations
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from feedlode.llm import line_dedup as d
+from tests.llm.cases import MIDDLE, SMALL, TEXTS, no_docs, odd_docs, small_rows
+
+WORDS = [f"w{i}" for i in range(3000)]
+
+
+def sentences(rng: random.Random, n: int) -> list[str]:
+    return [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(6, 14))).capitalize() + "." for _ in range(n)]
+
+
+def lines_of(text: str) -> list[str]:
+    return [line.strip(d.BLANK) for line in re.split(r"(?<=\n)|(?<=[.!?] )", text)]
+
+
+def planted(rng: random.Random):
+    """A passage in the middle of other sentences of many documents, and documents without it."""
+    passage = " ".join(sentences(rng, 8))
+    rows = []
+    for i in range(40):
+        own = sentences(rng, 12)
+        if i % 2:
+            own.insert(rng.randrange(1, 11), passage)
+        rows.append((i, " ".join(own[:6]) + "\n" + " ".join(own[6:])))
+    return passage, rows
+
+
+def test_passages_go_but_for_their_first_place(spark):
+    passage, rows = planted(random.Random(2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.dedup_lines(docs).collect()}
+    own = lines_of(passage)
+    share = []
+    for i, text in rows:
+        left = lines_of(got[i]["text"])
+        if i % 2 == 0 or i == 1:
+            assert got[i]["text"] == text and got[i]["n_removed"] == 0
+            continue
+        gone = [line for line in lines_of(text) if line not in left]
+        # Nothing else goes, and what is left keeps its order.
+        assert set(gone) <= set(own)
+        assert [line for line in lines_of(text) if line in left] == left
+        assert got[i]["n_removed"] == len(gone)
+        share.append(len(gone) / len(own))
+    assert min(share) >= 0.5 and sum(share) / len(share) > 0.6
+
+
+def test_every_removed_line_stands_elsewhere(spark):
+    for sf_dir in (SMALL, MIDDLE):
+        texts = {r[0]: r[1] for r in small_rows("documents", sf_dir)}
+        rows = d.op6_line_dedup(spark, sf_dir).collect()
+        assert len(rows) == len(texts)
+        kept = {line for r in rows for line in lines_of(r["text"])}
+        removed = 0
+        for r in rows:
+            before, after = lines_of(texts[r["doc_id"]]), lines_of(r["text"])
+            assert set(before) <= kept
+            if not r["n_removed"]:
+                assert r["text"] == texts[r["doc_id"]]
+            removed += r["n_removed"]
+        assert removed > 0
+
+
+def test_copies_are_emptied_but_for_the_first(spark):
+    text = " ".join(sentences(random.Random(4), 9))
+    docs = spark.createDataFrame([(5, text), (3, text), (None, text), (9, "Other. Words here.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in d.dedup_lines(docs).collect()}
+    assert got[3] == text and got[9] == "Other. Words here."
+    assert len(got[5]) < len(text) / 2 and len(got[None]) < len(text) / 2
+
+
+def test_equal_hashes_are_compared_byte_by_byte(spark, monkeypatch):
+    # All chunks of as many lines share a hash: only equal bytes may go.
+    real = F.xxhash64
+    monkeypatch.setattr(d.F, "xxhash64", lambda *c: F.size(c[0]).cast("long") if len(c) == 2 and c[1] == "seed" else real(*c))
+    passage, rows = planted(random.Random(6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in d.dedup_lines(docs).collect():
+        text = dict(rows)[r["doc_id"]]
+        gone = [line for line in lines_of(text) if line not in lines_of(r["text"])]
+        assert set(gone) <= set(lines_of(passage))
+
+
+def test_odd_rows(spark):
+    docs = odd_docs(spark).withColumnRenamed("place", "N_removed")
+    rows = d.dedup_lines(docs).collect()
+    assert len(rows) == len(TEXTS) + 2
+    assert set(rows[0].asDict()) == {*docs.columns, "n_removed"} - {"N_removed"}
+    assert sum(r["text"] is None for r in rows) == 1 and sum(r["text"] == "" for r in rows) == 1
+    # Rows that repeat key and text are one document.
+    assert [r["text"] for r in rows if r["doc_id"] == 6] == [TEXTS[6]] * 2
+    assert d.dedup_lines(no_docs(spark)).collect() == []
+
+
+def test_no_python_in_the_plan(spark):
+    plan = d.op6_line_dedup(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

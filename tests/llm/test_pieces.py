@@ -1,0 +1,78 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from feedlode.llm import pieces
+from tests.llm.cases import LONG, SMALL, TEXTS, no_docs, odd_docs, small_rows
+
+PATH = pieces.model_path()
+TABLES = pieces.PieceTables(pieces.load_model(PATH))
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
+def same(text: str) -> None:
+    ids, decoded = TABLES.encode(text)
+    expected = LIBRARY.encode(text)
+    assert np.frombuffer(ids, np.int32).tolist() == expected
+    assert decoded == LIBRARY.decode(expected)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80) | st.text("aehr tin\n.,é▁", max_size=200))
+def test_any_text(text):
+    same(text)
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 3000, "ab" * 999, "=" * 777, " " * 100 + "x ", "▁▁ ▁", "ก" * 50, "<s></s><unk><0x41>",
+    "1." * 40, "²." * 5, LONG,
+])
+def test_odd_texts(text):
+    same(text)
+
+
+def test_tables_hold_every_piece():
+    for token, (left, right) in list(TABLES.halves.items())[::50]:
+        assert TABLES.pieces[left] + TABLES.pieces[right] == TABLES.pieces[token]
+
+
+def test_a_full_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 3)
+    tables = pieces.PieceTables(pieces.load_model(PATH))
+    for text in filter(None, TEXTS[:9]):
+        assert tables.encode(text) == TABLES.encode(text)
+
+
+def test_other_kinds_of_model_are_refused(tmp_path):
+    bad = tmp_path / "bad.model"
+    bad.write_bytes(b"\x0a\x05\x0a\x01a\x18\x01")
+    with pytest.raises(ValueError, match="not a merge-type model"):
+        pieces.load_model(str(bad))
+
+
+def test_rows(spark):
+    docs = odd_docs(spark).withColumnRenamed("lines", "IDS")
+    rows = pieces.encode_decode(docs, PATH).collect()
+    assert len(rows) == len(TEXTS) + 2
+    for row in rows:
+        assert row["ids"] == LIBRARY.encode(row["text"] or "")
+        assert row["decoded"] == LIBRARY.decode(row["ids"])
+        assert row["key_a"] == "x"
+    assert pieces.encode_decode(no_docs(spark), PATH).collect() == []
+
+
+def test_query(spark):
+    texts = {r[0]: r[1] for r in small_rows("documents")}
+    rows = pieces.op2_sentencepiece(spark, SMALL).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        ids = LIBRARY.encode(texts[row["doc_id"]] or "")
+        assert row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
