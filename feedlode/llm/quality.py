@@ -22,8 +22,8 @@ from feedlode.llm.words import NOT_ALNUM, Words, chained, mixed, ngram_starts, o
 BUCKETS = 1 << 18
 #: Most labelled rows that the weights are learned from.
 TRAINING_ROWS = 8_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.01, 0.1
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
 CUT = 0.7
 AGAIN = np.uint64(0x5EED5EED5EED5EED)
 
