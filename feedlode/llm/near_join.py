@@ -302,7 +302,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wordless = ~F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(WORD)
     one = (keyed.where(~wordless).join(kept.toDF(key_a, key_b), [key_a, key_b], "left_semi")
            .dropDuplicates([key_a, key_b]))
-    return keyed.where(wordless).unionAll(one).drop(key_a, key_b)
+    return keyed.where(wordless).unionByName(one).drop(key_a, key_b)
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

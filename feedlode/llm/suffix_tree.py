@@ -1,16 +1,17 @@
-"""Scores of texts under a probabilistic suffix tree learned from the corpus.
-
-A text is its lower-cased words, each spelled out in bytes and closed by a space, and an end.
-The tree's states are contexts of up to DEPTH symbols. A context is a candidate if it makes up
-a least share of all; it is retained if the next symbols after it diverge from those after its
-longest shorter context by more than chance, and then its own shorter contexts are too. Each
-state's distribution is smoothed with that of the next shorter one. A symbol is scored at the
-longest retained context that precedes it. The number of states is bounded by the least share;
-what is counted grows with the corpus.
-
-Beside it, each text gets the add-one unigram score of its words. Counts of words may not fit
-anywhere in whole: blocks of documents send each stretch of the hash range their words, with
-the documents that hold them, and get back what the words add to each document's score.
+"""Scores of texts under a probabilistic suffix tree over words, learned from the corpus.
+
+The symbols are a text's lower-cased words and its end. The tree's states are contexts of up to
+two symbols; the end stands before a text, too. A context is a candidate if it makes up a least
+share of all symbols, so that there is a bounded number of them. It is retained if the symbols
+after it diverge from those after its next shorter context: if, each occurrence being foretold
+from all others, it foretells them better. Then its shorter context is retained, too. The next
+symbols of a state are smoothed with those of its shorter context, down to the add-one unigrams
+of all words. A symbol is scored at the longest retained context before it.
+
+Counts of next symbols may not fit anywhere in whole. Blocks of documents send their symbols,
+with context and document, to stretches of the range of word hashes. A stretch holds all
+occurrences of its words, so it can count them under every context, and sums up what they add
+to each document's score.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -27,213 +27,135 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlode.llm.common import remainder, small_batches, table
-from feedlode.llm.words import WHITE, Words, mixed, owners, text_bytes
+from feedlode.llm.words import WHITE, Words, chained, mixed, owners
 from feedlode.session import cut_lineage
 
-#: Longest context, least share of a candidate among all symbols, least divergence in nats
-#: (times the context's count), symbols (the last is any byte without a symbol of its own).
-DEPTH, LEAST_SHARE, DIVERGENCE, SYMBOLS = 4, 2e-5, 100.0, 64
-END, SPACE, OTHER = 0, 1, SYMBOLS - 1
-#: Bytes of text in a block, and words in a stretch of the hash range.
-BLOCK_BYTES, STRETCH_WORDS = 8 << 20, 4_000_000
-#: Codes that are sorted at once.
-CODES = 4 << 20
+#: Least share of a candidate context among all symbols.
+LEAST_SHARE = 1e-4
+#: What a context must gain in foretelling its next symbols, in nats over all of them.
+LEAST_GAIN = 10.0
+#: Bytes of text in a block, and symbols in a stretch of the hash range.
+BLOCK_BYTES, STRETCH_WORDS = 8 << 20, 2_000_000
 END_WORD = mixed(np.zeros(1, np.uint64))[0]
 
 
-def byte_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How often each lower-cased byte occurs in words, and the number of words."""
-    small_batches(docs.sparkSession)
+def _symbols(words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes with the end before and after each text, and where each text begins."""
+    hashes, bounds = words.read(column)
+    n = len(bounds) - 1
+    begins = bounds + 2 * np.arange(n + 1)
+    out = np.full(begins[-1], END_WORD, np.uint64)
+    out[np.arange(len(hashes)) + 2 * owners(bounds) + 1] = hashes
+    return out, begins
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words.between(WHITE)
-        counts, n = np.zeros(256, np.int64), 0
-        for batch in batches:
-            raw, at = text_bytes(batch.column(0))
-            counts += np.bincount(raw, minlength=256)
-            n += len(words.spans(raw, at)[0])
-        counts[97:123] += counts[65:91]
-        counts[[*WHITE, *range(65, 91)]] = 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(np.arange(256), -1)), pa.array(np.append(counts, n))], ["byte", "n"])
-
-    rows = docs.select("text").mapInArrow(work, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    found = {r["byte"]: r["n"] for r in rows}
-    return np.array([found.get(b, 0) for b in range(256)], np.int64), found.get(-1, 0)
-
-
-class Alphabet:
-    """Symbols of bytes: the most frequent ones have their own."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        own = np.argsort(-counts, kind="stable")[:SYMBOLS - 3]
-        own = own[counts[own] > 0]
-        self.symbols = np.full(256, OTHER, np.uint8)
-        self.symbols[own] = np.arange(2, 2 + len(own))
-        self.symbols[65:91] = self.symbols[97:123]
-        #: log10 share of one of the bytes that have no symbol of their own.
-        self.other = -np.log10(max(1, 256 - len(WHITE) - 26 - len(own)))
-
-    def stream(self, words: Words, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts' symbols, DEPTH ends before each; where each text begins, padding
-        included, and the last ends; and the number of words before each text and in all."""
-        raw, at = text_bytes(column)
-        starts, ends, bounds = words.spans(raw, at)
-        lengths = ends - starts
-        n_texts = len(bounds) - 1
-        # Each word takes its bytes and a space, each text DEPTH ends before and one after.
-        sizes = np.bincount(owners(bounds), lengths + 1, minlength=n_texts).astype(np.int64) + DEPTH + 1
-        begins = np.concatenate([[0], np.cumsum(sizes)])
-        inside = words.classes[raw] != 0
-        spelled = self.symbols[raw[inside]]
-        word = np.repeat(np.arange(len(starts)), lengths)
-        shift = np.arange(len(starts)) + DEPTH + owners(bounds) * (DEPTH + 1)
-        out = np.zeros(begins[-1], np.uint8)
-        places = np.cumsum(lengths) + shift if len(starts) else np.empty(0, np.int64)
-        out[np.arange(len(spelled)) + shift[word]] = spelled
-        out[places] = SPACE
-        return out, begins, bounds
-
-
-def _codes(stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """DEPTH + 1 symbols up to each symbol of the texts, padding left out, the latest lowest."""
-    real = np.ones(len(stream), bool)
-    for i in range(DEPTH):
-        real[begins[:-1] + i] = False
-    code = np.zeros(len(stream), np.uint32)
-    for back in range(DEPTH, -1, -1):
-        code *= np.uint32(SYMBOLS)
-        code[back:] += stream[:len(stream) - back]
-    return code[real]
-
-
-def gram_counts(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """(code, n): how often each run of DEPTH + 1 symbols occurs."""
+
+def _scored(begins: np.ndarray) -> np.ndarray:
+    """Places of all symbols but the ends put before the texts."""
+    real = np.ones(begins[-1], bool)
+    real[begins[:-1]] = False
+    return np.flatnonzero(real)
+
+
+def frequent_words(docs: DataFrame, share: float = LEAST_SHARE) -> tuple[np.ndarray, int]:
+    """Sorted hashes of a set that holds all words of at least this share, and the number of
+    symbols. Such a word has the share in at least one partition, and a partition has at most
+    1 / share of them."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.between(WHITE)
-        waiting: list[np.ndarray] = []
-        found = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-        def fold() -> None:
-            nonlocal found
-            codes, counts = np.unique(np.concatenate(waiting), return_counts=True) if waiting else found
-            waiting.clear()
-            codes, inverse = np.unique(np.concatenate([found[0], codes]), return_inverse=True)
-            found = codes, np.bincount(inverse, np.concatenate([found[1], counts])).astype(np.int64)
-
+        keys, counts, n = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for batch in batches:
-            stream, begins, _ = alphabet.stream(words, batch.column(0))
-            waiting.append(_codes(stream, begins))
-            if sum(map(len, waiting)) >= CODES:
-                fold()
-        if waiting:
-            fold()
-        yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1])], ["code", "n"])
+            symbols, begins = _symbols(words, batch.column(0))
+            n += len(symbols) - batch.num_rows
+            new, times = np.unique(symbols[_scored(begins)], return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, times])).astype(np.int64)
+        often = np.flatnonzero(counts >= max(1, share * n))
+        rows = np.append(keys[often].view(np.int64), 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.array(np.append(np.zeros(len(often), np.int64), n))], ["word", "n"])
 
-    return docs.select("text").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = cut_lineage(docs.select("text").mapInArrow(work, "word long, n long"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    words = found.where("n = 0").select("word").distinct().toPandas()["word"].to_numpy(np.int64)
+    return np.sort(words.view(np.uint64)), total
 
 
 @dataclass
-class Tree:
-    """States by length: codes of the retained contexts (the latest symbol lowest), and for all
-    states in order the log10 chances of the next symbols."""
+class Contexts:
+    """Candidate contexts: 0 is the empty one, then single words, then pairs of them."""
+
+    #: Sorted hashes and their numbers.
+    singles: np.ndarray
+    single_numbers: np.ndarray
+    pairs: np.ndarray
+    pair_numbers: np.ndarray
+    #: The next shorter context of each.
+    shorter: np.ndarray
+
+    def find(self, symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Number of the longest candidate before each scored symbol."""
+        at = _scored(begins)
+        before = symbols[at - 1]
+        found = _look_up(self.singles, self.single_numbers, before)
+        first = np.zeros(len(symbols), bool)
+        first[begins[:-1] + 1] = True
+        deep = np.flatnonzero((found > 0) & ~first[at])
+        longer = _look_up(self.pairs, self.pair_numbers, chained(symbols[at[deep] - 2], before[deep]))
+        found[deep] = np.where(longer > 0, longer, found[deep])
+        return found
+
+
+def _look_up(keys: np.ndarray, numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int32)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, numbers[at], 0).astype(np.int32)
+
+
+def candidates(docs: DataFrame, share: float = LEAST_SHARE) -> tuple[Contexts, int]:
+    """All contexts of at least the share, and the number of symbols."""
+    words, total = frequent_words(docs, share)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    contexts: list[np.ndarray]
-    chances: np.ndarray
-
-
-def candidates(counts: DataFrame, least: float = LEAST_SHARE) -> pd.DataFrame:
-    """(length, context, symbol, n) of contexts with the least share of all symbols.
-
-    At most 1 / least contexts of each length and SYMBOLS rows of each come to the driver.
-    """
-    counts = cut_lineage(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    parts = []
-    for length in range(DEPTH + 1):
-        context = F.floor(F.col("code") / SYMBOLS) % (SYMBOLS**length)
-        rows = counts.groupBy(context.alias("context"), (F.col("code") % SYMBOLS).alias("symbol")).agg(F.sum("n").alias("n"))
-        often = (rows.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1.0, least * total))
-                 .select("context"))
-        parts.append(rows.join(often, "context").select(F.lit(length).alias("length"), "context", "symbol", "n"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    return found.toPandas()
-
-
-def grow(found: pd.DataFrame, divergence: float = DIVERGENCE) -> Tree:
-    """Retain and smooth the candidates' contexts."""
-    levels = []
-    for length in range(DEPTH + 1):
-        rows = found[found["length"] == length]
-        contexts, inverse = np.unique(rows["context"].to_numpy(np.int64), return_inverse=True)
-        counts = np.zeros((len(contexts), SYMBOLS))
-        counts[inverse, rows["symbol"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-        levels.append((contexts, counts))
-    if not len(levels[0][0]):
-        levels[0] = np.zeros(1, np.int64), np.zeros((1, SYMBOLS))
-    keep = [np.ones(1, bool)] + [np.zeros(len(c), bool) for c, _ in levels[1:]]
-    for length in range(DEPTH, 0, -1):
-        contexts, counts = levels[length]
-        if not len(contexts):
-            continue
-        # The next shorter context is at least as frequent, so it is a candidate too.
-        shorter, fewer = levels[length - 1]
-        parent = np.searchsorted(shorter, contexts % SYMBOLS ** (length - 1))
-        own = counts / counts.sum(1, keepdims=True)
-        above = fewer[parent] / fewer[parent].sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(counts > 0, counts * np.log(own / above), 0).sum(1)
-        keep[length] |= gain >= divergence
-        keep[length - 1][np.unique(parent[keep[length]])] = True
-    chances, kept = [], []
-    before: np.ndarray | None = None
-    for length, (contexts, counts) in enumerate(levels):
-        if before is None:
-            smooth = (counts + 1) / (counts.sum(1, keepdims=True) + SYMBOLS)
-        else:
-            parent = np.searchsorted(kept[-1], contexts[keep[length]] % SYMBOLS ** max(length - 1, 0))
-            counts = counts[keep[length]]
-            # Weight of the shorter context: the number of different next symbols.
-            weight = (counts > 0).sum(1, keepdims=True).astype(float)
-            smooth = (counts + weight * before[parent]) / (counts.sum(1, keepdims=True) + weight) \
-                if len(counts) else np.zeros((0, SYMBOLS))
-        kept.append(contexts[keep[length]] if length else contexts)
-        chances.append(smooth)
-        before = smooth
-    return Tree(kept, np.log10(np.concatenate(chances)))
-
-
-class Scorer:
-    """Looks up the longest state of every DEPTH symbols in one table."""
-
-    def __init__(self, tree: Tree, alphabet: Alphabet) -> None:
-        self.alphabet = alphabet
-        self.words = Words.between(WHITE)
-        self.chances = tree.chances.astype(np.float32)
-        states = np.zeros(SYMBOLS**DEPTH, np.int32)
-        first = 1
-        for length, contexts in enumerate(tree.contexts):
-            if length and len(contexts):
-                # Longer contexts are written over the shorter ones that they end with.
-                states.reshape(-1, SYMBOLS**length)[:, contexts] = np.arange(first, first + len(contexts), dtype=np.int32)
-                first += len(contexts)
-        self.states = states
-
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """log10 chance of each text, and the number of its words."""
-        stream, begins, bounds = self.alphabet.stream(self.words, column)
-        codes = _codes(stream, begins)
-        latest = codes & np.uint32(SYMBOLS - 1)
-        value = self.chances[self.states[codes >> np.uint32(6)], latest].astype(np.float64)
-        value[latest == OTHER] += self.alphabet.other
-        sizes = np.diff(begins) - DEPTH
-        sums = np.concatenate([[0.0], np.cumsum(value)])
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        return sums[at[1:]] - sums[at[:-1]], np.diff(bounds)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, known = Words.between(WHITE), shared.value
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        n = np.int64(len(known) + 1)
+        for batch in batches:
+            symbols, begins = _symbols(finder, batch.column(0))
+            place = _look_up(known, np.arange(1, len(known) + 1), symbols).astype(np.int64)
+            at = _scored(begins) - 1
+            first = np.zeros(len(symbols), bool)
+            first[begins[:-1]] = True
+            # The word before a symbol, and with it the one before that, unless none is there.
+            one = place[at]
+            two = np.where(first[at], 0, place[np.maximum(at - 1, 0)])
+            some = one > 0
+            new, times = np.unique(two[some] * n + one[some], return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, times])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys // n), pa.array(keys % n), pa.array(counts)], ["two", "one", "n"])
+
+    least = max(1.0, share * total)
+    counted = cut_lineage(docs.select("text").mapInArrow(work, "two long, one long, n long")
+                          .groupBy("two", "one").agg(F.sum("n").alias("n")))
+    singles = counted.groupBy("one").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("one").toPandas()
+    pairs = counted.where((F.col("two") > 0) & (F.col("n") >= least)).select("two", "one").toPandas()
+    one = np.sort(singles["one"].to_numpy(np.int64)) - 1
+    single_keys = words[one]
+    number = {int(w): i + 1 for i, w in enumerate(one)}
+    left, right = pairs["two"].to_numpy(np.int64) - 1, pairs["one"].to_numpy(np.int64) - 1
+    pair_keys = chained(words[left], words[right]) if len(left) else np.empty(0, np.uint64)
+    order = np.argsort(pair_keys)
+    shorter = np.concatenate([
+        np.zeros(1 + len(one), np.int64), np.array([number[int(r)] for r in right[order]], np.int64)])
+    contexts = Contexts(single_keys, np.arange(1, len(one) + 1), pair_keys[order],
+                        np.arange(len(one) + 1, len(one) + 1 + len(order)), shorter)
+    return contexts, total
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -244,116 +166,295 @@ def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), kind)
 
 
-PARTS = "stretch int, block long, keys binary, counts binary, entries binary, places binary, times binary"
-ROWS = "doc_ids array<long>, held_out array<boolean>, n_tokens array<long>, scores array<double>"
+PARTS = {"keys": "binary", "sizes": "binary", "places": "binary", "contexts": "binary"}
+HEADS = {"doc_ids": "array<long>", "held_out": "array<boolean>", "n_tokens": "array<long>"}
+TYPES = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+
+
+def _fields(kinds: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
-def _requests(docs: DataFrame, tree: Tree, alphabet: Alphabet, stretches: int) -> DataFrame:
-    """Blocks of documents: one row (stretch -1) with their ids and tree scores, and one row per
-    stretch of the hash range with its words, their training counts, and their documents."""
+def _requests(docs: DataFrame, contexts: Contexts, stretches: int) -> DataFrame:
+    """Blocks of documents: one row with their ids and sizes, whose stretch is negative and its
+    own, and one row per stretch of the hash range with the block's occurrences of its words.
+
+    An occurrence has its place (the document's number in the block, doubled, plus one if held
+    out) and its context; words are sorted by hash.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((tree, alphabet))
-
-    def cut(block: int, hashes: list[np.ndarray], own: list[np.ndarray], held: np.ndarray) -> list[dict]:
-        words, places = np.concatenate(hashes), np.concatenate(own)
-        order = np.lexsort((places, words))
-        words, places = words[order], places[order]
-        new = np.ones(len(words), bool)
-        new[1:] = (words[1:] != words[:-1]) | (places[1:] != places[:-1])
-        at = np.flatnonzero(new)
-        words, places, times = words[at], places[at], np.diff(np.append(at, len(order)))
-        keys, first = np.unique(words, return_index=True)
-        counts = np.add.reduceat(np.where(held[places], 0, times), first)
-        edges = [(i << 64) // stretches for i in range(1, stretches)]
-        cuts = [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
-        first = np.append(first, len(words))
-        out = []
-        for stretch, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                x, y = first[a], first[b]
-                out.append({
-                    "stretch": stretch, "block": block,
-                    # Sorted keys lie close together: their differences take less room.
-                    "keys": _packed(np.diff(keys[a:b], prepend=np.uint64(0))),
-                    "counts": _packed(counts[a:b].astype(np.int64)),
-                    "entries": _packed(np.diff(first[a:b + 1]).astype(np.int32)),
-                    "places": _packed(places[x:y].astype(np.int32)),
-                    "times": _packed(times[x:y].astype(np.int32)),
-                })
-        return out
+    shared = spark.sparkContext.broadcast(contexts)
+    schema = pa.schema([("stretch", pa.int64()), ("block", pa.int64()),
+                        *[(name, TYPES[kind]) for name, kind in {**PARTS, **HEADS}.items()]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, alphabet = shared.value
-        scorer = Scorer(tree, alphabet)
+        contexts, words = shared.value, Words.between(WHITE)
+        edges = np.array([(i << 64) // stretches for i in range(1, stretches)], np.uint64)
         block = TaskContext.get().partitionId() << 32
-        schema = pa.schema([
-            ("stretch", pa.int32()), ("block", pa.int64()),
-            *[(n, pa.binary()) for n in ("keys", "counts", "entries", "places", "times")],
-            ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())),
-            ("n_tokens", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64())),
-        ])
-        hashes, own, ids, held, sizes, scores, taken = [], [], [], [], [], [], 0
+        hashes, own, before, ids, held, sizes, taken = [], [], [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, taken
-            rows = cut(block, hashes, own, np.array(held, bool))
-            rows.append({"stretch": -1, "block": block, "doc_ids": list(ids), "held_out": list(held),
-                         "n_tokens": list(sizes), "scores": list(scores)})
+            symbols = np.concatenate(hashes)
+            order = np.argsort(symbols, kind="stable")
+            symbols = symbols[order]
+            places = np.concatenate(own)[order]
+            places = 2 * places + np.array(held, bool)[places]
+            context = np.concatenate(before)[order]
+            keys, first = np.unique(symbols, return_index=True)
+            first = np.append(first, len(symbols))
+            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+            rows = [{"stretch": -1 - block, "block": block, "doc_ids": list(ids), "held_out": list(held),
+                     "n_tokens": list(sizes)}]
+            for stretch, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    x, y = first[a], first[b]
+                    rows.append({
+                        "stretch": stretch, "block": block,
+                        # Differences of sorted numbers take less room.
+                        "keys": _packed(np.diff(keys[a:b], prepend=np.uint64(0))),
+                        "sizes": _packed(np.diff(first[a:b + 1]).astype(np.int32)),
+                        "places": _packed(np.diff(places[x:y], prepend=0).astype(np.int32)),
+                        "contexts": _packed(context[x:y].astype(np.int32)),
+                    })
             yield from pa.Table.from_pylist(rows, schema).to_batches()
             block, taken = block + 1, 0
-            for part in (hashes, own, ids, held, sizes, scores):
+            for part in (hashes, own, before, ids, held, sizes):
                 part.clear()
 
         for batch in batches:
-            found, n_words = scorer.score(batch.column(2))
-            words, bounds = scorer.words.read(batch.column(2))
-            n = batch.num_rows
-            hashes += [words, np.full(n, END_WORD)]
-            own += [owners(bounds) + len(ids), np.arange(n) + len(ids)]
+            symbols, begins = _symbols(words, batch.column(2))
+            at = _scored(begins)
+            n_tokens = np.diff(begins) - 1
+            hashes.append(symbols[at])
+            own.append(np.repeat(np.arange(batch.num_rows), n_tokens) + len(ids))
+            before.append(contexts.find(symbols, begins))
             ids += batch.column(0).to_pylist()
             held += batch.column(1).to_pylist()
-            sizes += (n_words + 1).tolist()
-            scores += found.tolist()
+            sizes += n_tokens.tolist()
             taken += batch.column(2).nbytes
             if taken >= BLOCK_BYTES:
                 yield from flush()
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(work, f"{PARTS}, {ROWS}")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(
+        work, f"stretch long, block long, {_fields(PARTS)}, {_fields(HEADS)}")
+
+
+GATHERED = {"blocks": "binary", "types": "binary"}
 
 
-def _replies(requests: DataFrame) -> DataFrame:
-    """(block, places, known, logs, n_distinct, n_all) of each stretch and block: per document
-    how many of its words occur in training, and their summed log10(count + 1)."""
+def _gather(requests: DataFrame, shorter: np.ndarray) -> DataFrame:
+    """One row per stretch: its occurrences of all blocks sorted by word (sizes, blocks, places,
+    contexts) and, per context, how many occurrences in training (types: pairs of the context's
+    count and its number of different words, for contexts in order). The blocks' own rows pass."""
+    spark = requests.sparkSession
+    shared = spark.sparkContext.broadcast(shorter)
+    names = {"sizes": "binary", "places": "binary", "contexts": "binary", **GATHERED}
+    schema = pa.schema([("block", pa.int64()), *[(n, TYPES[k]) for n, k in {**names, **HEADS}.items()]])
 
     def work(rows: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
-        counts = np.concatenate([_unpacked(c, np.int64) for c in rows["counts"]])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts)
-        out = {n: [] for n in ("block", "places", "known", "logs", "n_distinct", "n_all")}
-        at = 0
-        for i, own in enumerate(keys):
-            c = np.repeat(total[inverse[at:at + len(own)]], _unpacked(rows["entries"][i], np.int32))
-            at += len(own)
-            places, times = _unpacked(rows["places"][i], np.int32), _unpacked(rows["times"][i], np.int32)
-            n = int(places.max()) + 1
-            touched = np.flatnonzero(np.bincount(places, minlength=n))
-            out["block"].append(rows["block"][i].as_py())
-            out["places"].append(_packed(touched.astype(np.int32)))
-            out["known"].append(_packed(np.bincount(places, times * (c > 0), n)[touched].astype(np.int64)))
-            out["logs"].append(_packed(np.bincount(places, times * np.log10(c + 1), n)[touched]))
-            out["n_distinct"].append(int((total > 0).sum()) if i == 0 else 0)
-            out["n_all"].append(int(total.sum()) if i == 0 else 0)
-        return pa.table(out, schema=pa.schema([
-            ("block", pa.int64()), ("places", pa.binary()), ("known", pa.binary()), ("logs", pa.binary()),
-            ("n_distinct", pa.int64()), ("n_all", pa.int64())]))
-
-    parts = requests.where("stretch >= 0").select(*[p.split()[0] for p in PARTS.split(", ")])
-    return parts.groupBy("stretch").applyInArrow(
-        work, "block long, places binary, known binary, logs binary, n_distinct long, n_all long")
+        if rows["keys"][0].as_py() is None:
+            return pa.table({n: rows[n] if n in ("block", *HEADS) else pa.nulls(rows.num_rows, pa.binary())
+                             for n in schema.names}, schema)
+        # In order of blocks, so that equal runs give equal results.
+        order = np.argsort(rows["block"].to_numpy(), kind="stable")
+        keys = [np.cumsum(_unpacked(rows["keys"][i], np.uint64), dtype=np.uint64) for i in order]
+        sizes = [_unpacked(rows["sizes"][i], np.int32) for i in order]
+        places = np.concatenate([np.cumsum(_unpacked(rows["places"][i], np.int32)) for i in order])
+        context = np.concatenate([_unpacked(rows["contexts"][i], np.int32) for i in order])
+        blocks = np.repeat(rows["block"].to_numpy()[order], [int(s.sum()) for s in sizes])
+        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        word = np.repeat(inverse, np.concatenate(sizes)).astype(np.int32)
+        by_word = np.argsort(word, kind="stable")
+        word, places, context, blocks = word[by_word], places[by_word], context[by_word], blocks[by_word]
+        stats = np.zeros((len(shared.value), 2), np.int64)
+        _, own, n = _counts(word, context, places % 2 == 0, shared.value)
+        np.add.at(stats, (own, 0), n)
+        np.add.at(stats, (own, 1), 1)
+        return pa.Table.from_pylist([{
+            "block": -1, "sizes": _packed(np.bincount(word, minlength=len(words)).astype(np.int32)),
+            "blocks": _packed(blocks), "places": _packed(places.astype(np.int32)),
+            "contexts": _packed(context), "types": _packed(stats),
+        }], schema)
+
+    return requests.groupBy("stretch").applyInArrow(work, f"block long, {_fields(names)}, {_fields(HEADS)}")
+
+
+def _counts(word: np.ndarray, context: np.ndarray, training: np.ndarray, shorter: np.ndarray):
+    """(word, context, n): training occurrences of each word in all contexts that it follows,
+    the longest candidate's shorter ones and the empty one included; sorted by both."""
+    word, context = word[training].astype(np.int64), context[training].astype(np.int64)
+    size = len(shorter)
+    keys, n = np.unique(word * size + context, return_counts=True)
+    every, times = [keys], [n]
+    for _ in range(2):
+        w, c = keys // size, keys % size
+        deep = c > 0
+        keys, n = w[deep] * size + shorter[c[deep]], n[deep]
+        every.append(keys)
+        times.append(n)
+    keys, inverse = np.unique(np.concatenate(every), return_inverse=True)
+    n = np.bincount(inverse, np.concatenate(times)).astype(np.int64)
+    return keys // size, keys % size, n
+
+
+@dataclass
+class Tree:
+    """Candidate contexts with their counts, numbers of different next words, and whether they
+    are states; totals of the corpus."""
+
+    shorter: np.ndarray
+    counts: np.ndarray
+    types: np.ndarray
+    retained: np.ndarray
+
+    @property
+    def even(self) -> float:
+        """What a count of all symbols is divided by in the unigrams."""
+        return float(self.counts[0] + self.types[0] + 1)
+
+    def state(self, context: np.ndarray) -> np.ndarray:
+        """The longest retained context of each candidate."""
+        state = np.arange(len(self.shorter))
+        for _ in range(2):
+            state = np.where(self.retained[state], state, self.shorter[state])
+        return state[context]
+
+
+class Stretch:
+    """The occurrences of a stretch's words, and their chances."""
+
+    def __init__(self, row: dict[str, pa.Scalar], tree: Tree) -> None:
+        self.tree = tree
+        self.size = len(tree.shorter)
+        sizes = _unpacked(row["sizes"], np.int32)
+        self.word = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+        self.context = _unpacked(row["contexts"], np.int32).astype(np.int64)
+        self.places = _unpacked(row["places"], np.int32)
+        self.blocks = _unpacked(row["blocks"], np.int64)
+        word, context, n = _counts(self.word, self.context, self.places % 2 == 0, tree.shorter)
+        self.keys, self.n = word * self.size + context, n
+        self.total = np.zeros(len(sizes), np.int64)
+        self.total[word[context == 0]] = n[context == 0]
+
+    def count(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return _look_up64(self.keys, self.n, word * self.size + context)
+
+    def chance(self, word: np.ndarray, context: np.ndarray, count: np.ndarray | None = None,
+               without: int = 0) -> np.ndarray:
+        """Chance of each word after each context; `without` occurrences are left out of the
+        context's own counts."""
+        out = (self.total[word] + 1) / self.tree.even
+        shorter = self.tree.shorter[context]
+        for level in (shorter, context):
+            deep = np.flatnonzero(level > 0)
+            if level is context:
+                n = self.count(word[deep], level[deep]) - without
+                all_n = self.tree.counts[level[deep]] - without
+            else:
+                n, all_n = self.count(word[deep], level[deep]), self.tree.counts[level[deep]]
+            weight = np.maximum(self.tree.types[level[deep]], 1)
+            out[deep] = (n + weight * out[deep]) / (all_n + weight)
+        return out
+
+
+def _look_up64(keys: np.ndarray, numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, numbers[at], 0)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[Stretch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Stretch({n: batch.column(n)[i] for n in batch.schema.names}, tree)
+
+
+STORED = ["sizes", "places", "contexts", "blocks"]
+
+
+def retain(gathered: DataFrame, shorter: np.ndarray, least: float = LEAST_GAIN) -> Tree:
+    """Counts of the contexts, and which of them are retained. One row per candidate context
+    comes to the driver."""
+    spark = gathered.sparkSession
+    size = len(shorter)
+
+    def per_context(rows: DataFrame, values: int) -> np.ndarray:
+        found = rows.groupBy("context").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(values)]).toPandas()
+        out = np.zeros((size, values))
+        out[found["context"]] = found[[f"v{i}" for i in range(values)]]
+        return out
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, 2), np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                total += _unpacked(value, np.int64).reshape(-1, 2)
+        some = np.flatnonzero(total[:, 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(total[some, 0]), pa.array(total[some, 1])], ["context", "v0", "v1"])
+
+    stored = gathered.where("block < 0")
+    counts = per_context(stored.select("types").mapInArrow(count, "context long, v0 long, v1 long"), 2).astype(np.int64)
+    tree = Tree(shorter, counts[:, 0], counts[:, 1], np.zeros(size, bool))
+    tree.retained[0] = True
+    shared = spark.sparkContext.broadcast(tree)
+
+    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for stretch in _stretches(batches, shared.value):
+            word, context = stretch.keys // size, stretch.keys % size
+            deep = np.flatnonzero(context > 0)
+            word, context, n = word[deep], context[deep], stretch.n[deep]
+            better = stretch.chance(word, context, without=1)
+            plain = stretch.chance(word, shared.value.shorter[context])
+            total += np.bincount(context, n * np.log(better / plain), size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["context", "v0"])
+
+    gains = per_context(stored.select(*STORED).mapInArrow(gain, "context long, v0 double"), 1)[:, 0]
+    kept = gains >= least
+    kept[0] = True
+    kept[np.unique(shorter[kept])] = True
+    return Tree(shorter, tree.counts, tree.types, kept)
+
+
+def _parts(gathered: DataFrame, tree: Tree) -> DataFrame:
+    """(block, part, places, known, base, model): what a stretch's words add to the documents of
+    a block: known words, log10 chances of unigrams and of the tree."""
+    shared = gathered.sparkSession.sparkContext.broadcast(tree)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for stretch in _stretches(batches, tree):
+            # Equal words after equal contexts have one chance.
+            keys, inverse = np.unique(stretch.word * stretch.size + tree.state(stretch.context), return_inverse=True)
+            model = np.log10(stretch.chance(keys // stretch.size, keys % stretch.size))[inverse]
+            total = stretch.total[stretch.word]
+            base = np.log10((total + 1) / tree.even)
+            order = np.argsort(stretch.blocks, kind="stable")
+            cuts = np.flatnonzero(np.diff(stretch.blocks[order], prepend=-1))
+            out = {n: [] for n in ("block", "part", "places", "known", "base", "model")}
+            for own in np.split(order, cuts[1:]) if len(order) else []:
+                place = stretch.places[own] >> 1
+                touched = np.flatnonzero(np.bincount(place))
+                out["block"].append(int(stretch.blocks[own[0]]))
+                out["part"].append(int(stretch.word[own].sum()) ^ len(own))
+                out["places"].append(_packed(touched.astype(np.int32)))
+                out["known"].append(_packed(np.bincount(place, total[own] > 0)[touched].astype(np.int64)))
+                out["base"].append(_packed(np.bincount(place, base[own])[touched]))
+                out["model"].append(_packed(np.bincount(place, model[own])[touched]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([
+                ("block", pa.int64()), ("part", pa.int64()),
+                *[(n, pa.binary()) for n in ("places", "known", "base", "model")]]))
+
+    return gathered.where("block < 0").select(*STORED).mapInArrow(
+        work, "block long, part long, places binary, known binary, base binary, model binary")
 
 
 def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -361,46 +462,39 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
 
     Learns from the rows that are not held out. A null or empty text is its end alone. Repeated
     rows count as often as they stand and are scored alike; null keys stay null. Without any
-    training row the base is even over nothing known, and the tree has one even state. Other
-    columns are left out. Memory follows the longest text.
+    training row every symbol has the chance 1. Other columns are left out. Memory follows the
+    longest text.
     """
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{held_out}`"), F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    training = rows.where("NOT held_out")
-    counts, n_words = byte_counts(training)
-    alphabet = Alphabet(counts)
-    tree = grow(candidates(gram_counts(training, alphabet)))
-    requests = cut_lineage(_requests(rows, tree, alphabet, max(1, -(-n_words // STRETCH_WORDS))))
-    replies = cut_lineage(_replies(requests))
-    known = replies.agg(F.sum("n_distinct"), F.sum("n_all")).first()
-    n_distinct, n_all = known[0] or 0, known[1] or 0
-    even = float(np.log10(n_all + n_distinct + 1))
+    contexts, n_all = candidates(rows.where("NOT held_out"))
+    requests = _requests(rows, contexts, max(1, -(-n_all // STRETCH_WORDS)))
+    gathered = cut_lineage(_gather(requests, contexts.shorter))
+    tree = retain(gathered, contexts.shorter)
 
     def gather(rows: pa.Table) -> pa.Table:
         head = next(i for i in range(rows.num_rows) if rows["doc_ids"][i].is_valid)
-        column = {n: rows[n][head].values for n in ("doc_ids", "held_out", "n_tokens", "scores")}
+        column = {n: rows[n][head].values for n in HEADS}
         n = len(column["doc_ids"])
-        known, logs = np.zeros(n, np.int64), np.zeros(n)
-        parts = [(rows["part"][i].as_py(), i) for i in range(rows.num_rows) if i != head]
-        for _, i in sorted(parts):
+        known, base, model = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        # In a fixed order, so that equal runs give equal sums.
+        for _, _, i in sorted((rows["part"][i].as_py(), rows["model"][i].as_py(), i)
+                              for i in range(rows.num_rows) if i != head):
             places = _unpacked(rows["places"][i], np.int32)
             known[places] += _unpacked(rows["known"][i], np.int64)
-            logs[places] += _unpacked(rows["logs"][i], np.float64)
-        n_tokens = column["n_tokens"].to_numpy()
+            base[places] += _unpacked(rows["base"][i], np.float64)
+            model[places] += _unpacked(rows["model"][i], np.float64)
         return pa.table({
             "doc_id": column["doc_ids"], "held_out": column["held_out"], "n_tokens": column["n_tokens"],
             "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, n_all, np.int64)),
-            "base_score": pa.array(logs - n_tokens * even), "score": column["scores"],
+            "base_score": pa.array(base), "score": pa.array(model),
         })
 
-    heads = requests.where("stretch < 0").select(
-        "block", *[F.lit(None).cast(k).alias(n) for n, k in (
-            ("part", "binary"), ("places", "binary"), ("known", "binary"), ("logs", "binary"))],
-        "doc_ids", "held_out", "n_tokens", "scores")
-    empty = [F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split(" ", 1)[0]) for c in ROWS.split(", ")]
-    # Parts are summed in a fixed order, so that equal runs give equal bits.
-    tails = replies.select("block", F.md5("places").cast("binary").alias("part"), "places", "known", "logs", *empty)
+    empty = {"part": "long", "places": "binary", "known": "binary", "base": "binary", "model": "binary"}
+    heads = gathered.where("block >= 0").select(
+        "block", *[F.lit(None).cast(k).alias(n) for n, k in empty.items()], *HEADS)
+    tails = _parts(gathered, tree).select("block", *empty, *[F.lit(None).cast(k).alias(n) for n, k in HEADS.items()])
     return heads.unionAll(tails).groupBy("block").applyInArrow(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")

@@ -66,7 +66,7 @@ def test_empty_tables(spark):
 
 
 def test_places_near_each_other(spark):
-    docs = spark.createDataFrame([(1, "rare x x scarce"), (2, "rare scarce"), (3, "scarce then rare")],
+    docs = spark.createDataFrame([(1, "rare x x scarce x x"), (2, "rare scarce"), (3, "scarce then rare")],
                                  "doc_id long, text string").select("text", "doc_id", *d.row_key("doc_id", "text"))
     items = spark.createDataFrame([(1, "rare x scarce")], "item_id long, text string")
     index = d.build_index(docs, items, size=3)

@@ -2,15 +2,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
 from feedlode.llm import suffix_tree as s
-from feedlode.llm.words import WHITE, Words
 from tests.llm.cases import MIDDLE, SMALL, TEXTS, blank_words, lowered, no_docs, odd_docs, small_rows
 
 
@@ -48,84 +46,77 @@ def test_query_against_plain_counts(spark, monkeypatch, blocks):
         assert sum(r["score"] for r in held_rows) > sum(r["base_score"] for r in held_rows)
 
 
-def slow_scores(texts: list[str], tree: s.Tree, alphabet: s.Alphabet) -> list[float]:
-    """Symbol by symbol, with the contexts in a dictionary."""
-    states, first = {(): 0}, 1
-    for length, contexts in enumerate(tree.contexts):
-        for i, code in enumerate(contexts.tolist() if length else []):
-            symbols = tuple((code // s.SYMBOLS**k) % s.SYMBOLS for k in reversed(range(length)))
-            states[symbols] = first + i
-        first += len(contexts) if length else 0
+def plain_tree(rows: list[tuple], held, share: float, least: float) -> list[float]:
+    """The same tree with dictionaries, word by word."""
+    texts = [[None, *blank_words(lowered(text)), None] for _, text in rows]
+    training = [t for (key, _), t in zip(rows, texts, strict=True) if not held(key)]
+    n_all = sum(len(t) - 1 for t in training)
+    after = defaultdict(Counter)
+    for t in training:
+        for i in range(1, len(t)):
+            for length in range(3):
+                if i >= length:
+                    after[tuple(t[i - length:i])][t[i]] += 1
+    after = {c: n for c, n in after.items() if not c or sum(n.values()) >= max(1.0, share * n_all)}
+    size = {c: sum(n.values()) for c, n in after.items()}
+    even = n_all + len(after[()]) + 1
+
+    def chance(word, context, without=0):
+        if not context:
+            return (after[()][word] + 1) / even
+        types = len(after[context])
+        return (after[context][word] - without + types * chance(word, context[1:])) / (size[context] - without + types)
+
+    gain = {c: sum(n * math.log(chance(w, c, 1) / chance(w, c[1:])) for w, n in after[c].items()) for c in after if c}
+    kept = {c[i:] for c, g in gain.items() if g >= least for i in range(len(c) + 1)} | {()}
     out = []
-    for text in texts:
-        symbols = []
-        for word in blank_words(lowered(text)):
-            symbols += [int(alphabet.symbols[b]) for b in word.encode()] + [s.SPACE]
-        symbols.append(s.END)
-        past, total = [s.END] * s.DEPTH, 0.0
-        for symbol in symbols:
-            state = next(states[tuple(past[k:])] for k in range(s.DEPTH + 1) if tuple(past[k:]) in states)
-            total += float(np.float32(tree.chances[state, symbol])) + (alphabet.other if symbol == s.OTHER else 0)
-            past = [*past[1:], symbol]
+    for t in texts:
+        total = 0.0
+        for i in range(1, len(t)):
+            # The longest candidate, then its longest retained end.
+            context = next(c for c in (tuple(t[max(0, i - k):i]) for k in (2, 1, 0)) if c in after)
+            while context not in kept:
+                context = context[1:]
+            total += math.log10(chance(t[i], context))
         out.append(total)
-    return out
-
-
-def counted(texts: list[str], alphabet: s.Alphabet) -> pd.DataFrame:
-    rows = Counter()
-    for text in texts:
-        symbols = [s.END] * s.DEPTH
-        for word in blank_words(lowered(text)):
-            symbols += [int(alphabet.symbols[b]) for b in word.encode()] + [s.SPACE]
-        symbols.append(s.END)
-        for i in range(s.DEPTH, len(symbols)):
-            for length in range(s.DEPTH + 1):
-                code = 0
-                for x in symbols[i - length:i]:
-                    code = code * s.SYMBOLS + x
-                rows[length, code, symbols[i]] += 1
-    return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["length", "context", "symbol", "n"])
-
-
-def test_scores_against_a_plain_walk(spark):
-    texts = [r[1] for r in small_rows("documents")][:60]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts, _ = s.byte_counts(docs)
-    alphabet = s.Alphabet(counts)
-    found = s.candidates(s.gram_counts(docs, alphabet), 0.0)
-    keys = ["length", "context", "symbol"]
-    expected = counted(texts, alphabet).sort_values(keys).reset_index(drop=True)
-    got = found.astype("int64").sort_values(keys).reset_index(drop=True)
-    pd.testing.assert_frame_equal(got, expected.astype("int64"))
-    tree = s.grow(found, 30.0)
-    assert len(tree.contexts[2]) > 10
-    scorer = s.Scorer(tree, alphabet)
-    values, sizes = scorer.score(pa.array(texts, pa.string()))
-    assert values.tolist() == pytest.approx(slow_scores(texts, tree, alphabet), rel=1e-6)
-    # Each state's chances are a distribution; each retained context's shorter ones are retained.
-    assert np.allclose((10.0**tree.chances).sum(1), 1)
-    for length in range(2, s.DEPTH + 1):
-        assert set((tree.contexts[length] % s.SYMBOLS ** (length - 1)).tolist()) <= set(tree.contexts[length - 1].tolist())
-
-
-def test_contexts_that_tell_nothing_are_left_out():
+    return out, kept
+
+
+@pytest.mark.parametrize("share, least", [(1e-3, 10.0), (5e-3, 0.0), (1e-2, -1e9)])
+def test_scores_against_a_plain_tree(spark, monkeypatch, share, least):
+    monkeypatch.setattr(s, "BLOCK_BYTES", 100_000)
+    monkeypatch.setattr(s, "STRETCH_WORDS", 30_000)
+    real = s.candidates, s.retain
+    monkeypatch.setattr(s, "candidates", lambda docs: real[0](docs, share))
+    monkeypatch.setattr(s, "retain", lambda gathered, shorter: real[1](gathered, shorter, least))
+    rows = [r[:2] for r in small_rows("documents", MIDDLE)][:250]
+    held = lambda key: zlib.crc32(str(key).encode()) % 7 == 2
+    docs = spark.createDataFrame([(k, t, held(k)) for k, t in rows], "doc_id long, text string, held_out boolean")
+    expected, kept = plain_tree(rows, held, share, least)
+    got = {r["doc_id"]: r["score"] for r in s.score(docs.repartition(3)).collect()}
+    assert [got[k] for k, _ in rows] == pytest.approx(expected, rel=1e-9)
+    assert any(len(c) == 1 for c in kept) and any(len(c) == 2 for c in kept) == (share < 5e-3)
+
+
+def test_contexts_that_tell_nothing_are_left_out(spark):
+    # After "x" comes mostly "a", after "y" anything.
     rng = np.random.default_rng(1)
-    rows = [(0, 0, x, 20_000) for x in range(2, 6)]
-    for context in range(2, 6):
-        share = [0.97, 0.01, 0.01, 0.01] if context == 3 else [0.25] * 4
-        rows += [(1, context, 2 + i, n) for i, n in enumerate(rng.multinomial(20_000, share))]
-    tree = s.grow(pd.DataFrame(rows, columns=["length", "context", "symbol", "n"]))
-    assert tree.contexts[1].tolist() == [3]
-
-
-def test_streams_do_not_mix_texts():
-    alphabet = s.Alphabet(np.ones(256, np.int64))
-    words = Words.between(WHITE)
-    texts = ["ab  c", None, "d\n"]
-    stream, begins, _ = alphabet.stream(words, pa.array(texts, pa.string()))
-    single = [alphabet.stream(words, pa.array([t], pa.string()))[0] for t in texts]
-    assert stream.tolist() == np.concatenate(single).tolist()
-    assert np.diff(begins).tolist() == [len(x) for x in single]
+    texts = []
+    for _ in range(300):
+        words = []
+        for _ in range(20):
+            words.append(str(rng.choice(["x", "y"])))
+            words.append("a" if words[-1] == "x" and rng.random() < 0.9 else str(rng.choice(["a", "b", "c", "d"])))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    contexts, _ = s.candidates(docs, 0.01)
+    tree = s.retain(s.cut_lineage(s._gather(s._requests(docs, contexts, 2), contexts.shorter)), contexts.shorter)
+    words = s.Words.between(s.WHITE).read(pa.array(["x a"]))[0]
+    assert all(tree.retained[s._look_up(contexts.singles, contexts.single_numbers, words)])
+    pair = s.chained(words[1:], words[:1])
+    # "a x" foretells no more than "x".
+    assert s._look_up(contexts.pairs, contexts.pair_numbers, pair)[0] > 0
+    assert not tree.retained[s._look_up(contexts.pairs, contexts.pair_numbers, pair)][0]
 
 
 def test_odd_rows(spark):
