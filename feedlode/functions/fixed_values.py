@@ -98,9 +98,9 @@ url: %s
 文本內容：
 %s"""
 
-# Token hash (FNV-1a, 64 bits, as two 32-bit halves) and vector sizes.
+# Token hash (FNV-1a, 64 bits) and vector sizes.
 FNV_OFFSET = 0xCBF29CE484222325
-FNV_PRIME_LOW = 0x1B3
+FNV_PRIME = 0x100000001B3
 EMBEDDING_DIMS = 256
 MIN_EMBEDDING_DIMS = 32
 
@@ -116,4 +116,3 @@ LIVE_FEED_SIZE = 60
 SAMPLES_PER_CLUSTER = 3
 DEDUP_TTL_SECONDS = 7 * 24 * 3600
 BATCH_PER_FEED = 20
-INGESTION_MINUTES = 15

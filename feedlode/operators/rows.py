@@ -77,3 +77,25 @@ __all__ = [
     "assign_post_id", "clean_text", "exclude_explicit", "instant", "keep_where", "match_keywords",
     "parse_times", "since",
 ]
+
+
+SHOWN_TEXTS = [
+    "cluster_key", "cluster_label", "source_post_id", "title", "author", "raw_content",
+    "core_pain_point", "current_workaround", "saas_feasibility", "analysis_model",
+    "embedding_model",
+]
+
+
+def present_insights(df: DataFrame) -> DataFrame:
+    """Fill missing values for display; the vector is left out. Columns that are not there are
+    not made up."""
+    present = {c: F.coalesce(F.col(c), F.lit("")) for c in SHOWN_TEXTS}
+    present["commercial_potential"] = F.coalesce(F.col("commercial_potential"), F.lit(0))
+    present["is_explicit_content"] = F.coalesce(F.col("is_explicit_content"), F.lit(False))
+    present["matched_keywords"] = F.coalesce(
+        F.col("matched_keywords"), F.array().cast("array<string>")
+    )
+    present["published_at"] = F.coalesce(F.col("published_at"), F.col("created_at"))
+    return df.select(
+        *[present[c].alias(c) if c in present else F.col(c) for c in df.columns if c != "embedding"]
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedlode.functions.fixed_values import SEARCH_LIMIT
 from feedlode.functions.limits import clamp_limit
-from feedlode.operators.rows import exclude_explicit
+from feedlode.operators.rows import exclude_explicit, present_insights
 
 # Vectors of one block of targets that each task holds, in bytes.
 BLOCK_BYTES = 64 << 20
@@ -45,9 +45,17 @@ def _best(ids: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return ids[order], cosines[order]
 
 
-def _candidates(insights: DataFrame, width: int, id_col: str, vector_col: str) -> DataFrame:
-    """Id and vector of every row that can be found."""
+MODEL = "embedding_model"
+
+
+def _candidates(
+    insights: DataFrame, width: int, id_col: str, vector_col: str, model: str | None = None
+) -> DataFrame:
+    """Id and vector of every row that can be found: of the same length, and of the same model
+    if that is known."""
     shown = exclude_explicit(insights) if "is_explicit_content" in insights.columns else insights
+    if model is not None and MODEL in insights.columns:
+        shown = shown.filter(F.col(MODEL) == model)
     usable = shown.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == width))
     return usable.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
 
@@ -80,6 +88,7 @@ def search_ids(
     id_col: str = "id",
     vector_col: str = "embedding",
     without_id: int | None = None,
+    model: str | None = None,
 ) -> DataFrame:
     """Ids and cosines of the k nearest rows.
 
@@ -87,7 +96,7 @@ def search_ids(
     per task leave it.
     """
     query = np.asarray(query_vector, dtype=np.float64)
-    rows = _candidates(insights, len(query), id_col, vector_col)
+    rows = _candidates(insights, len(query), id_col, vector_col, model)
     if without_id is not None:
         rows = rows.filter(F.col("id") != without_id)
     best = rows.mapInArrow(_batches_of_top_k(query, k), "id bigint, cosine double")
@@ -95,13 +104,13 @@ def search_ids(
 
 
 def _with_rows(insights: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The full rows of at most 200 ids: that limit bounds the broadcast."""
+    """The rows of at most 200 ids, ready for display: that limit bounds the broadcast."""
     found = found.select(
         F.col("id").alias(id_col),
         F.greatest(F.lit(0.0), F.col("cosine")).alias("similarity"),
         F.col("cosine").alias("_cosine"),
     )
-    full = insights.join(F.broadcast(found), id_col)
+    full = present_insights(insights.join(F.broadcast(found), id_col))
     return full.orderBy(F.col("_cosine").desc(), F.col(id_col)).drop("_cosine")
 
 
@@ -111,15 +120,16 @@ def semantic_search(
     k: object = SEARCH_LIMIT,
     id_col: str = "id",
     vector_col: str = "embedding",
+    model: str | None = None,
 ) -> DataFrame:
     """The k non-explicit rows closest to the query, with ``similarity`` = max(0, cosine).
 
-    An empty query finds nothing. Rows without a vector, with one of another length, or
-    with a zero vector are left out.
+    An empty query finds nothing. Rows without a vector, with one of another length or of
+    another model than ``model``, or with a zero vector are left out.
     """
     if len(query_vector) == 0:
-        return insights.withColumn("similarity", F.lit(0.0)).limit(0)
-    found = search_ids(insights, query_vector, clamp_limit(k), id_col, vector_col)
+        return present_insights(insights.withColumn("similarity", F.lit(0.0)).limit(0))
+    found = search_ids(insights, query_vector, clamp_limit(k), id_col, vector_col, model=model)
     return _with_rows(insights, found, id_col)
 
 
@@ -139,11 +149,15 @@ def similar_insights(
     id_col: str = "id",
     vector_col: str = "embedding",
 ) -> DataFrame:
-    """The k rows most like row ``row_id``, without that row."""
-    query = vector_of(insights, row_id, id_col, vector_col)
-    if not query:
-        return insights.withColumn("similarity", F.lit(0.0)).limit(0)
-    found = search_ids(insights, query, clamp_limit(k), id_col, vector_col, without_id=row_id)
+    """The k rows most like row ``row_id``, without that row; only vectors of its model count."""
+    named = MODEL in insights.columns
+    target = insights.filter((F.col(id_col) == row_id) & F.col(vector_col).isNotNull())
+    row = target.select(vector_col, F.col(MODEL) if named else F.lit(None)).first()
+    if not row or not row[0]:
+        return present_insights(insights.withColumn("similarity", F.lit(0.0)).limit(0))
+    found = search_ids(
+        insights, list(row[0]), clamp_limit(k), id_col, vector_col, without_id=row_id, model=row[1]
+    )
     return _with_rows(insights, found, id_col)
 
 
@@ -240,7 +254,7 @@ def _search_shuffled_blocks(
 
 def similar_insights_bulk(
     insights: DataFrame,
-    ids: Sequence[int] | DataFrame | None = None,
+    ids: Sequence[int] | DataFrame,
     k: object = SEARCH_LIMIT,
     id_col: str = "id",
     vector_col: str = "embedding",
@@ -249,8 +263,9 @@ def similar_insights_bulk(
 ) -> DataFrame:
     """The k rows most like each target: (target_id, id, similarity, rank).
 
-    ``ids`` is a list, a frame with the id column, or None for all rows. The number and
-    length of the target vectors is looked up first: up to ``broadcast_bytes`` they are
+    ``ids``, a list or a frame with the id column, states the targets: the work is that of all
+    rows for each of them. Vectors of different length or model are not compared. The number
+    and length of the target vectors is looked up first: up to ``broadcast_bytes`` they are
     handed to the tasks, beyond that both sides are shuffled in blocks. No pair of rows is
     ever written out, only the k best of each target per task.
     """
@@ -258,17 +273,20 @@ def similar_insights_bulk(
     targets = insights.filter(F.col(vector_col).isNotNull())
     if isinstance(ids, DataFrame):
         targets = targets.join(ids.select(id_col).distinct(), id_col, "left_semi")
-    elif ids is not None:
+    else:
         targets = targets.filter(F.col(id_col).isin([int(i) for i in ids]))
+    model = F.col(MODEL) if MODEL in insights.columns else F.lit(None).cast("string")
     targets = targets.select(
-        F.col(id_col).alias("target_id"), F.col(vector_col).alias("target_vector")
+        F.col(id_col).alias("target_id"), F.col(vector_col).alias("target_vector"), model.alias("model")
     )
-    # Vectors of different length are not comparable: each length is searched on its own.
-    widths = targets.groupBy(F.size("target_vector").alias("width")).count().collect()
+    # Each length and model, of which there are few, is searched on its own.
+    kinds = targets.groupBy(F.size("target_vector").alias("width"), "model").count().collect()
     parts = []
-    for width, n in sorted((r["width"], r["count"]) for r in widths if r["width"] > 0):
-        some = targets.filter(F.size("target_vector") == width)
-        rows = _candidates(insights, width, id_col, vector_col)
+    for width, name, n in sorted(
+        ((r["width"], r["model"], r["count"]) for r in kinds if r["width"] > 0), key=str
+    ):
+        some = targets.filter((F.size("target_vector") == width) & F.col("model").eqNullSafe(name)).drop("model")
+        rows = _candidates(insights, width, id_col, vector_col, name)
         size = n * width * 8
         if size <= broadcast_bytes:
             parts.append(_search_shared_block(rows, some, width, k))

@@ -29,6 +29,7 @@ WORDS = {
     "physical_words": ["double"], "explicit_signals": ["that"],
 }
 TWO_DAYS = 2 * 24 * 3600
+STREAM_PARTS = 3
 TREND_AS_OF = tables.AS_OF.replace(day=1, hour=12)
 TREND_HOURS = 11
 TOP = 20
@@ -319,7 +320,8 @@ def similar_insights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar_bulk(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = similarity.similar_insights_bulk(tables.vectors(spark, sf), None, 8)
+    stored = tables.vectors(spark, sf)
+    pairs = similarity.similar_insights_bulk(stored, stored.select("id"), 8)
     return pairs.select(
         "target_id", "id", F.round("similarity", 4).alias("similarity"),
         F.col("rank").cast("bigint").alias("rank"),
@@ -374,7 +376,7 @@ def ingestion_report(spark: SparkSession, sf: str) -> DataFrame:
     errors = seen.filter(failed).select(
         "source", F.lit("error").alias("outcome"), F.concat("source", F.lit(": fetch failed")).alias("error")
     )
-    outcomes = report.ingestion_outcomes(fetched, admitted, ["event_id"]).unionByName(errors)
+    outcomes = report.ingestion_outcomes(fetched, admitted).unionByName(errors.withColumn("n", F.lit(1).cast("bigint")))
     return shown(report.ingestion_report(outcomes))
 
 
@@ -429,10 +431,23 @@ def running_stats(spark: SparkSession, sf: str) -> DataFrame:
 # Streams. Each runs until the input is used up, then its result is read.
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table as a file stream, be it one file or a folder (hence the pattern)."""
-    schema = tables.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+def _stream(spark: SparkSession, sf: str, name: str, order: str) -> DataFrame:
+    """A given table as a stream of several micro-batches, in order of a column."""
+    rows = tables.table(spark, sf, name)
+    folder = work_path(spark, f"landed-{name}")
+    cuts = rows.select(F.percentile_approx(
+        F.unix_micros(F.col(order).cast("timestamp")),
+        F.array(*[F.lit(i / STREAM_PARTS) for i in range(1, STREAM_PARTS)]),
+    )).first()[0] or []
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    part = sum(((at >= cut).cast("int") for cut in cuts), F.lit(0))
+    # Landed one after another: a file stream goes by the time of its files.
+    parts = cut_lineage(rows.withColumn("_part", part))
+    files = spark.sparkContext.defaultParallelism
+    for i in range(len(cuts) + 1):
+        landed = parts.filter(F.col("_part") == i).drop("_part").repartition(files)
+        landed.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _finish(writer: DataStreamWriter, name: str) -> None:
@@ -452,7 +467,7 @@ def _to_parquet(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 def dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
-    events = _stream(spark, sf, "events").select(
+    events = _stream(spark, sf, "events", "ts").select(
         F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("id"),
         F.col("ts").cast("timestamp").alias("seen_at"), "event_id",
     )
@@ -473,7 +488,7 @@ def _event_store(spark: SparkSession, sf: str) -> InsightStore:
     folder = work_path(spark, "store")
     store = InsightStore(spark, folder, STORE_SCHEMA, order=["created_at", "id"], buckets=8)
     score = (F.floor("value") % 10 + 1).cast("int")
-    stream = _stream(spark, sf, "events").select(
+    stream = _stream(spark, sf, "events", "ts").select(
         F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("source_post_id"),
         F.col("event_id").alias("id"), score.alias("commercial_potential"),
         F.when(score > 2, F.array(score.cast("float"))).alias("embedding"),
@@ -491,8 +506,16 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def live_insights(spark: SparkSession, sf: str) -> DataFrame:
     """Saved non-explicit rows, streamed on from the store's change log."""
     changes = _event_store(spark, sf).change_stream()
-    saved = rows.exclude_explicit(changes).select("platform", "source_post_id", "commercial_potential", "created_at")
-    return shown(_to_parquet(spark, saved, "live"))
+    texts = {c: F.lit(None).cast("string") for c in rows.SHOWN_TEXTS if c not in changes.columns}
+    full = changes.withColumns({
+        **texts, "matched_keywords": F.lit(None).cast("array<string>"),
+        "published_at": F.lit(None).cast("timestamp"),
+    })
+    # Every change is handed on; the last one of a row tells how it stands.
+    keys, values = ["platform", "source_post_id"], ["commercial_potential", "published_at", "created_at"]
+    saved = _to_parquet(spark, live.live_insights(full).select(*keys, *values, "version"), "live")
+    last = saved.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("_last"))
+    return shown(last.select(*keys, "_last.*"))
 
 
 def running_stats_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -516,16 +539,20 @@ def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     raw = cut_lineage(tables.all_payloads(spark, sf))
     hour = F.make_dt_interval(F.lit(0), F.lit(1))
     again = raw.withColumn("fetched_at", F.col("fetched_at") + hour)
-    raw.unionByName(again).write.partitionBy("source").parquet(f"{folder}/landed")
+    # Landed in two parts, which the feed takes in several micro-batches.
+    for part in (raw, again):
+        part.write.mode("append").partitionBy("source").parquet(f"{folder}/landed")
     store = InsightStore(spark, f"{folder}/insights", buckets=8)
     words = {k: KEYWORDS for k in ("forum", "listing", "atom", "transcript")}
 
     def analyse(batch: DataFrame) -> DataFrame:
         return analyze.analyze_heuristic(batch, **WORDS)
 
+    landed = f"{folder}/landed"
+    files = -(-len(spark.read.parquet(landed).inputFiles()) // STREAM_PARTS)
     writer = flow.run_feed(
-        flow.read_landed(spark, f"{folder}/landed"), store, flow.feed_ledger(spark, f"{folder}/ledger"),
-        f"{folder}/checkpoint", AS_OF, words, analyse=analyse,
+        flow.read_landed(spark, landed, max_files=files), store, flow.feed_ledger(spark, f"{folder}/ledger"),
+        f"{folder}/checkpoint", AS_OF, words, analyse=analyse, details=flow.landed_details(spark, landed),
     )
     _finish(writer, "feed")
     stored = store.read().select(

@@ -16,29 +16,11 @@ from feedlode.functions.fixed_values import (
 )
 from feedlode.functions.limits import clamp_hours, clamp_limit
 from feedlode.functions.rounding import mean_one_decimal
-from feedlode.operators.rows import exclude_explicit, instant, since
+from feedlode.operators.rows import exclude_explicit, instant, present_insights, since
 from feedlode.session import cut_lineage
 
-SHOWN_TEXTS = [
-    "cluster_key", "cluster_label", "source_post_id", "title", "author", "raw_content",
-    "core_pain_point", "current_workaround", "saas_feasibility", "analysis_model",
-    "embedding_model",
-]
-
-
-def present_insights(df: DataFrame) -> DataFrame:
-    """Fill missing values for display; the vector is left out."""
-    present = {c: F.coalesce(F.col(c), F.lit("")) for c in SHOWN_TEXTS}
-    present["commercial_potential"] = F.coalesce(F.col("commercial_potential"), F.lit(0))
-    present["is_explicit_content"] = F.coalesce(F.col("is_explicit_content"), F.lit(False))
-    present["matched_keywords"] = F.coalesce(
-        F.col("matched_keywords"), F.array().cast("array<string>")
-    )
-    present["published_at"] = F.coalesce(F.col("published_at"), F.col("created_at"))
-    return df.select(
-        *[present[c].alias(c) if c in present else F.col(c) for c in df.columns if c != "embedding"]
-    )
-
+# Most rows of a live feed whose keys are broadcast.
+FEW_ROWS = 10_000
 
 def latest_insights(
     df: DataFrame, limit: object = LATEST_LIMIT, include_explicit: bool = False
@@ -106,14 +88,19 @@ def trend_clusters(
             mean.alias("average_score"),
             F.coalesce(F.max("commercial_potential"), F.lit(0)).alias("top_score"),
             F.max("created_at").alias("latest_seen_at"),
-            # All platforms belong to the result, and there are few.
-            F.sort_array(F.collect_set("platform")).alias("platforms"),
         )
         .orderBy(*order)
         .limit(clamp_limit(limit))
     )
-    samples = _samples(rows, top.select("cluster_key"))
+    keys = top.select("cluster_key")
+    samples = _samples(rows, keys)
+    # Platforms are free text, so only those of the result's keys are gathered.
+    platforms = (
+        rows.select("cluster_key", "platform").join(F.broadcast(keys), "cluster_key", "left_semi").distinct()
+        .groupBy("cluster_key").agg(F.sort_array(F.collect_list("platform")).alias("platforms"))
+    )
     none = F.array().cast("array<string>")
+    top = top.join(platforms, "cluster_key")
     filled = top.join(F.broadcast(samples), "cluster_key", "left").withColumns(
         {c: F.coalesce(F.col(c), none) for c in ("sample_titles", "sample_pain_points")}
     )
@@ -154,6 +141,8 @@ def live_feed(
     shown = last.select(
         F.col(key), F.col(f"_last.{ts}").alias(ts), F.col("_last").getField(tie).alias("_tie")
     )
-    shown = shown.orderBy(F.col(ts).desc(), F.col("_tie").desc()).limit(clamp_limit(n))
-    full = df.withColumn("_tie", F.col(tie)).join(F.broadcast(shown), [key, ts, "_tie"])
+    shown = shown.orderBy(F.col(ts).desc(), F.col("_tie").desc()).limit(n)
+    # Their number is the caller's: few are handed to the tasks, more are shuffled.
+    shown = F.broadcast(shown) if n <= FEW_ROWS else shown
+    full = df.withColumn("_tie", F.col(tie)).join(shown, [key, ts, "_tie"])
     return full.orderBy(F.col(ts).desc(), F.col("_tie").desc()).select(*df.columns)

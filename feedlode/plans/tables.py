@@ -12,16 +12,9 @@ KEYWORDS = ["license", "data", "worthless", "double", "that"]
 FEED_SIZE = 20
 
 
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Texts in fewer files than there are cores are dealt out to all cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
-    return df
+    """A given table. How finely its files are split is left to the session's settings."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def minutes_after_start(minutes: Column) -> Column:
@@ -46,14 +39,6 @@ def document_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flagged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document posts with the toxic label as explicit flag; NULL without a label."""
-    labels = table(spark, sf_dir, "labels").select(
-        "doc_id", (F.col("toxic") == 1).alias("is_explicit_content")
-    )
-    return document_posts(spark, sf_dir).join(labels, "doc_id", "left")
-
-
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("platform"),

@@ -286,10 +286,10 @@ per AS (
     CASE WHEN event_type = 'error' THEN 'error: fetch failed' ELSE '' END AS error_reasons
   FROM events LEFT JOIN ok ON ok.platform = event_type GROUP BY event_type)
 SELECT source, 1::BIGINT AS sources, fetched::BIGINT AS fetched, enqueued::BIGINT AS enqueued,
-  (fetched - enqueued)::BIGINT AS skipped_duplicates, errors::BIGINT AS errors, error_reasons FROM per
+  (fetched - enqueued)::BIGINT AS skipped_duplicates, errors::BIGINT AS errors, 0::BIGINT AS cut_items, error_reasons FROM per
 UNION ALL
 SELECT '(total)', count(*), sum(fetched)::BIGINT, sum(enqueued)::BIGINT, sum(fetched - enqueued)::BIGINT,
-  sum(errors)::BIGINT, max(error_reasons) FROM per"""
+  sum(errors)::BIGINT, 0::BIGINT, max(error_reasons) FROM per"""
 
 UPSERTED = f"""WITH {EVENTS},
 ranked AS (
@@ -478,7 +478,7 @@ SELECT doc_id, 256::BIGINT AS dims, COALESCE(filled, 0) AS filled, COALESCE(tota
     "upsert_latest": UPSERTED,
     "stream_upsert": UPSERTED,
     "ingestion_report": REPORT,
-    "live_insights": f"""WITH u AS ({UPSERTED}) SELECT platform, source_post_id, commercial_potential, created_at
+    "live_insights": f"""WITH u AS ({UPSERTED}) SELECT platform, source_post_id, commercial_potential, created_at AS published_at, created_at
 FROM u WHERE NOT COALESCE(is_explicit_content, FALSE)""",
     "running_stats_stream": f"""WITH u AS ({UPSERTED}), v AS (SELECT * FROM u WHERE NOT COALESCE(is_explicit_content, FALSE))
 SELECT count(*) AS total_insights, count(*) FILTER (created_at >= {STATS_AT} - INTERVAL 24 HOUR) AS live_last_24h,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +27,16 @@ def build_session(app: str = "feedlode", master: str | None = None, **settings:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
+    """The folder for checkpoints, which all executors can reach. Whoever starts the session
+    names it; the library makes none up."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_SETTING)
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedlode-"))
-    return context.getCheckpointDir()
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    folder = named or context.getCheckpointDir()
+    if not folder:
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
+    return folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:

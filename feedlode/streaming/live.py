@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlode.functions.rounding import mean_one_decimal
-from feedlode.operators.rows import exclude_explicit, instant
-from feedlode.plans.insights import present_insights
+from feedlode.operators.rows import exclude_explicit, instant, present_insights
 from feedlode.session import cut_lineage
 
 DAY_MICROS = 24 * 3600 * 1_000_000

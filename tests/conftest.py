@@ -15,7 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]",
         **{
@@ -26,5 +26,6 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("OFF")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

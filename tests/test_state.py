@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from feedlode.operators import analyze
 from feedlode.operators.dedup import dedup_ttl
 from feedlode.operators.report import ingestion_outcomes, ingestion_report
 from feedlode.operators.upsert import upsert_latest
-from feedlode.plans import catalog, tables
-from feedlode.schema import INSIGHT_SCHEMA
+from feedlode.plans import catalog, insights, tables
+from feedlode.schema import INSIGHT_SCHEMA, RAW_SCHEMA
 from feedlode.session import work_path
 from feedlode.sources import payloads
 from feedlode.streaming import flow, live
@@ -150,10 +152,16 @@ def test_report(spark):
     seen = frame(spark, rows).withColumn("source", F.col("platform"))
     admitted = dedup_ttl(seen, tie=["n"])
     failed = spark.createDataFrame([("r", "error", "r: bad")], "source string, outcome string, error string")
-    report = ingestion_report(ingestion_outcomes(seen, admitted, ["n"]).unionByName(failed))
+    failed = failed.withColumn("n", F.lit(1).cast("bigint"))
+    report = ingestion_report(ingestion_outcomes(seen, admitted).unionByName(failed), ["p", "q", "r", "s"])
     got = {r["source"]: tuple(r)[1:] for r in report.collect()}
-    assert got["p"] == (1, 2, 1, 1, 0, []) and got["r"] == (1, 0, 0, 0, 1, ["r: bad"])
-    assert got["(total)"] == (3, 3, 2, 1, 1, ["r: bad"])
+    assert got["p"] == (1, 2, 1, 1, 0, 0, []) and got["r"] == (1, 0, 0, 0, 1, 0, ["r: bad"])
+    # A configured source that was silent counts as one.
+    assert got["s"] == (1, 0, 0, 0, 0, 0, []) and got["(total)"] == (4, 3, 2, 1, 1, 0, ["r: bad"])
+    # Equal repeats are duplicates.
+    twice = seen.unionAll(seen.limit(1))
+    rows = ingestion_outcomes(twice, dedup_ttl(twice, tie=["n"])).where("source = 'p'").collect()
+    assert {r["outcome"]: r["n"] for r in rows} == {"enqueued": 1, "duplicate": 2}
 
 
 def test_whole_feed_in_two_runs(spark):
@@ -197,3 +205,141 @@ def test_store_keeps_few_manifests(spark, monkeypatch):
     stored = state(store.read())
     assert stored["a"] == (0, 4, [1.0], 0) and len(stored) == 6
     assert spark.read.parquet(f"{folder}/manifest").select("version").distinct().count() == 2
+
+
+def test_late_sightings(spark):
+    """Out of order: admitted if far from all admitted ones, whatever the days between."""
+    folder = work_path(spark, "test-late")
+    ledger = SightingLedger(spark, f"{folder}/ledger", ttl_seconds=3600, tie=["n"])
+    hours = [[12, 30], [2, 11.5, 12.5, 29.2], [-400, 12.9, 13, 28.9]]
+    for batch, times in enumerate(hours):
+        rows = [("p", "a", START + timedelta(hours=h), i + 10 * batch) for i, h in enumerate(times)]
+        ledger.admit(frame(spark, rows), batch)
+    got = sorted((r["seen_at"] - START).total_seconds() / 3600 for r in ledger.read().collect())
+    assert got == [-400, 2, 12, 13, 28.9, 30]
+
+
+def test_any_split_keeps_sightings_apart(spark):
+    rows = random_rows(8, 300, 900)
+    folder = work_path(spark, "test-splits")
+    ledger = SightingLedger(spark, f"{folder}/ledger", ttl_seconds=1800, tie=["n"])
+    for batch, start in enumerate((100, 0, 200)):
+        ledger.admit(frame(spark, rows[start:start + 100]), batch)
+    times = {}
+    for r in ledger.read().collect():
+        times.setdefault((r["platform"], r["id"]), []).append(r["seen_at"])
+    for own in times.values():
+        own.sort()
+        assert all(b - a >= timedelta(seconds=1800) for a, b in zip(own, own[1:]))
+
+
+def test_old_batches_are_not_applied_again(spark):
+    folder = work_path(spark, "test-replay")
+    store = InsightStore(spark, folder, ROW, buckets=2, compact_every=6)
+    store.merge(writes(spark, ("a", 1, 1, True, False)), "A", 0)
+    for batch in range(17):
+        store.merge(writes(spark, ("a", batch + 2, 10 + batch, True, False)).coalesce(1), "B", batch)
+    before = state(store.read())
+    store.merge(writes(spark, ("a", 1, 1, True, False)), "A", 0)
+    assert state(store.read()) == before and before["a"][1] == 26
+
+
+def test_a_merge_that_died_shows_nothing(spark, monkeypatch):
+    folder = work_path(spark, "test-crash")
+    store = InsightStore(spark, folder, ROW, buckets=2)
+    store.merge(writes(spark, ("a", 1, 5, True, False)), batch_id=0)
+
+    real = InsightStore._log
+
+    def die(self, *given):
+        real(self, *given)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(InsightStore, "_log", die)
+        with pytest.raises(RuntimeError):
+            store.merge(writes(spark, ("a", 3, 9, True, False)), batch_id=1)
+    assert {r["version"] for r in store.changes().collect()} == {1}
+    store.merge(writes(spark, ("b", 2, 7, True, False)), batch_id=1)
+    stats = live.running_stats(store.changes(), START + timedelta(hours=28)).first()
+    assert tuple(stats) == (2, 0, 6.0)
+    # A move that broke off is finished by whoever reads next.
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{folder}/staged"))
+    files.rename(path(f"{folder}/changes/version=2"), path(f"{folder}/staged/version=2"))
+    assert store.changes().count() == 2 and state(store.read())["b"][1] == 7
+
+
+def feed_rows(store):
+    rows = store.read().select("source_post_id", "raw_content", "matched_keywords").collect()
+    return sorted((r[0], r[1], tuple(r[2])) for r in rows)
+
+
+@pytest.mark.parametrize("order", ["before", "with", "after"])
+def test_details_whenever_they_land(spark, order):
+    lists = spark.createDataFrame(
+        [("forum", "job", START, '[{"id": 1, "title": "data", "excerpt": "short"}, {"id": 2, "title": "data", "excerpt": "x"}]')],
+        RAW_SCHEMA)
+    detail = spark.createDataFrame(
+        [("forum_detail", "1", START, '{"content": "the full text of data"}')], RAW_SCHEMA)
+    parts = {"before": [detail, lists], "with": [lists.unionByName(detail)], "after": [lists, detail]}[order]
+    results = []
+    for max_files in (1, 1000):
+        folder = work_path(spark, "test-details")
+        store = InsightStore(spark, f"{folder}/store", INSIGHT_SCHEMA, buckets=2)
+
+        def run():
+            landed = f"{folder}/landed"
+            flow.run_feed(
+                flow.read_landed(spark, landed, max_files), store, flow.feed_ledger(spark, f"{folder}/ledger"),
+                f"{folder}/checkpoint", None, {"forum": ["data"]}, details=flow.landed_details(spark, landed),
+            ).trigger(availableNow=True).start().awaitTermination()
+
+        for part in parts:
+            part.coalesce(1).write.mode("append").partitionBy("source").parquet(f"{folder}/landed")
+            if max_files == 1:
+                # Worked off before the next one lands.
+                run()
+        run()
+        results.append(feed_rows(store))
+    assert results[0] == results[1] == [("1", "the full text of data", ("data",)), ("2", "x", ("data",))]
+
+
+def test_rows_a_model_fails_on_are_kept_apart(spark):
+    texts = [("listing", "s", START, json.dumps({"data": {"children": [
+        {"data": {"id": str(i), "title": t}} for i, t in enumerate(("good", "bad", "odd", "fine"))]}}))]
+    folder = work_path(spark, "test-model")
+    spark.createDataFrame(texts, RAW_SCHEMA).write.partitionBy("source").parquet(f"{folder}/landed")
+    store = InsightStore(spark, f"{folder}/store", INSIGHT_SCHEMA, buckets=2)
+
+    def make():
+        def answer(prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("no")
+            return ['{"commercial_potential": 4}' if "odd" not in p else "?" for p in prompts]
+
+        return answer
+
+    flow.run_feed(
+        flow.read_landed(spark, f"{folder}/landed"), store, flow.feed_ledger(spark, f"{folder}/ledger"),
+        f"{folder}/checkpoint", None, {"listing": []}, log=f"{folder}/log",
+        analyse=lambda posts: analyze.score_with_model(posts, make, "m"),
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert {r["title"]: r["commercial_potential"] for r in store.read().collect()} == {"good": 4, "fine": 4}
+    rejects = spark.read.parquet(f"{folder}/log/rejects").collect()
+    assert {(json.loads(r["payload"])["title"], r["stage"], r["error"]) for r in rejects} == {
+        ("bad", "analysis", "RuntimeError: no"), ("odd", "analysis", "unreadable answer")}
+
+
+def test_live_feed_is_as_long_as_asked_for(spark):
+    df = spark.range(600).select(F.col("id"), F.timestamp_seconds(F.col("id")).alias("created_at"))
+    assert insights.live_feed(df, 500).count() == 500
+
+
+def test_stream_queries_take_several_batches(spark):
+    stream = catalog._stream(spark, "/root/testdata/sf0.001", "events", "ts")
+    query = stream.writeStream.format("noop").option(
+        "checkpointLocation", work_path(spark, "test-batches")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 3

@@ -55,7 +55,7 @@ def test_bulk(stored, sizes):
     """Handed to the tasks or shuffled in blocks: the same as one query per row."""
     df, rows = stored
     got = {}
-    for r in similarity.similar_insights_bulk(df, None, 4, **sizes).orderBy("target_id", "rank").collect():
+    for r in similarity.similar_insights_bulk(df, df.select("id"), 4, **sizes).orderBy("target_id", "rank").collect():
         got.setdefault(r["target_id"], []).append(r["id"])
     for i, v, _ in rows:
         expected = brute(rows, v, 4, i) if v is not None and any(v) else []
@@ -106,3 +106,47 @@ def test_embedding_model(spark):
     got = {r["t"]: r["embedding"] for r in embed.embed_with_model(df, "t", make, "m", title="title").collect()}
     assert [round(x, 5) for x in got["a"]] == [0.6, 0.8]
     assert got[" <b> </b>"] is None and got["none"] is None
+
+
+def test_models_are_not_mixed(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "b"), (3, [0.9, 0.1], "a"), (4, [0.5, 0.5], None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, embedding_model string").withColumn(
+        "title", F.lit(None).cast("string"))
+    assert [r["id"] for r in similarity.similar_insights(df, 1, 9).collect()] == [3]
+    got = similarity.semantic_search(df, [1.0, 0.0], 9, model="b").collect()
+    assert [r["id"] for r in got] == [2] and got[0]["title"] == "" and "embedding" not in got[0].asDict()
+    bulk = similarity.similar_insights_bulk(df, [1, 2], 9).collect()
+    assert [(r["target_id"], r["id"]) for r in bulk] == [(1, 3)]
+
+
+def test_hashes_of_long_tokens():
+    import time
+
+    import pyarrow as pa
+
+    def plain(token):
+        value = 0xCBF29CE484222325
+        for byte in token.encode():
+            value = ((value ^ byte) * 0x100000001B3) % 2**64
+        return value
+
+    tokens = [f"token{i}" for i in range(20_000)] + ["x" * 50_000, "", "é" * 300, "ab"]
+    start = time.perf_counter()
+    hashes = embed.token_hashes(pa.array(tokens))
+    assert time.perf_counter() - start < 1
+    for i in (*range(0, 20_000, 999), *range(20_000, 20_004)):
+        assert int(hashes[i]) == plain(tokens[i])
+
+
+def test_one_bad_row_costs_few_calls():
+    calls = []
+
+    def scorer(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise RuntimeError("no")
+        return ["ok"] * len(prompts)
+
+    answers = analyze._ask_halved(scorer, ["good"] * 100 + ["bad"] + ["good"] * 155)
+    assert [a for a, _ in answers].count("ok") == 255 and answers[100] == (None, "RuntimeError: no")
+    assert len(calls) <= 17
