@@ -3,6 +3,10 @@ passages, encoding. Each stage is written as Parquet and read again by the next.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,24 @@ from feedlode.llm.common import table
 from feedlode.session import cut_lineage
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _with_folder(stage: Stage) -> Stage:
+    """A stage that, without a cluster and a named folder, writes to a temporary one."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+        if not named and context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="pipeline-"))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_with_folder
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are judged toxic; null and empty texts stay."""
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
@@ -19,6 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(F.col("score") < toxicity.CUT).select(*docs.columns)
 
 
+@_with_folder
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand in an earlier place; what is left empty by that goes."""
     found = line_dedup.dedup_lines(docs)
@@ -28,16 +51,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@_with_folder
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones, that of the smallest id."""
     return near_join.keep_one(docs)
 
 
+@_with_folder
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a passage of the benchmark."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_with_folder
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of what is left, and the text that they decode to."""
     found = pieces.encode_decode(docs, pieces.model_path())
