@@ -24,8 +24,9 @@ from feedlode.llm.words import NOT_ALNUM, Words, owners
 
 #: Most examples of each label, and most words that are kept.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES, KEPT_WORDS = 2_000, 4_000, 2_048
-#: Least log-likelihood ratio (G squared) of a kept word.
-SIGNIFICANT = 20.0
+#: Least log-likelihood ratio (G squared) of a kept word, and how much more often it must occur
+#: in texts of label 1: words of a language or a topic go with a label, too, but weakly.
+SIGNIFICANT, LIFT = 20.0, 3.0
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 32, 3
 CUT = 0.7
 REMEMBER = 50_000
@@ -70,7 +71,7 @@ def telling_words(examples: pd.DataFrame, most: int = KEPT_WORDS) -> np.ndarray:
     share = (a + b) / (n1 + n0)
     g2 = 2 * (term(a, n1 * share) + term(n1 - a, n1 * (1 - share))
               + term(b, n0 * share) + term(n0 - b, n0 * (1 - share)))
-    good = np.flatnonzero((g2 >= SIGNIFICANT) & (a * n0 > b * n1))
+    good = np.flatnonzero((g2 >= SIGNIFICANT) & ((a + 0.5) * n0 >= LIFT * (b + 0.5) * n1))
     good = good[np.lexsort((words[good], -g2[good]))][:most]
     return np.sort(words[good])
 
