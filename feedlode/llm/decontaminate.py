@@ -119,8 +119,9 @@ def phrase_places(index: Index) -> DataFrame:
     exact = (F.col("rank") == 0) & (F.array_join(here, " ") == F.col("phrase"))
     met = moved.groupBy("key_a", "key_b", "phrase", "start").agg(
         F.first("n_words").alias("n_words"), F.first("n_anchors").alias("n_anchors"),
-        F.count_distinct("rank").alias("ranks"), F.max(exact).alias("exact"))
-    return met.where("ranks = n_anchors AND exact").select("key_a", "key_b", "phrase", "start", "n_words")
+        # One bit per word whose list has the place.
+        F.bit_or(F.expr("shiftleft(1, rank)")).alias("ranks"), F.max(exact).alias("exact"))
+    return met.where("ranks = shiftleft(1, n_anchors) - 1 AND exact").select("key_a", "key_b", "phrase", "start", "n_words")
 
 
 def near_places(index: Index, slack: int) -> DataFrame:

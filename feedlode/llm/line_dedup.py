@@ -22,8 +22,9 @@ SEEDS = (1, 2, 3)
 SPACING = 2
 #: Least lines and words of a chunk that counts as a passage.
 MIN_LINES, MIN_WORDS = 2, 10
-#: After a line break, or after a sentence end and the space behind it.
-LINE_END = r"(?<=\n|[.!?] )"
+#: After a line break, or after a sentence end and the space behind it. The first part, which the
+#: second implies, is quick to rule out most places.
+LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
 BLANK = " \t\r\n"
 
 
