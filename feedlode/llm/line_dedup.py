@@ -49,22 +49,29 @@ def _chunks(hashes: str, seed: int) -> Column:
 def _spans(ends: str, size: str, seed: int) -> Column:
     closed = F.concat(F.col(ends), F.array(F.col(size)))
     starts = F.concat(F.array(F.lit(1)), F.transform(F.col(ends), lambda e: e + 1))
-    return F.zip_with(starts, closed, lambda a, b: F.struct(
+    spans = F.zip_with(starts, closed, lambda a, b: F.struct(
         F.lit(seed).alias("seed"), a.alias("first"), b.alias("last")))
+    return F.filter(spans, lambda s: s["last"] - s["first"] >= MIN_LINES - 1)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose value is worked out once per row, however often it is used: what is
+    used within a function over an array would else be worked out per element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def chunk_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key_a, key_b, first, last, chunk): chunks of several lines, with a hash that stands for
     the set of borders and the lines' bytes without the blanks around them."""
-    lines = docs.select("key_a", "key_b", F.transform(
-        split_lines(F.col(f"`{text}`")), lambda line: F.xxhash64(_bare(line))).alias("hashes"))
+    line_hashes = F.transform(split_lines(F.col(f"`{text}`")), lambda line: F.xxhash64(_bare(line)))
+    lines = _once(docs.select("key_a", "key_b", line_hashes.alias("found")), "hashes", F.col("found"))
     ends = lines.select("key_a", "key_b", "hashes", F.size("hashes").alias("n"),
                         *[_chunks("hashes", s) for s in SEEDS])
-    spread = ends.select("key_a", "key_b", "hashes", F.inline(
-        F.concat(*[_spans(f"ends_{s}", "n", s) for s in SEEDS])))
-    long = spread.where(F.col("last") - F.col("first") >= MIN_LINES - 1)
-    own = F.slice("hashes", F.col("first"), F.col("last") - F.col("first") + 1)
-    return long.select("key_a", "key_b", "first", "last", F.xxhash64(own, "seed").alias("chunk"))
+    # Only what is wanted leaves the arrays: a row per chunk, without the document's other lines.
+    chunks = F.transform(F.concat(*[_spans(f"ends_{s}", "n", s) for s in SEEDS]), lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last"),
+        F.xxhash64(F.slice(F.col("hashes"), s["first"], s["last"] - s["first"] + 1), s["seed"]).alias("chunk")))
+    return ends.select("key_a", "key_b", F.inline(chunks))
 
 
 def _chunk_text(lines: Column, place: Column) -> Column:
@@ -76,19 +83,20 @@ def _chunk_text(lines: Column, place: Column) -> Column:
 def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
     """(key_a, key_b, places): per document the (first, last) lines of chunks that stand, byte
     for byte, in an earlier place too. Earlier is the smaller `order`, then key, then line."""
-    places = cut_lineage(chunk_places(docs, text).distinct())
+    places = cut_lineage(chunk_places(docs, text))
+    # Rows that repeat key and text are one document: they only make more suspects.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
     suspects = (places.join(again, "chunk").groupBy("key_a", "key_b")
-                .agg(F.collect_list(F.struct("first", "last", "chunk")).alias("suspects")))
+                .agg(F.collect_set(F.struct("first", "last", "chunk")).alias("suspects")))
     texts = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
-    # Rows that repeat key and text are one document.
-    read = texts.join(suspects, ["key_a", "key_b"]).select(
-        "key_a", "key_b", "rank", "suspects", split_lines(F.col("doc_text")).alias("lines"))
-    spread = read.select("key_a", "key_b", "rank", "lines", F.explode("suspects").alias("s"))
-    found = spread.select(
-        "key_a", "key_b", "s.first", "s.last", "s.chunk", _chunk_text(F.col("lines"), F.col("s")).alias("bytes"),
-        F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "s.first").alias("place"))
-    long = cut_lineage(found.where(F.size(F.split("bytes", " ")) >= MIN_WORDS))
+    read = texts.join(suspects, ["key_a", "key_b"])
+    read = _once(read, "lines", split_lines(F.col("doc_text"))).select("key_a", "key_b", "rank", "suspects", "lines")
+    chunks = F.transform("suspects", lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last"), s["chunk"].alias("chunk"),
+        _chunk_text(F.col("lines"), s).alias("bytes")))
+    found = read.select("key_a", "key_b", "rank", F.inline(chunks)).withColumn(
+        "place", F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first"))
+    long = cut_lineage(found.where(F.regexp_count("bytes", F.lit("[ \n]")) >= MIN_WORDS - 1).drop("rank"))
     # The first of equal texts; the hash deals the rows out, the bytes decide.
     firsts = long.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"))
     later = long.join(firsts, ["chunk", "bytes"]).where("place > kept")
@@ -113,12 +121,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
     narrow = narrow.select("*", *row_key("doc_order", "doc_text"))
     found = repeated_places(narrow, "doc_text", "doc_order").toDF(key_a, key_b, places)
     joined = keyed.join(found, [key_a, key_b], "left")
-    # Lines are wanted only where some go; a generator keeps them from being split once per use.
+    # Lines are wanted only where some go.
     split = F.when(F.col(places).isNotNull(), split_lines(F.col(f"`{text}`")))
-    spread = joined.select("*", F.explode(F.array(split)).alias(lines))
+    spread = _once(joined, lines, split)
     numbers = F.flatten(F.transform(F.col(places), lambda p: F.sequence(p["first"], p["last"])))
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), numbers)
-    spread = spread.select("*", F.explode(F.array(F.when(F.col(places).isNotNull(), left))).alias(kept))
+    spread = _once(spread, kept, F.when(F.col(places).isNotNull(), left))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i)), "")
     new_text = F.when(F.col(kept).isNull(), F.col(f"`{text}`")).otherwise(rest)
     count = F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
