@@ -243,12 +243,12 @@ def _requests(docs: DataFrame, contexts: Contexts, stretches: int) -> DataFrame:
         work, f"stretch long, block long, {_fields(PARTS)}, {_fields(HEADS)}")
 
 
-GATHERED = {"blocks": "binary", "types": "binary"}
+GATHERED = {"blocks": "binary", "names": "binary", "types": "binary"}
 
 
 def _gather(requests: DataFrame, shorter: np.ndarray) -> DataFrame:
     """One row per stretch: its occurrences of all blocks sorted by word (sizes, blocks, places,
-    contexts) and, per context, how many occurrences in training (types: pairs of the context's
+    contexts; a block's number counts in names) and, per context, how many occurrences in training (types: pairs of the context's
     count and its number of different words, for contexts in order). The blocks' own rows pass."""
     spark = requests.sparkSession
     shared = spark.sparkContext.broadcast(shorter)
@@ -265,7 +265,7 @@ def _gather(requests: DataFrame, shorter: np.ndarray) -> DataFrame:
         sizes = [_unpacked(rows["sizes"][i], np.int32) for i in order]
         places = np.concatenate([np.cumsum(_unpacked(rows["places"][i], np.int32)) for i in order])
         context = np.concatenate([_unpacked(rows["contexts"][i], np.int32) for i in order])
-        blocks = np.repeat(rows["block"].to_numpy()[order], [int(s.sum()) for s in sizes])
+        blocks = np.repeat(np.arange(len(order), dtype=np.int32), [int(s.sum()) for s in sizes])
         words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         word = np.repeat(inverse, np.concatenate(sizes)).astype(np.int32)
         by_word = np.argsort(word, kind="stable")
@@ -276,7 +276,7 @@ def _gather(requests: DataFrame, shorter: np.ndarray) -> DataFrame:
         np.add.at(stats, (own, 1), 1)
         return pa.Table.from_pylist([{
             "block": -1, "sizes": _packed(np.bincount(word, minlength=len(words)).astype(np.int32)),
-            "blocks": _packed(blocks), "places": _packed(places.astype(np.int32)),
+            "blocks": _packed(blocks), "names": _packed(rows["block"].to_numpy()[order]), "places": _packed(places.astype(np.int32)),
             "contexts": _packed(context), "types": _packed(stats),
         }], schema)
 
@@ -318,7 +318,7 @@ class Tree:
 
     def state(self, context: np.ndarray) -> np.ndarray:
         """The longest retained context of each candidate."""
-        state = np.arange(len(self.shorter))
+        state = np.arange(len(self.shorter), dtype=np.int64)
         for _ in range(2):
             state = np.where(self.retained[state], state, self.shorter[state])
         return state[context]
@@ -331,10 +331,10 @@ class Stretch:
         self.tree = tree
         self.size = len(tree.shorter)
         sizes = _unpacked(row["sizes"], np.int32)
-        self.word = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-        self.context = _unpacked(row["contexts"], np.int32).astype(np.int64)
+        self.word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.context = _unpacked(row["contexts"], np.int32)
         self.places = _unpacked(row["places"], np.int32)
-        self.blocks = _unpacked(row["blocks"], np.int64)
+        self.blocks, self.names = _unpacked(row["blocks"], np.int32), _unpacked(row["names"], np.int64)
         word, context, n = _counts(self.word, self.context, self.places % 2 == 0, tree.shorter)
         self.keys, self.n = word * self.size + context, n
         self.total = np.zeros(len(sizes), np.int64)
@@ -375,7 +375,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[Stretc
             yield Stretch({n: batch.column(n)[i] for n in batch.schema.names}, tree)
 
 
-STORED = ["sizes", "places", "contexts", "blocks"]
+STORED = ["sizes", "places", "contexts", "blocks", "names"]
 
 
 def retain(gathered: DataFrame, shorter: np.ndarray, least: float = LEAST_GAIN) -> Tree:
@@ -414,6 +414,8 @@ def retain(gathered: DataFrame, shorter: np.ndarray, least: float = LEAST_GAIN)
             better = stretch.chance(word, context, without=1)
             plain = stretch.chance(word, shared.value.shorter[context])
             total += np.bincount(context, n * np.log(better / plain), size)
+            # Before the next one is read.
+            del stretch, word, context, deep, n, better, plain
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["context", "v0"])
 
@@ -433,7 +435,8 @@ def _parts(gathered: DataFrame, tree: Tree) -> DataFrame:
         tree = shared.value
         for stretch in _stretches(batches, tree):
             # Equal words after equal contexts have one chance.
-            keys, inverse = np.unique(stretch.word * stretch.size + tree.state(stretch.context), return_inverse=True)
+            keys = stretch.word.astype(np.int64) * stretch.size + tree.state(stretch.context)
+            keys, inverse = np.unique(keys, return_inverse=True)
             model = np.log10(stretch.chance(keys // stretch.size, keys % stretch.size))[inverse]
             total = stretch.total[stretch.word]
             base = np.log10((total + 1) / tree.even)
@@ -443,12 +446,13 @@ def _parts(gathered: DataFrame, tree: Tree) -> DataFrame:
             for own in np.split(order, cuts[1:]) if len(order) else []:
                 place = stretch.places[own] >> 1
                 touched = np.flatnonzero(np.bincount(place))
-                out["block"].append(int(stretch.blocks[own[0]]))
+                out["block"].append(int(stretch.names[stretch.blocks[own[0]]]))
                 out["part"].append(int(stretch.word[own].sum()) ^ len(own))
                 out["places"].append(_packed(touched.astype(np.int32)))
                 out["known"].append(_packed(np.bincount(place, total[own] > 0)[touched].astype(np.int64)))
                 out["base"].append(_packed(np.bincount(place, base[own])[touched]))
                 out["model"].append(_packed(np.bincount(place, model[own])[touched]))
+            del stretch, keys, inverse, model, total, base, order
             yield pa.RecordBatch.from_pydict(out, pa.schema([
                 ("block", pa.int64()), ("part", pa.int64()),
                 *[(n, pa.binary()) for n in ("places", "known", "base", "model")]]))
