@@ -10,7 +10,7 @@ import corpus_pipeline
 from feedlode.llm.decontaminate import OP3_SQL, op3_decontamination
 from feedlode.llm.licenses import op1_licenses
 from feedlode.llm.line_dedup import op6_line_dedup
-from feedlode.llm.near_join import op8_near_duplicates
+from feedlode.llm.near_join import OP8_SQL, op8_near_duplicates
 from feedlode.llm.pieces import op2_sentencepiece
 from feedlode.llm.quality import op5_quality
 from feedlode.llm.suffix_tree import op4_lm_score
@@ -34,4 +34,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op8_near_duplicates": OP8_SQL,
 }

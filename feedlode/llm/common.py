@@ -71,3 +71,11 @@ def row_key(*columns: str) -> list[Column]:
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Ask for a broadcast of a table of so many rows if they are at most `most`."""
     return F.broadcast(df) if rows <= most else df
+
+
+#: The same words in DuckDB.
+LOWER_SQL = f"translate({{}}, '{UPPER}', '{LOWER}')"
+WORDS_SQL = (
+    f"regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)

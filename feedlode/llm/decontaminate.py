@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlode.llm.common import broadcast_if_small, fresh_name, row_key, split_words, table
+from feedlode.llm.common import WORDS_SQL, broadcast_if_small, fresh_name, row_key, split_words, table
 from feedlode.session import cut_lineage
 
 WINDOW = 10
@@ -203,9 +203,6 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS_SQL = f"regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
 OP3_SQL = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlode.llm.common import fresh_name, row_key, small_batches, table
+from feedlode.llm.common import WORDS_SQL, fresh_name, row_key, small_batches, table
 from feedlode.llm.graph import components
 from feedlode.llm.words import NOT_ALNUM, Words, chained, mixed, ngram_starts
 from feedlode.session import cut_lineage
@@ -307,3 +307,28 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return join_similar(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents
+), grams AS (
+  SELECT DISTINCT r, CASE WHEN len(w) < {SHINGLE} THEN w ELSE w[i:i + {SHINGLE - 1}] END AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT r, count(*) AS n FROM grams GROUP BY r
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.r <> b.r GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y
+  WHERE c >= {SIMILARITY} * (s.n + t.n - c) - 1e-6
+), reached AS (
+  SELECT r, r AS m FROM docs UNION SELECT reached.r, y FROM reached JOIN links ON x = m
+), classes AS (
+  SELECT reached.r, min(doc_id) AS class_id FROM reached JOIN docs ON docs.r = m GROUP BY reached.r
+), counts AS (
+  SELECT x AS r, count(*) AS n FROM links GROUP BY x
+)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links
+FROM docs JOIN classes USING (r) LEFT JOIN counts USING (r)
+"""

@@ -7,6 +7,7 @@ import numpy as np
 
 from feedlode.llm import near_join as n
 from feedlode.llm.graph import components
+from tests.compare import compare, connect
 from tests.llm.cases import MIDDLE, SMALL, TEXTS, no_docs, odd_docs, small_rows, words_of
 
 
@@ -59,6 +60,10 @@ def test_query_against_brute_force(spark):
         check(n.op8_near_duplicates(spark, sf_dir).collect(), rows)
 
 
+def test_query_against_sql(spark):
+    assert compare(n.op8_near_duplicates(spark, MIDDLE), n.OP8_SQL, connect(MIDDLE)) == []
+
+
 def near_copies(k: int, seed: int = 3) -> list[tuple]:
     rng = random.Random(seed)
     text = [f"w{rng.randrange(900)}" for _ in range(150)]
