@@ -22,7 +22,7 @@ BUCKETS = 1 << 16
 #: Added to each bucket's count, as a share of the bucket's part of all.
 SMOOTHING = 1.0
 #: Least score of a text that is kept, in natural logs per n-gram.
-THRESHOLD = -0.25
+THRESHOLD = -0.12
 #: Most trusted rows that the target is counted from; the raw side counts all rows.
 TRUSTED_ROWS = 20_000
 MIN_WORDS = 50
