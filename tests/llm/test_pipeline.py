@@ -40,6 +40,24 @@ def test_every_stage_does_its_work(spark):
         assert not windows & {tuple(words[i:i + 10]) for i in range(len(words) - 9)}
 
 
+def test_copies_go_with_their_passages(spark):
+    import random
+
+    from tests.llm.test_line_dedup import sentences
+
+    rng = random.Random(9)
+    whole = " ".join(sentences(rng, 30))
+    passage = " ".join(sentences(rng, 8))
+    rows = [(1, whole), (2, whole), (3, passage + " " + " ".join(sentences(rng, 12))),
+            (4, " ".join(sentences(rng, 12)) + " " + passage), (5, None), (6, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in p.drop_repeated_lines(spark, docs, SMALL).collect()}
+    assert set(got) == {1, 3, 4, 5, 6}
+    assert got[1]["text"] == whole and got[3]["text"] == rows[2][1] and got[5]["text"] is None
+    assert len(got[4]["text"]) == got[4]["n_chars"] < len(rows[3][1])
+
+
 def test_run(spark):
     rows = p.run(spark, SMALL).collect()
     before = {r[0]: r for r in small_rows("documents")}
