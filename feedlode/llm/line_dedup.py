@@ -1,11 +1,12 @@
-"""Line de-duplication by content-defined chunks of lines.
+"""Line de-duplication by runs of lines.
 
 A line here ends at a line break, or at the end of a sentence within it, so that a passage put
-into the middle of other text still consists of whole lines. A rolling hash over each line and
-the one before decides where chunks end: the decision depends on nearby lines only, so equal
-passages get equal chunks wherever they stand. Three independent sets of borders are used, so
-that a short passage holds whole chunks of at least one. Chunks of several lines whose hash
-occurs in more than one place are compared byte by byte, and all but the first are removed.
+into the middle of other text still consists of whole lines. A passage is at least two lines of
+ten words together, or one line of fifty. From every line on, the shortest run of lines that is
+a passage is taken; it depends on its own lines only, so whatever passage stands in two places
+has equal runs there. Where a run's hash occurs in more than one place, the runs that go on from
+there up to where the next line's run ends are looked at, too: all these cover a passage from
+its first line to its last. They are compared byte by byte, and all but the first are removed.
 DataFrame operations only.
 """
 
@@ -17,15 +18,18 @@ from pyspark.sql import functions as F
 from feedlode.llm.common import fresh_name, row_key, table
 from feedlode.session import cut_lineage
 
-#: Seeds of the sets of borders, and lines between two borders on average.
-SEEDS = (1, 2, 3)
-SPACING = 2
-#: Least lines and words of a chunk that counts as a passage.
-MIN_LINES, MIN_WORDS = 2, 10
-#: After a line break, or after a sentence end and the space behind it. The first part, which the
-#: second implies, is quick to rule out most places.
-LINE_END = r"(?<=[\n ])(?<=\n|[.!?] )"
+#: A passage has this many lines and words, or is one line of LONG_LINE words.
+MIN_LINES, MIN_WORDS, LONG_LINE = 2, 10, 50
+#: After a line break, or after a sentence end and the space behind it (none behind those of
+#: scripts without spaces). The first part, which the second implies, is quick to rule out most
+#: places.
+LINE_END = r"(?<=[\n 。！？])(?<=\n|[.!?] |[。！？])"
 BLANK = " \t\r\n"
+#: What counts as a word in lines with few blanks: a stretch between white space, of a very long
+#: one every twenty characters; in scripts without spaces, two letters.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+WORD = rf"[{UNSPACED}]{{1,2}}|[^\s\u00a0{UNSPACED}]{{1,20}}"
+FEW_BLANKS = 15
 
 
 def split_lines(text: Column) -> Column:
@@ -37,21 +41,35 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _chunks(hashes: str, seed: int) -> Column:
-    """Array of (seed, first, last) from the array of line hashes, lines counted from 1."""
-    own = F.col(hashes)
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice(own, 1, F.greatest(F.lit(0), F.size(own) - 1)))
-    rolling = F.zip_with(own, before, lambda a, b: F.xxhash64(a, b, F.lit(seed)))
-    marked = F.transform(rolling, lambda r, i: F.when(F.pmod(r, F.lit(SPACING)) == 0, i + 1).otherwise(0))
-    return F.filter(marked, lambda i: i > 0).alias(f"ends_{seed}")
+def _words(line: Column) -> Column:
+    """Words of a line without blanks around it, by the blanks in it if it has one every so many
+    bytes at least."""
+    plain = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
+        F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
 
 
-def _spans(ends: str, size: str, seed: int) -> Column:
-    closed = F.concat(F.col(ends), F.array(F.col(size)))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.col(ends), lambda e: e + 1))
-    spans = F.zip_with(starts, closed, lambda a, b: F.struct(
-        F.lit(seed).alias("seed"), a.alias("first"), b.alias("last")))
-    return F.filter(spans, lambda s: s["last"] - s["first"] >= MIN_LINES - 1)
+def _shortest(words: Column) -> Column:
+    """How many of the first counts make up several lines of enough words; null if all do not."""
+    zero = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
+    enough = lambda a: (a["lines"] >= MIN_LINES) & (a["words"] >= MIN_WORDS)
+    return F.aggregate(
+        words, zero,
+        lambda a, w: F.when(enough(a), a).otherwise(
+            F.struct((a["lines"] + 1).alias("lines"), (a["words"] + w).alias("words"))),
+        lambda a: F.when(enough(a), a["lines"]))
+
+
+def _run_ends(words: Column) -> Column:
+    """Where the shortest passage from each line on ends, counted from 1; null if the text ends
+    before. `words` are the counts of lines that are not blank: as each of them has a word,
+    MIN_WORDS lines are always enough, and for most lines it is the next one."""
+    def onward(w: Column, i: Column) -> Column:
+        two = w + F.get(words, i + 1) >= MIN_WORDS
+        more = i + _shortest(F.slice(words, i + 1, MIN_WORDS))
+        return F.when(w >= LONG_LINE, i + 1).when(two, i + 2).otherwise(more)
+
+    return F.transform(words, onward)
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -61,51 +79,69 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def chunk_places(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key_a, key_b, first, last, chunk): chunks of several lines, with a hash that stands for
-    the set of borders and the lines' bytes without the blanks around them."""
-    line_hashes = F.transform(split_lines(F.col(f"`{text}`")), lambda line: F.xxhash64(_bare(line)))
-    lines = _once(docs.select("key_a", "key_b", line_hashes.alias("found")), "hashes", F.col("found"))
-    ends = lines.select("key_a", "key_b", "hashes", F.size("hashes").alias("n"),
-                        *[_chunks("hashes", s) for s in SEEDS])
-    # Only what is wanted leaves the arrays: a row per chunk, without the document's other lines.
-    chunks = F.transform(F.concat(*[_spans(f"ends_{s}", "n", s) for s in SEEDS]), lambda s: F.struct(
-        s["first"].alias("first"), s["last"].alias("last"),
-        F.xxhash64(F.slice(F.col("hashes"), s["first"], s["last"] - s["first"] + 1), s["seed"]).alias("chunk")))
-    return ends.select("key_a", "key_b", F.inline(chunks))
-
-
-def _chunk_text(lines: Column, place: Column) -> Column:
-    """The chunk's lines without the blanks around each, one per row."""
-    own = F.slice(lines, place["first"], place["last"] - place["first"] + 1)
-    return F.array_join(F.transform(own, _bare), "\n")
+    """(key_a, key_b, first, last, reach, chunk): the shortest passage from each line on, with a
+    hash that stands for the bytes of its lines but for blank ones and the blanks around the
+    others; up to the line `reach`, none that starts later has ended."""
+    bare = F.filter(F.transform(split_lines(F.col(f"`{text}`")), lambda line, i: F.struct(
+        (i + 1).alias("number"), _bare(line).alias("line"))), lambda x: x["line"] != "")
+    own = _once(docs.select("key_a", "key_b", bare.alias("found")), "own", F.col("found"))
+    # Whole columns, as a field taken out of an array of rows within a function is so per element.
+    own = own.select("key_a", "key_b", F.inline(F.array(F.struct(
+        F.col("own.number").alias("numbers"),
+        F.transform("own", lambda x: _words(x["line"])).alias("words"),
+        F.transform("own", lambda x: F.xxhash64(x["line"])).alias("hashes")))))
+    read = _once(own, "ends", _run_ends(F.col("words"))).select("key_a", "key_b", "numbers", "hashes", "ends")
+
+    def place(end: Column, i: Column) -> Column:
+        reach = F.coalesce(F.get("ends", i + 1) - 1, F.size("numbers"))
+        return F.when(end.isNotNull(), F.struct(
+            F.get("numbers", i).alias("first"), F.get("numbers", end - 1).alias("last"),
+            F.get("numbers", F.greatest(end, reach) - 1).alias("reach"),
+            F.xxhash64(F.slice("hashes", i + 1, end - i)).alias("chunk")))
+
+    # Only what is wanted leaves the arrays: a row per run, without the document's other lines.
+    runs = F.filter(F.transform("ends", place), lambda p: p.isNotNull())
+    return read.select("key_a", "key_b", F.inline(runs))
+
+
+def _run_text(lines: Column, first: Column, last: Column) -> Column:
+    """The run's lines that are not blank, without the blanks around each, one per row."""
+    own = F.transform(F.slice(lines, first, last - first + 1), _bare)
+    return F.array_join(F.filter(own, lambda line: line != ""), "\n")
 
 
 def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """(key_a, key_b, places): per document the (first, last) lines of chunks that stand, byte
-    for byte, in an earlier place too. Earlier is the smaller `order`, then key, then line."""
+    """(key_a, key_b, places): per document the (first, last) lines of runs that stand, byte
+    for byte, in an earlier place too. Earlier is the smaller `order`, then key, then line. A document
+    that is one line and equals another such is a copy, not a passage within a text, and stays."""
     places = cut_lineage(chunk_places(docs, text))
     # Rows that repeat key and text are one document: they only make more suspects.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
     suspects = (places.join(again, "chunk").groupBy("key_a", "key_b")
-                .agg(F.collect_set(F.struct("first", "last", "chunk")).alias("suspects")))
+                .agg(F.collect_set(F.struct("first", "last", "reach", "chunk")).alias("suspects")))
     texts = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
     read = texts.join(suspects, ["key_a", "key_b"])
-    read = _once(read, "lines", split_lines(F.col("doc_text"))).select("key_a", "key_b", "rank", "suspects", "lines")
-    chunks = F.transform("suspects", lambda s: F.struct(
-        s["first"].alias("first"), s["last"].alias("last"), s["chunk"].alias("chunk"),
-        _chunk_text(F.col("lines"), s).alias("bytes")))
-    found = read.select("key_a", "key_b", "rank", F.inline(chunks)).withColumn(
-        "place", F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first"))
-    long = cut_lineage(found.where(F.regexp_count("bytes", F.lit("[ \n]")) >= MIN_WORDS - 1).drop("rank"))
+    read = _once(read.withColumn("size", F.length(_bare(F.col("doc_text")))), "lines", split_lines(F.col("doc_text")))
+    read = read.select("key_a", "key_b", "rank", "suspects", "lines", "size")
+    # A run that ends with a blank line is one that ends before.
+    ends = lambda s: F.filter(F.sequence(s["last"], s["reach"]), lambda e: _bare(F.element_at("lines", e)) != "")
+    chunks = F.flatten(F.transform("suspects", lambda s: F.transform(ends(s), lambda e: F.struct(
+        s["first"].alias("first"), e.alias("last"), s["chunk"].alias("chunk"),
+        _run_text(F.col("lines"), s["first"], e).alias("bytes")))))
+    found = read.select("key_a", "key_b", "rank", "size", F.inline(chunks)).withColumn(
+        "place", F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
+                          ((F.col("first") == F.col("last")) & (F.length("bytes") == F.col("size"))).alias("alone")))
+    found = cut_lineage(found.drop("rank", "size"))
     # The first of equal texts; the hash deals the rows out, the bytes decide.
-    firsts = long.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"))
-    later = long.join(firsts, ["chunk", "bytes"]).where("place > kept")
+    firsts = found.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"))
+    later = found.join(firsts, ["chunk", "bytes"]).where(
+        "place > kept AND NOT (place.alone AND kept.alone)")
     return later.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("first", "last")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
                 removed: str = "n_removed") -> DataFrame:
-    """All columns of the rows, the text without repeated chunks, and the number of lines removed.
+    """All columns of the rows, the text without repeated passages, and the number of lines removed.
 
     A null text stays null, an empty one empty. Rows that repeat the order column and the text
     are one document and are treated alike, so none of them loses its text to another. A column

@@ -101,3 +101,68 @@ def test_odd_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = d.op6_line_dedup(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def sentence(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+
+
+def test_every_passage_goes_from_its_first_line_to_its_last(spark):
+    rng = random.Random(8)
+    rows, passages = [], {}
+    for n in range(1, 7):
+        for size in (51, 60, 75):
+            for _ in range(6):
+                # Sentences of any lengths, also of one word.
+                cuts = sorted(rng.sample(range(1, size), n - 1))
+                passage = " ".join(sentence(rng, b - a) for a, b in zip([0, *cuts], [*cuts, size], strict=True))
+                for _ in range(2):
+                    at, gap = len(rows), rng.choice([" ", "\n", "\n\n"])
+                    rows.append((at, f"{sentence(rng, 7)}{gap}{passage}{gap}{sentence(rng, 7)}"))
+                passages[at] = passage
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.dedup_lines(docs).collect()}
+    for i, text in rows:
+        if i not in passages:
+            assert got[i]["text"] == text and got[i]["n_removed"] == 0
+            continue
+        first, last = text.split(passages[i])
+        assert lines_of(got[i]["text"])[0] == lines_of(first)[0] and got[i]["text"].endswith(last.strip(d.BLANK))
+        assert set(lines_of(got[i]["text"])) - {""} == {first.strip(d.BLANK), last.strip(d.BLANK)}
+
+
+def test_passages_without_spaces(spark):
+    rng = random.Random(3)
+
+    def han(n: int) -> str:
+        return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+    one_line, sentences_of = han(120), han(30) + "。" + han(30) + "。"
+    code = "".join(rng.choice("abcdef0123456789") for _ in range(1200))
+    rows = []
+    for passage in (one_line + "\n", sentences_of, code + "\n"):
+        for _ in range(2):
+            rows.append((len(rows), f"{han(9)}\n{passage}{han(9)}。"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in d.dedup_lines(docs).collect()}
+    for i, text in rows:
+        assert got[i] == (text if i % 2 == 0 else text[:10] + text[-10:])
+
+
+def test_short_lines_that_stand_elsewhere_stay(spark):
+    rng = random.Random(5)
+    short = sentence(rng, 20)
+    rows = [(i, f"{sentence(rng, 8)} {short} {sentence(rng, 8)}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in d.dedup_lines(docs).collect()} == dict(rows)
+
+
+def test_one_line_documents(spark):
+    rng = random.Random(7)
+    line, first, last = sentence(rng, 60), sentence(rng, 8), sentence(rng, 8)
+    inside = f"{first} {line} {last}"
+    # The only line of a document goes where a longer text had it first, and from a longer text
+    # where it came first; whole copies are no passages.
+    for texts, left in (([inside, line], [inside, ""]), ([line, inside], [line, f"{first} {last}"]), ([line] * 2, [line] * 2)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert [r["text"] for r in d.dedup_lines(docs).orderBy("doc_id").collect()] == left
