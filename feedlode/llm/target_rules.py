@@ -15,16 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlode.llm.common import small_batches, table
+from feedlode.llm.common import broadcast_if_small, small_batches, table
 from feedlode.llm.words import WHITE, Words, chained, mixed, ngram_starts, owners, per_text, text_bytes
+from feedlode.session import cut_lineage
 
 BUCKETS = 1 << 16
 #: Added to each bucket's count, as a share of the bucket's part of all.
 SMOOTHING = 1.0
 #: Least score of a text that is kept, in natural logs per n-gram.
 THRESHOLD = -0.12
-#: Most trusted rows that the target is counted from; the raw side counts all rows.
-TRUSTED_ROWS = 20_000
+#: Trusted ids up to which they are broadcast; beyond that they meet the texts in a shuffle.
+BROADCAST_IDS = 1_000_000
 MIN_WORDS = 50
 
 SYMBOLS = b"#*$%&|<>"
@@ -166,12 +167,15 @@ def judge(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
             .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD)))
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """The documents with a column trusted: among those labelled 1 for quality, the `most` with
-    the smallest hash of their id. Only these ids, at most `most`, are broadcast."""
-    ids = (labels.where("quality = 1").select("doc_id").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True)))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+def trusted_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """The documents with a column trusted: those labelled 1 for quality, all of them unless
+    only the `most` with the smallest hash of their id are wanted."""
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    if most is not None:
+        ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = cut_lineage(ids)
+    flags = broadcast_if_small(ids.withColumn("trusted", F.lit(True)), ids.count(), BROADCAST_IDS)
+    return docs.select("doc_id", "text").join(flags, "doc_id", "left")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -80,3 +80,15 @@ def test_trusted_rows_are_bounded(spark):
     labels = labels.unionAll(labels)
     rows = t.trusted_rows(docs, labels, 10).collect()
     assert len(rows) == docs.count() and sum(bool(r["trusted"]) for r in rows) == 10
+
+
+def test_all_trusted_rows_count(spark, monkeypatch):
+    n = 21_000
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    for limit in (t.BROADCAST_IDS, 0):
+        monkeypatch.setattr(t, "BROADCAST_IDS", limit)
+        rows = t.trusted_rows(docs, labels.unionAll(labels))
+        assert rows.count() == 2 * n and rows.where("trusted AND doc_id % 2 = 1").count() == n
+        assert rows.where("trusted AND doc_id % 2 = 0").count() == 0
+        assert t.bucket_counts(rows).agg(F.sum("target")).first()[0] == n
