@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlode.llm import decontaminate, line_dedup, near_join, pieces, toxicity
-from feedlode.llm.common import fresh_name, table
+from feedlode.llm.common import table
 from feedlode.session import cut_lineage
 
 
@@ -41,20 +41,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(F.col("score") < toxicity.CUT).select(*docs.columns)
 
 
-#: Share of its characters that a document must keep when repeated passages go: what is left of
-#: a copy are single lines between the passages.
-LEAST_LEFT = 0.2
-
-
 @_with_folder
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand in an earlier place. A document that loses nearly all of
-    its text by that is a copy and goes; one that loses nothing stays as it is."""
-    before = fresh_name("before", docs.columns)
-    found = line_dedup.dedup_lines(docs.withColumn(before, F.length("text")))
+    """Texts without passages that stand in an earlier place. A document that has nothing left
+    goes; what is left of any other stays, however little, as no passage of it stands in an
+    earlier place. One that loses nothing stays as it is."""
+    found = line_dedup.dedup_lines(docs)
     changed = F.col("n_removed") > 0
-    size = F.length(F.btrim("text", F.lit(line_dedup.BLANK)))
-    left = found.where(~changed | (size >= LEAST_LEFT * F.col(before)))
+    left = found.where(~changed | (F.btrim("text", F.lit(line_dedup.BLANK)) != ""))
     n_chars = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -58,6 +58,24 @@ def test_copies_go_with_their_passages(spark):
     assert len(got[4]["text"]) == got[4]["n_chars"] < len(rows[3][1])
 
 
+def test_what_stands_nowhere_else_stays(spark):
+    import random
+
+    from tests.llm.test_line_dedup import sentences
+
+    rng = random.Random(4)
+    shared, own = sentences(rng, 60), sentences(rng, 3)
+    rows = [(1, " ".join(shared[:30])), (2, " ".join(shared[30:])), (3, " ".join(shared + own)),
+            (4, " ".join(shared[:20] + own[:1] + shared[20:])), (5, " ".join(shared))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in p.drop_repeated_lines(spark, docs, SMALL).collect()}
+    # The line of 4 is shorter than a passage, all of 5 stands before.
+    assert {k: r["text"].strip() for k, r in got.items()} == {
+        1: rows[0][1], 2: rows[1][1], 3: " ".join(own), 4: own[0]}
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 def test_run(spark):
     rows = p.run(spark, SMALL).collect()
     before = {r[0]: r for r in small_rows("documents")}
