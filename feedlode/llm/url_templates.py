@@ -19,7 +19,8 @@ from feedlode.session import cut_lineage
 
 #: Distinct segments of one shape below a node from which on they are a wildcard.
 MANY = 8
-#: Segments that the tree goes down; what lies deeper is one branch.
+#: Segments from which on a path that is alone below its node is not followed: it has no
+#: siblings to be generalised or compared with.
 DEPTH = 6
 #: Siblings differ from the others at this many standard errors.
 DIFFERENT = 2.0
@@ -104,20 +105,36 @@ def _one_level(nodes: DataFrame, level: int) -> DataFrame:
             .drop("segment", "shape", "token"))
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _close_single(nodes: DataFrame, level: int) -> DataFrame:
+    """Paths that alone go on below their node at this level get one branch for what is deeper."""
+    deeper = F.size("segments") > level
+    single = (nodes.where(deeper).groupBy("host", "template").agg(F.count("*").alias("n"))
+              .where("n = 1").select("host", "template", F.lit(True).alias("single")))
+    alone = deeper & F.col("single").isNotNull()
+    marked = nodes.join(single, ["host", "template"], "left").withColumn("alone", alone)
+    return (marked.withColumn("template", F.when(F.col("alone"), F.concat("template", F.lit("/**")))
+                              .otherwise(F.col("template")))
+            .withColumn("segments", F.when(F.col("alone"), F.slice("segments", 1, level)).otherwise(F.col("segments")))
+            .drop("single", "alone"))
+
+
+def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template, allowed, blocked) from one row per host and path with its labels.
 
     Every step aggregates per node and segment before anything moves, so that a hot host is a
     matter of its distinct segments; what each level has found is written before the next.
+    It ends where no path has a further segment, or none that it shares a node with another.
     """
     spark = paths.sparkSession
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     nodes = cut_lineage(paths.withColumn("segments", segments).withColumn("template", F.lit("")), spark)
-    longest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, longest)):
+    level = 0
+    while level < (nodes.agg(F.max(F.size("segments"))).first()[0] or 0):
+        if level >= DEPTH:
+            nodes = cut_lineage(_close_single(nodes, level), spark)
         nodes = cut_lineage(_one_level(nodes, level), spark)
-    deeper = F.when(F.size("segments") > depth, F.lit("/**")).otherwise(F.lit(""))
-    return nodes.withColumn("template", F.concat("template", deeper)).drop("segments")
+        level += 1
+    return nodes.drop("segments")
 
 
 def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:

@@ -70,3 +70,11 @@ def test_templates(spark):
     assert of["h", "/a/b/c/d/e/f/g/h"].endswith("/**")
     share = {(r["host"], r["template"]): r["share"] for r in u.purity(found).collect()}
     assert share["h", "/spam/{9.a}"] > u.REJECT > 0.5 > share["h", "/news/{9.a}"]
+
+
+def test_templates_differ_below_the_sixth_segment(spark):
+    rows = [("h.org", f"/en/2024/05/01/sport/news/{kind}/a/{i}", int(kind == "good"), int(kind == "spam"))
+            for kind in ("good", "spam") for i in range(20)]
+    found = u.templates(spark.createDataFrame(rows, "host string, path string, allowed long, blocked long"))
+    by_kind = {kind: {r["template"] for r in found.collect() if f"/{kind}/" in r["path"]} for kind in ("good", "spam")}
+    assert len(by_kind["good"]) == len(by_kind["spam"]) == 1 and by_kind["good"] != by_kind["spam"]
