@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from feedlode.llm.decontaminate import OP3_SQL, op3_decontamination
+from feedlode.llm.fill_middle import OP11_SQL, op11_fill_middle
 from feedlode.llm.licenses import op1_licenses
 from feedlode.llm.line_dedup import op6_line_dedup
 from feedlode.llm.near_join import OP8_SQL, op8_near_duplicates
@@ -29,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_middle": op11_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op8_near_duplicates": OP8_SQL,
+    "op11_fill_middle": OP11_SQL,
 }
