@@ -15,6 +15,7 @@ from feedlode.llm.near_join import OP8_SQL, op8_near_duplicates
 from feedlode.llm.pieces import op2_sentencepiece
 from feedlode.llm.quality import op5_quality
 from feedlode.llm.spelling import op12_spelling_variants
+from feedlode.llm.suffix_dedup import op13_suffix_dedup
 from feedlode.llm.suffix_tree import op4_lm_score
 from feedlode.llm.target_rules import op10_quality_rules
 from feedlode.llm.toxicity import op7_toxicity
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_middle": op11_fill_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 

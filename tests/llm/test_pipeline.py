@@ -7,7 +7,7 @@ from tests.llm.test_near_join import shingles
 
 
 def test_registered():
-    assert [f"op{n}" for n in range(1, 13)] == [name.split("_")[0] for name in catalog.QUERIES if name != "pipeline"]
+    assert [f"op{n}" for n in range(1, 14)] == [name.split("_")[0] for name in catalog.QUERIES if name != "pipeline"]
     assert set(catalog.SQL) <= set(catalog.QUERIES)
     assert catalog.QUERIES["pipeline"] is p.run
     assert len(p.STAGES) == 5
