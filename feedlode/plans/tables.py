@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 KEYWORDS = ["license", "data", "worthless", "double", "that"]
-FEED_SIZE = 20
+# More than the items of one feed that are read of some kinds.
+FEED_SIZE = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +98,7 @@ def _payloads(df: DataFrame, source: str, feed: Column, fetched: Column, payload
 
 
 def _in_feeds(docs: DataFrame, item: Column) -> DataFrame:
-    """Items of 20 documents at a time, in order of id."""
+    """Items of 25 documents at a time, in order of id."""
     return docs.groupBy(_feed_number().alias("n")).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.col("doc_id"), item.alias("item")))),
@@ -107,7 +108,7 @@ def _in_feeds(docs: DataFrame, item: Column) -> DataFrame:
 
 
 def forum_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lists of 20 documents as JSON; those not in English also have a detail payload."""
+    """Lists of 25 documents as JSON; those not in English also have a detail payload."""
     docs = document_posts(spark, sf_dir)
     item = F.struct(
         F.col("doc_id").alias("id"), "title",
@@ -148,12 +149,16 @@ def _xml_text(col: Column) -> Column:
 
 
 def atom_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds of 20 documents as Atom XML; French documents have a blank id."""
+    """Feeds of 25 documents as Atom XML; French documents have a blank id, German ones have
+    markup within their text, of which only the direct text counts."""
+    inner = F.concat(F.lit("<div><p>"), _xml_text(F.col("title")), F.lit("</p>" + "<p>in<b>ner</b></p> " * 8 + "</div>"))
+    body = _xml_text(F.col("content"))
     entry = F.concat(
         F.lit("<entry><id>"), F.when(F.col("channel") == "fr", " ").otherwise(F.col("id")),
         F.lit("</id><title>"), _xml_text(F.col("title")),
         F.lit('</title><summary type="text">'), F.col("channel"),
-        F.lit('</summary><content type="text">'), _xml_text(F.col("content")),
+        F.when(F.col("channel") == "de", F.concat(F.lit('</summary><content type="xhtml">'), body, inner))
+        .otherwise(F.concat(F.lit('</summary><content type="text">'), body)),
         F.lit("</content><updated>"),
         F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
         F.lit('</updated><author><name>'), F.col("platform"),
@@ -171,7 +176,7 @@ def atom_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds of 20 documents as JSON; French ones have no id, English ones no transcript."""
+    """Feeds of 25 documents as JSON; French ones have no id, English ones no transcript."""
     item = F.struct(
         F.when(F.col("channel") != "fr", F.col("id")).alias("id"),
         F.when(F.col("platform") == "src7", " ").otherwise(F.col("platform")).alias("platform"),

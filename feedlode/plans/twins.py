@@ -222,7 +222,10 @@ SELECT id, platform, channel, content_kind, title, url, author, published_at,
 
 
 MATCHED = "len(found) > 0"
-FEED = "(doc_id // 20)"
+FEED = "(doc_id // 25)"
+#: Items of a feed that are read, of the kinds that have a limit.
+FIRST_ITEMS = {"atom": "WHERE doc_id % 25 < 20", "transcript": "WHERE doc_id % 25 < 20"}
+KINDS = ("forum", "listing", "atom", "transcript")
 FRENCH_HASH = "sha1('{}::' || {} || '::' || url || '::' || title)"
 
 FORUM_CONTENT = clean("CASE WHEN channel <> 'en' THEN '<b>Full</b> ' || content ELSE '<p>' || content || '</p>' END")
@@ -372,7 +375,8 @@ dots AS (
   FROM parts LEFT JOIN query q USING (bucket) GROUP BY doc_id)
 SELECT doc_id AS id, round(greatest(0, c), 4) AS similarity FROM dots ORDER BY round(c, 12) DESC, id LIMIT {TOP}"""
 
-FEED_ROWS = f"""WITH {POSTS}, shaped AS ({' UNION ALL '.join(shaped(**spec) for spec in PARSERS.values())}),
+FEED_ROWS = f"""WITH {POSTS}, shaped AS ({' UNION ALL '.join(
+    f"SELECT * FROM ({shaped(**spec)}) {FIRST_ITEMS.get(source, '')}" for source, spec in zip(KINDS, PARSERS.values()))}),
 found AS (SELECT *, found AS kw FROM shaped WHERE {MATCHED}), {ANALYSIS}, {CLUSTERING}
 SELECT platform, channel, content_kind, id AS source_post_id, cluster_key, core_pain_point,
   commercial_potential, is_explicit_content, {bar('kw')} AS matched_keywords,
@@ -440,8 +444,8 @@ SELECT conv_id::VARCHAR AS id, '{fixed.TRANSCRIPT_PLATFORM}' AS platform, '' AS
   'transcript' AS content_kind, '' AS title, '' AS url, '' AS author,
   TIMESTAMP '2024-01-31' AS published_at, '' AS matched_keywords, md5({clean('body')}) AS content_md5 FROM t""",
     "union_sources": "WITH " + POSTS + ", every AS (" + " UNION ALL ".join(
-        f"SELECT '{source}' AS source, * FROM ({shaped(**spec)})"
-        for source, spec in zip(("forum", "listing", "atom", "transcript"), PARSERS.values())
+        f"SELECT '{source}' AS source, * FROM ({shaped(**spec)}) {FIRST_ITEMS.get(source, '')}"
+        for source, spec in zip(KINDS, PARSERS.values())
     ) + """) SELECT source, platform, content_kind, count(*) AS posts,
   sum(length(content))::BIGINT AS content_chars, sum(length(title))::BIGINT AS title_chars FROM every GROUP BY ALL""",
     "feed_rejects": f"""SELECT 'sub1' AS feed, 'malformed payload' AS error, count(DISTINCT {FEED}) AS payloads
