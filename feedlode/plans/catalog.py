@@ -17,8 +17,9 @@ from feedlode.plans import insights, tables
 from feedlode.plans.tables import AS_OF, KEYWORDS
 from feedlode.session import cut_lineage, work_path
 from feedlode.sources import payloads, queue
-from feedlode.streaming import flow, live
+from feedlode.streaming import flow, live, stats
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
+from feedlode.streaming.details import LatestDetails
 from feedlode.streaming.store import InsightStore, insight_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -522,17 +523,36 @@ def running_stats_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics kept up to date from the store's change log."""
     changes = _event_store(spark, sf).change_stream()
     folder = work_path(spark, "stats")
-    stats = live.running_stats(changes, tables.AS_OF.replace(day=30))
+    totals = live.running_stats(changes, tables.AS_OF.replace(day=30))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    writer = stats.writeStream.outputMode("complete").foreachBatch(save)
+    writer = totals.writeStream.outputMode("complete").foreachBatch(save)
     _finish(writer.option("checkpointLocation", f"{folder}/checkpoint"), "stats")
     kept = spark.read.parquet(f"{folder}/out")
     return kept.orderBy(F.col("batch").desc()).limit(1).drop("batch")
 
 
+def ageing_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics from the change log as of several times, on a stream of them: the first halfway
+    through the days, the others while nothing is saved any more."""
+    folder = work_path(spark, "ageing")
+    kept = stats.HourlyStats(spark, f"{folder}/sums")
+    _finish(stats.stats_sink(_event_store(spark, sf).change_stream(), kept, f"{folder}/sums-checkpoint"), "sums")
+    # A time in each file, landed in order.
+    for hours in (-350, *range(0, 31, 5)):
+        tick = F.timestamp_seconds(F.unix_seconds(F.lit(tables.AS_OF)) + hours * 3600 + 1234)
+        spark.range(1).select(tick.alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/ticks")
+    ticks = spark.readStream.schema("at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/ticks")
+
+    def save(answer: DataFrame, batch_id: int) -> None:
+        answer.coalesce(1).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _finish(stats.ageing_stats(ticks, kept, f"{folder}/checkpoint", save, "at"), "ageing")
+    return shown(spark.read.parquet(f"{folder}/out").drop("batch"))
+
+
 def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads of all four kinds, each fetched twice, through to the store; its rows."""
     folder = work_path(spark, "feed")
@@ -552,7 +572,7 @@ def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     files = -(-len(spark.read.parquet(landed).inputFiles()) // STREAM_PARTS)
     writer = flow.run_feed(
         flow.read_landed(spark, landed, max_files=files), store, flow.feed_ledger(spark, f"{folder}/ledger"),
-        f"{folder}/checkpoint", AS_OF, words, analyse=analyse, details=flow.landed_details(spark, landed),
+        f"{folder}/checkpoint", AS_OF, words, analyse=analyse, details=LatestDetails(spark, f"{folder}/details", buckets=8),
     )
     _finish(writer, "feed")
     stored = store.read().select(
@@ -573,6 +593,6 @@ QUERIES: dict[str, Query] = {
         analyze_heuristic, build_prompts, parse_model_output, score_with_model, assign_clusters,
         cluster_sizes, embedding_text, hash_embed, embed_with_model, l2_normalize, semantic_search,
         similar_insights, similar_bulk, search_text, dedup_ttl, dedup_stream, upsert_latest,
-        stream_upsert, ingestion_report, live_insights, running_stats_stream, run_feed,
+        stream_upsert, ingestion_report, live_insights, running_stats_stream, ageing_stats, run_feed,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from feedlode.functions.rounding import mean_one_decimal
 from feedlode.operators.rows import exclude_explicit, instant, present_insights
 from feedlode.session import cut_lineage
+from feedlode.streaming.stats import change_sums
 
 DAY_MICROS = 24 * 3600 * 1_000_000
 
@@ -23,28 +24,16 @@ def running_stats(changes: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Total, last 24 hours and mean over distinct insights, from the change log.
 
     Works on a batch frame and on a stream in ``complete`` mode. An update counts as the
-    new row minus the former one, so nothing per insight is kept as state.
+    new row minus the former one, so nothing per insight is kept as state. On a stream,
+    ``as_of`` stands still; ``HourlyStats`` answers as of any time.
     """
-    shown = (~F.coalesce(F.col("is_explicit_content"), F.lit(False))).cast("bigint")
-    was_shown = F.when(
-        F.col("before").isNotNull(),
-        (~F.coalesce(F.col("before.is_explicit_content"), F.lit(False))).cast("bigint"),
-    ).otherwise(F.lit(0).cast("bigint"))
-    rows = shown - was_shown
+    shown, score, scored = change_sums(changes)
     recent = F.col("created_at") >= instant(as_of) - F.make_dt_interval(F.lit(1))
-
-    def weighted(value: Column, old_value: Column) -> Column:
-        return F.sum(shown * value - was_shown * old_value)
-
-    score, old_score = F.col("commercial_potential"), F.col("before.commercial_potential")
-    total_score = weighted(F.coalesce(score, F.lit(0)), F.coalesce(old_score, F.lit(0)))
-    scored = weighted(score.isNotNull().cast("int"), old_score.isNotNull().cast("int"))
+    zero = F.lit(0).cast("bigint")
     return changes.groupBy().agg(
-        F.coalesce(F.sum(rows), F.lit(0)).alias("total_insights"),
-        F.coalesce(F.sum(F.when(recent, rows)), F.lit(0)).alias("live_last_24h"),
-        mean_one_decimal(
-            F.coalesce(total_score, F.lit(0)), F.coalesce(scored, F.lit(0))
-        ).alias("average_potential"),
+        F.coalesce(F.sum(shown), zero).alias("total_insights"),
+        F.coalesce(F.sum(F.when(recent, shown)), zero).alias("live_last_24h"),
+        mean_one_decimal(F.coalesce(F.sum(score), zero), F.coalesce(F.sum(scored), zero)).alias("average_potential"),
     )
 
 

@@ -17,8 +17,10 @@ from feedlode.plans import catalog, insights, tables
 from feedlode.schema import INSIGHT_SCHEMA, RAW_SCHEMA
 from feedlode.session import work_path
 from feedlode.sources import payloads
-from feedlode.streaming import flow, live
+from feedlode.streaming import flow, live, stats
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
+from feedlode.streaming.details import LatestDetails
+from feedlode.streaming.slots import SlotTable
 from feedlode.streaming.store import InsightStore, insight_sink
 
 START = datetime(2024, 1, 1)
@@ -293,7 +295,7 @@ def test_details_whenever_they_land(spark, order):
             landed = f"{folder}/landed"
             flow.run_feed(
                 flow.read_landed(spark, landed, max_files), store, flow.feed_ledger(spark, f"{folder}/ledger"),
-                f"{folder}/checkpoint", None, {"forum": ["data"]}, details=flow.landed_details(spark, landed),
+                f"{folder}/checkpoint", None, {"forum": ["data"]}, details=LatestDetails(spark, f"{folder}/details", buckets=4),
             ).trigger(availableNow=True).start().awaitTermination()
 
         for part in parts:
@@ -343,3 +345,105 @@ def test_stream_queries_take_several_batches(spark):
         "checkpointLocation", work_path(spark, "test-batches")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 3
+
+
+def detail_payloads(spark, rows):
+    return spark.createDataFrame(
+        [("forum_detail", str(k), START + timedelta(hours=h), json.dumps({"content": text})) for k, h, text in rows], RAW_SCHEMA)
+
+
+def test_latest_details_by_post(spark):
+    folder = work_path(spark, "test-latest-details")
+    details = LatestDetails(spark, folder, buckets=4)
+    landed = details.update(detail_payloads(spark, [(1, 2, "one"), (2, 2, "two"), (1, 1, "older")]), 0)
+    assert sorted(map(tuple, landed.collect())) == [("1", "one"), ("2", "two")]
+    # One that lands late is no newer for that; of equal times the last read counts.
+    landed = details.update(detail_payloads(spark, [(1, 0, "late"), (2, 2, "again"), (3, 5, "three")]), 3)
+    assert sorted(map(tuple, landed.collect())) == [("1", "one"), ("2", "again"), ("3", "three")]
+    # A batch that is run again starts from what was before it, and gives the same.
+    again = details.update(detail_payloads(spark, [(1, 0, "late"), (2, 2, "again"), (3, 5, "three")]), 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, landed.collect()))
+    assert details.update(detail_payloads(spark, []), 4).count() == 0
+    wanted = spark.createDataFrame([("1",), ("3",), ("3",), ("9",)], "post_id string")
+    assert sorted(map(tuple, details.of(wanted).collect())) == [("1", "one"), ("3", "three")]
+    assert details.of(wanted.where("false")).count() == 0
+    assert {r["post_id"]: r["detail"] for r in details.read().collect()} == {"1": "one", "2": "again", "3": "three"}
+
+
+def test_details_read_per_batch_do_not_grow(spark, monkeypatch):
+    folder = work_path(spark, "test-details-bounded")
+    read, sizes = SlotTable.read, []
+
+    def counted(self, parts=None, before=None):
+        found = read(self, parts, before)
+        sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(SlotTable, "read", counted)
+    day = 24
+    details = LatestDetails(spark, folder, buckets=2, keep_seconds=2 * day * 3600)
+    for batch in range(10):
+        details.update(detail_payloads(spark, [(100 * batch + i, batch * day, "x") for i in range(20)]), batch)
+    # Those of the last two days and of the batch's own, of all that ever landed.
+    assert sizes[0] == 0 and max(sizes) == sizes[-1] == 60 and len(sizes) == 10
+    # Of the files, only those of the wanted bucket are read.
+    own = details.of(spark.createDataFrame([("900",)], "post_id string"))
+    assert len({f.split("bucket=")[1][0] for f in own.inputFiles()}) == 1 or own.count() == 1
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_a_slot_table_keeps_the_rows_of_a_batch_that_broke_off(spark, monkeypatch):
+    table = SlotTable(spark, work_path(spark, "test-slots"), "k string, v int, part int", "part")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, part int")
+    table.replace(frame(("a", 1, 0), ("b", 1, 1)), 0)
+    table.replace(frame(("a", 2, 0)), 1)
+    # Half of batch 2 was written when it broke off.
+    table.replace(frame(("a", 9, 0)), 2)
+    assert {tuple(r) for r in table.read(before=2).collect()} == {("a", 2, 0), ("b", 1, 1)}
+    table.replace(frame(("a", 3, 0), ("b", 3, 1)), 2)
+    assert {tuple(r) for r in table.read().collect()} == {("a", 3, 0), ("b", 3, 1)}
+    assert {tuple(r) for r in table.read([1]).collect()} == {("b", 3, 1)}
+    assert table.read([]).count() == 0 and table.replace(frame(), 3).count() == 0
+    # Two slots per partition, however many batches.
+    assert len({f.rsplit("/", 1)[0] for f in spark.read.parquet(table.path).inputFiles()}) == 4
+
+
+def test_recent_count_falls_while_nothing_is_saved(spark):
+    folder = work_path(spark, "test-hourly")
+    rng = random.Random(5)
+    store = InsightStore(spark, f"{folder}/store", "platform string, source_post_id string, id bigint, commercial_potential int, "
+                         "is_explicit_content boolean, created_at timestamp", buckets=2)
+    sums = stats.HourlyStats(spark, f"{folder}/sums")
+    rows = {}
+    for batch in range(4):
+        writes_ = []
+        for _ in range(60):
+            key = rng.randrange(120)
+            at = START + timedelta(microseconds=rng.randrange(3 * 86_400 * 1_000_000))
+            writes_.append(("p", str(key), key, rng.choice([None, 1, 5, 10]), rng.choice([None, True, False]), at))
+        writes_ = list({w[1]: w for w in writes_}.values())
+        for w in writes_:
+            rows[w[1]] = (w[3], w[4], rows[w[1]][2] if w[1] in rows else w[5])
+        store.merge(spark.createDataFrame(writes_, store.schema), batch_id=batch)
+        changes = store.changes().where(F.col("version") == batch + 1)
+        sums.update(changes, batch)
+        if batch == 2:
+            sums.update(changes, batch)
+    shown = [(score, at) for score, explicit, at in rows.values() if not explicit]
+    scores = [s for s, _ in shown if s is not None]
+    counts = []
+    for hours in (0, 30, 60.25, 72, 84.7, 95.99, 96, 97):
+        as_of = START + timedelta(hours=hours)
+        got = sums.at(as_of).first()
+        recent = sum(at >= as_of - timedelta(hours=24) for _, at in shown)
+        assert (got["total_insights"], got["live_last_24h"]) == (len(shown), recent)
+        assert abs(got["average_potential"] - sum(scores) / len(scores)) <= 0.05 + 1e-9
+        counts.append(recent)
+    assert counts == sorted(counts, reverse=True) and counts[-1] == 0 < counts[3]
+    # To the microsecond.
+    one = max(at for _, at in shown)
+    day = timedelta(hours=24)
+    assert sums.at(one + day).first()["live_last_24h"] == 1
+    assert sums.at(one + day + timedelta(microseconds=1)).first()["live_last_24h"] == 0
+    assert stats.HourlyStats(spark, f"{folder}/none").at(START).first()["total_insights"] == 0
