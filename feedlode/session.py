@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,30 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+def delete_paths(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete tables, wherever they are stored; what is not there is passed over."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for name in paths:
+        path = hadoop(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut_lineage`` writes within, in this thread, are deleted at the end: for work
+    whose results are saved elsewhere by then, a micro-batch say."""
+    outer = getattr(_open, "paths", None)
+    _open.paths = []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        delete_paths(spark, paths)
+
+
 def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
@@ -52,5 +79,7 @@ def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """
     spark = spark or df.sparkSession
     path = work_path(spark, "cut")
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from feedlode.functions.rounding import mean_one_decimal
 from feedlode.session import cut_lineage
-from feedlode.streaming.slots import SlotTable
+from feedlode.streaming.slots import SlotTable, day_of
 
 SUMS = ["shown", "score", "scored"]
 _SUMS = ", ".join(f"{c} bigint" for c in SUMS)
@@ -53,8 +53,7 @@ class HourlyStats:
         """Take in the rows of a micro-batch of the change log."""
         # Days and hours of the time line itself, whatever the session's zone.
         micros = F.unix_micros("created_at")
-        day = F.date_from_unix_date(F.floor(micros / F.lit(86_400_000_000)).cast("int"))
-        added = changes.select(F.col("created_at"), *change_sums(changes), day.alias("day"))
+        added = changes.select(F.col("created_at"), *change_sums(changes), day_of(F.col("created_at")).alias("day"))
         added = cut_lineage(added.groupBy("created_at", "day").agg(*[F.sum(c).alias(c) for c in SUMS]), self.spark)
         days = self.instants.parts_of(added)
         if not days:
@@ -76,7 +75,7 @@ class HourlyStats:
         whole = self.hours.read().select(*SUMS, recent.alias("recent"))
         within = F.col("created_at").between(F.lit(border), F.lit(edge + timedelta(hours=1) - timedelta(microseconds=1)))
         # Only the day of the border is read, of the instants in it only those of its hour.
-        last = self.instants.read([border.date()]).where(within)
+        last = self.instants.read([(border.date(),)]).where(within)
         last = last.select(*[zero.alias(c) for c in SUMS], F.col("shown").alias("recent"))
         return whole.unionByName(last).agg(
             F.lit(as_of).alias("as_of"),
