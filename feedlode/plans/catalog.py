@@ -18,6 +18,7 @@ from feedlode.plans.tables import AS_OF, KEYWORDS
 from feedlode.session import cut_lineage, work_path
 from feedlode.sources import payloads, queue
 from feedlode.streaming import flow, live, stats
+from feedlode.streaming.corrections import ADMITTED, WITHDRAWN, CorrectingLedger, corrected_stream
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
 from feedlode.streaming.details import LatestDetails
 from feedlode.streaming.store import InsightStore, insight_sink
@@ -478,6 +479,30 @@ def dedup_stream(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ledger.read().select("platform", "id", "seen_at", "event_id"))
 
 
+def dedup_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    """The same out of order: the days are dealt to micro-batches at random, so that most sightings
+    come late. What the changes leave admitted is what the batch rule admits."""
+    events = tables.table(spark, sf, "events")
+    folder = work_path(spark, "corrected")
+    rows = cut_lineage(events.select(
+        F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("id"),
+        F.col("ts").cast("timestamp").alias("seen_at"), "event_id",
+        F.pmod(F.xxhash64(F.to_date("ts")), F.lit(STREAM_PARTS)).alias("_part")))
+    for i in range(STREAM_PARTS):
+        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    schema = rows.drop("_part").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    ledger = CorrectingLedger(spark, f"{folder}/ledger", ttl_seconds=TWO_DAYS, tie=["event_id"])
+
+    def save(changes: DataFrame, batch_id: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    _finish(corrected_stream(stream, ledger, f"{folder}/checkpoint", save), "corrected")
+    sign = F.when(F.col("change") == ADMITTED, 1).when(F.col("change") == WITHDRAWN, -1)
+    told = spark.read.parquet(f"{folder}/out").groupBy("platform", "id", "seen_at", "event_id").agg(F.sum(sign).alias("n"))
+    return shown(told.where("n > 0").drop("n"))
+
+
 STORE_SCHEMA = (
     "platform string, source_post_id string, id bigint, commercial_potential int, "
     "embedding array<float>, is_explicit_content boolean, created_at timestamp"
@@ -592,7 +617,7 @@ QUERIES: dict[str, Query] = {
         conversation_transcripts, union_sources, feed_rejects, limit_per_feed, queue_roundtrip,
         analyze_heuristic, build_prompts, parse_model_output, score_with_model, assign_clusters,
         cluster_sizes, embedding_text, hash_embed, embed_with_model, l2_normalize, semantic_search,
-        similar_insights, similar_bulk, search_text, dedup_ttl, dedup_stream, upsert_latest,
+        similar_insights, similar_bulk, search_text, dedup_ttl, dedup_stream, dedup_corrected, upsert_latest,
         stream_upsert, ingestion_report, live_insights, running_stats_stream, ageing_stats, run_feed,
     )
 }

@@ -479,6 +479,7 @@ SELECT doc_id, 256::BIGINT AS dims, COALESCE(filled, 0) AS filled, COALESCE(tota
     "run_feed": FEED_ROWS,
     "dedup_ttl": TTL,
     "dedup_stream": TTL,
+    "dedup_corrected": TTL,
     "upsert_latest": UPSERTED,
     "stream_upsert": UPSERTED,
     "ingestion_report": REPORT,

@@ -19,6 +19,7 @@ from feedlode.schema import INSIGHT_SCHEMA, RAW_SCHEMA
 from feedlode.session import work_path
 from feedlode.sources import payloads
 from feedlode.streaming import flow, live, stats
+from feedlode.streaming.corrections import CorrectingLedger
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
 from feedlode.streaming.details import LatestDetails
 from feedlode.streaming.slots import SlotTable
@@ -520,3 +521,37 @@ def test_store_stays_small(spark):
     assert kept == set(range(13, 19))
     # Two slots of three days and two buckets, whatever the number of merges.
     assert len(list(Path(f"{folder}/base".removeprefix("file:")).glob("day=*/bucket=*/slot=*"))) <= 12
+
+
+@pytest.mark.parametrize("seed, lateness", [(1, None), (2, None), (3, 40 * 3600)])
+def test_corrections_equal_the_batch_rule(spark, seed, lateness):
+    """Whatever the order: after each batch the ledger holds what the batch rule gives."""
+    rng = random.Random(seed)
+    rows = random_rows(seed, 240, 2400)
+    rows += [rows[5], rows[9]]
+    rng.shuffle(rows)
+    ledger = CorrectingLedger(spark, work_path(spark, "test-corrections"), ttl_seconds=3 * 3600, tie=["n"], lateness_seconds=lateness)
+    told, withdrawn = {}, 0
+    for batch, start in enumerate(range(0, len(rows), 81)):
+        part = rows[start:start + 81]
+        for _ in range(2 if batch == 1 else 1):  # a batch that is run again
+            changes = ledger.admit(frame(spark, part), batch).collect()
+        for r in changes:
+            sign = {"admitted": 1, "withdrawn": -1}[r["change"]]
+            withdrawn += sign < 0
+            told[r["n"]] = told.get(r["n"], 0) + sign
+        expected = plain_rule(rows[:start + len(part)], timedelta(hours=3))
+        assert kept(ledger.read()) == expected
+        assert sorted(n for n, times in told.items() for _ in range(times)) == expected
+    assert withdrawn > 0
+
+
+def test_corrections_within_a_stated_lateness(spark):
+    ledger = CorrectingLedger(spark, work_path(spark, "test-lateness"), ttl_seconds=3600, tie=["n"], lateness_seconds=3 * 3600)
+    at = lambda *hours: frame(spark, [("p", "a", START + timedelta(hours=h), i) for i, h in hours])
+    ledger.admit(at((0, 0), (1, 10), (2, 10.9), (3, 11.5)), 0)
+    # 9.5 takes the place of 10; 10.9 is due then, and 11.5 no longer. 8 is too late.
+    changes = {(r["n"], r["change"]) for r in ledger.admit(at((4, 9.5), (5, 8)), 1).collect()}
+    assert changes == {(4, "admitted"), (1, "withdrawn"), (2, "admitted"), (3, "withdrawn"), (5, "late")}
+    assert kept(ledger.read()) == [0, 2, 4]
+    assert ledger.admit(at(), 2).count() == 0 and kept(ledger.read()) == [0, 2, 4]
