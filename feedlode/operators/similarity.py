@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from feedlode.functions.fixed_values import SEARCH_LIMIT
 from feedlode.functions.limits import clamp_limit
 from feedlode.operators.rows import exclude_explicit, present_insights
+from feedlode.schema import INSIGHT_KEYS
 
 # Vectors of one block of targets that each task holds, in bytes.
 BLOCK_BYTES = 64 << 20
@@ -48,8 +49,12 @@ def _best(ids: np.ndarray, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.
 MODEL = "embedding_model"
 
 
+#: From the id and locators of rows to the rows.
+Fetch = Callable[[DataFrame], DataFrame]
+
+
 def _candidates(
-    insights: DataFrame, width: int, id_col: str, vector_col: str, model: str | None = None
+    insights: DataFrame, width: int, id_col: str, vector_col: str, model: str | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Id and vector of every row that can be found: of the same length, and of the same model
     if that is known."""
@@ -57,7 +62,7 @@ def _candidates(
     if model is not None and MODEL in insights.columns:
         shown = shown.filter(F.col(MODEL) == model)
     usable = shown.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) == width))
-    return usable.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    return usable.select(F.col(id_col).alias("id"), *carry, F.col(vector_col).alias("vector"))
 
 
 def _batches_of_top_k(
@@ -66,21 +71,28 @@ def _batches_of_top_k(
     unit = _unit_rows(query.reshape(1, -1))[0]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cosines = np.empty(0, np.int64), np.empty(0, np.float64)
+        kept: pa.Table | None = None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = _unit_rows(_matrix(batch.column("vector"), len(unit))) @ unit
-            ids = np.concatenate([ids, batch.column("id").to_numpy()])
-            cosines = np.concatenate([cosines, found])
-            ids, cosines = _best(ids, cosines, k)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(cosines, pa.float64())], names=["id", "cosine"]
-        )
+            cosine = _unit_rows(_matrix(batch.column("vector"), len(unit))) @ unit if batch.num_rows else np.empty(0)
+            rows = pa.Table.from_batches([batch]).drop_columns(["vector"]).append_column("cosine", pa.array(cosine))
+            kept = rows if kept is None else pa.concat_tables([kept, rows])
+            # Numbers of rows stand for the ids, so that equal ids are told apart.
+            ids = kept.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            best, cosines = _best(np.argsort(order), kept.column("cosine").to_numpy(), k)
+            kept = kept.take(order[best])
+            kept = kept.set_column(kept.schema.get_field_index("cosine"), "cosine", pa.array(cosines))
+        if kept is not None:
+            yield from kept.combine_chunks().to_batches()
 
     return search
 
 
+def locators(insights: DataFrame) -> list[str]:
+    """Columns that tell a row from others of its id, and where it is stored, as far as given."""
+    return [c for c in (*INSIGHT_KEYS, "created_at") if c in insights.columns]
+
+
 def search_ids(
     insights: DataFrame,
     query_vector: Sequence[float],
@@ -89,29 +101,44 @@ def search_ids(
     vector_col: str = "embedding",
     without_id: int | None = None,
     model: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Ids and cosines of the k nearest rows.
+    """Ids and cosines of the k nearest rows, with the columns to ``carry``.
 
-    Only id and vector are read. Every task keeps its own k best, so no more than k rows
+    Only those and the vector are read. Every task keeps its own k best, so no more than k rows
     per task leave it.
     """
     query = np.asarray(query_vector, dtype=np.float64)
-    rows = _candidates(insights, len(query), id_col, vector_col, model)
+    rows = _candidates(insights, len(query), id_col, vector_col, model, carry)
     if without_id is not None:
         rows = rows.filter(F.col("id") != without_id)
-    best = rows.mapInArrow(_batches_of_top_k(query, k), "id bigint, cosine double")
-    return best.orderBy(F.col("cosine").desc(), F.col("id")).limit(k)
+    kinds = ", ".join(f"`{c}` {insights.schema[c].dataType.simpleString()}" for c in carry)
+    schema = f"id bigint, {kinds}{', ' if kinds else ''}cosine double"
+    best = rows.mapInArrow(_batches_of_top_k(query, k), schema)
+    return best.orderBy(F.col("cosine").desc(), F.col("id"), *carry).limit(k)
 
 
-def _with_rows(insights: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of at most 200 ids, ready for display: that limit bounds the broadcast."""
-    found = found.select(
-        F.col("id").alias(id_col),
-        F.greatest(F.lit(0.0), F.col("cosine")).alias("similarity"),
-        F.col("cosine").alias("_cosine"),
+def _with_rows(
+    insights: DataFrame, found: DataFrame, id_col: str, carry: Sequence[str], fetch: Fetch | None
+) -> DataFrame:
+    """The rows of the at most 200 that were found, ready for display.
+
+    They come to the driver, as ids and places, so that the rows can be fetched by a filter that
+    the files' statistics and bloom filters answer, or by whoever knows where they are.
+    """
+    spark = insights.sparkSession
+    best = spark.createDataFrame(found.collect(), found.schema)
+    ids = [r["id"] for r in best.select("id").collect()]
+    rows = fetch(best.drop("cosine")) if fetch else insights.filter(F.col(id_col).isin(ids))
+    near = best.select(
+        F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in carry],
+        F.greatest(F.lit(0.0), F.col("cosine")).alias("similarity"), F.col("cosine").alias("_cosine"),
     )
-    full = present_insights(insights.join(F.broadcast(found), id_col))
-    return full.orderBy(F.col("_cosine").desc(), F.col(id_col)).drop("_cosine")
+    same = F.col(id_col) == F.col("_id")
+    for c in carry:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    full = present_insights(rows.join(F.broadcast(near), same).drop("_id", *[f"_{c}" for c in carry]))
+    return full.orderBy(F.col("_cosine").desc(), F.col(id_col), *[c for c in carry if c in full.columns]).drop("_cosine")
 
 
 def semantic_search(
@@ -121,16 +148,20 @@ def semantic_search(
     id_col: str = "id",
     vector_col: str = "embedding",
     model: str | None = None,
+    fetch: Fetch | None = None,
 ) -> DataFrame:
     """The k non-explicit rows closest to the query, with ``similarity`` = max(0, cosine).
 
     An empty query finds nothing. Rows without a vector, with one of another length or of
-    another model than ``model``, or with a zero vector are left out.
+    another model than ``model``, or with a zero vector are left out. Only ids, vectors and
+    ``locators`` are scanned; then the rows found are fetched, by ``fetch`` if it is given,
+    ``InsightStore.rows_of`` say, which reads no more than their partitions.
     """
     if len(query_vector) == 0:
         return present_insights(insights.withColumn("similarity", F.lit(0.0)).limit(0))
-    found = search_ids(insights, query_vector, clamp_limit(k), id_col, vector_col, model=model)
-    return _with_rows(insights, found, id_col)
+    carry = locators(insights)
+    found = search_ids(insights, query_vector, clamp_limit(k), id_col, vector_col, model=model, carry=carry)
+    return _with_rows(insights, found, id_col, carry, fetch)
 
 
 def vector_of(
@@ -148,17 +179,31 @@ def similar_insights(
     k: object = SEARCH_LIMIT,
     id_col: str = "id",
     vector_col: str = "embedding",
+    fetch: Fetch | None = None,
+    key: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The k rows most like row ``row_id``, without that row; only vectors of its model count."""
+    """The k rows most like row ``row_id``, without that row; only vectors of its model count.
+
+    Ids are hashes, and two rows can share one: ``key`` then names the row by its natural key,
+    and only that row is left out. The row is looked up by a filter on the id that the files'
+    statistics and bloom filters answer; ``fetch`` as in ``semantic_search``.
+    """
     named = MODEL in insights.columns
     target = insights.filter((F.col(id_col) == row_id) & F.col(vector_col).isNotNull())
+    own = F.lit(True)
+    for name, value in (key or {}).items():
+        own = own & F.col(name).eqNullSafe(F.lit(value))
+    target = target.filter(own)
     row = target.select(vector_col, F.col(MODEL) if named else F.lit(None)).first()
     if not row or not row[0]:
         return present_insights(insights.withColumn("similarity", F.lit(0.0)).limit(0))
+    others = insights.filter((F.col(id_col) != row_id) | ~own) if key else insights
+    carry = locators(insights)
     found = search_ids(
-        insights, list(row[0]), clamp_limit(k), id_col, vector_col, without_id=row_id, model=row[1]
+        others, list(row[0]), clamp_limit(k), id_col, vector_col,
+        without_id=None if key else row_id, model=row[1], carry=carry,
     )
-    return _with_rows(insights, found, id_col)
+    return _with_rows(insights, found, id_col, carry, fetch)
 
 
 class _RunningBest:
@@ -261,7 +306,7 @@ def similar_insights_bulk(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The k rows most like each target: (target_id, id, similarity, rank).
+    """The k rows most like each target, as many as asked for: (target_id, id, similarity, rank).
 
     ``ids``, a list or a frame with the id column, states the targets: the work is that of all
     rows for each of them. Vectors of different length or model are not compared. The number
@@ -269,7 +314,7 @@ def similar_insights_bulk(
     handed to the tasks, beyond that both sides are shuffled in blocks. No pair of rows is
     ever written out, only the k best of each target per task.
     """
-    k = clamp_limit(k)
+    k = k if isinstance(k, int) and k > 0 else SEARCH_LIMIT
     targets = insights.filter(F.col(vector_col).isNotNull())
     if isinstance(ids, DataFrame):
         targets = targets.join(ids.select(id_col).distinct(), id_col, "left_semi")

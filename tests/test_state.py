@@ -499,6 +499,24 @@ def test_store_reads_only_the_days_and_columns_wanted(spark):
             level = depth(line)
     assert any("LeftAnti" in line for line in above) and not any(" Exchange" in line or "- Exchange" in line for line in above)
     assert found.count() == 3
+    # The rows found are fetched from their partitions, the columns scanned are few.
+    rows = store.rows_of(store.read().where("source_post_id = '4-1'").select("platform", "source_post_id", "created_at"))
+    assert [r["source_post_id"] for r in rows.collect()] == ["4-1"]
+    parts = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "/base" in line]
+    assert parts and all("day" in line.split("PartitionFilters")[1].split("]")[0] for line in parts)
+    shown = similarity.semantic_search(store.read(), [1.0, 1.0], 4, fetch=store.rows_of).collect()
+    assert len(shown) == 4 and [r["similarity"] for r in shown] == sorted((r["similarity"] for r in shown), reverse=True)
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [("p", "a", 7, [1.0, 0.0]), ("p", "b", 7, [0.9, 0.1]), ("p", "c", 8, [0.0, 1.0]), ("q", "a", 9, [0.5, 0.5])]
+    insights = spark.createDataFrame(rows, "platform string, source_post_id string, id bigint, embedding array<float>")
+    names = lambda df: [(r["id"], r["similarity"]) for r in df.select("id", F.round("similarity", 3).alias("similarity")).collect()]
+    assert names(similarity.semantic_search(insights, [1.0, 0.0], 2)) == [(7, 1.0), (7, 0.994)]
+    assert names(similarity.semantic_search(insights, [1.0, 0.0], 3)) == [(7, 1.0), (7, 0.994), (9, 0.707)]
+    assert names(similarity.similar_insights(insights, 7, 5, key={"platform": "p", "source_post_id": "a"})) == [
+        (7, 0.994), (9, 0.707), (8, 0.0)]
+    assert names(similarity.similar_insights(insights, 8, 2)) == [(9, 0.707), (7, 0.11)]
 
 
 def test_store_stays_small(spark):

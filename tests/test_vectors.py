@@ -46,7 +46,7 @@ def test_similar(stored):
         got = [r["id"] for r in similarity.similar_insights(df, target, 8).collect()]
         assert got == brute(rows, rows[target][1], 8, target)
     assert similarity.similar_insights(df, 203).count() == similarity.similar_insights(df, 999).count() == 0
-    plan = similarity.semantic_search(df, rows[1][1], 8)._jdf.queryExecution().toString()
+    plan = similarity.search_ids(df, rows[1][1], 8)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
 
 
