@@ -2,12 +2,14 @@
 
 A line here ends at a line break, or at the end of a sentence within it, so that a passage put
 into the middle of other text still consists of whole lines. A passage is at least two lines of
-ten words together, or one line of fifty. From every line on, the shortest run of lines that is
-a passage is taken; it depends on its own lines only, so whatever passage stands in two places
-has equal runs there. Where a run's hash occurs in more than one place, the runs that go on from
-there up to where the next line's run ends are looked at, too: all these cover a passage from
-its first line to its last. They are compared byte by byte, and all but the first are removed.
-DataFrame operations only.
+ten words together, or one line of fifty. A hash rolls over the lines: from every line on, the
+shortest run of lines that is a passage is a chunk, and so is the shortest that ends with a line,
+where no other does. A chunk's borders depend on its own lines only, so whatever passage stands in
+two places has equal chunks there, and they cover it from its first line to its last. Borders at
+fewer lines would miss passages of two. Chunks whose hash occurs in one place only go at once; the
+others are compared byte by byte, and all but the first of equal ones are removed.
+DataFrame operations only. Two passes over narrow rows find the documents with suspects; only
+their texts are shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ BLANK = " \t\r\n"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 WORD = rf"[{UNSPACED}]{{1,2}}|[^\s\u00a0{UNSPACED}]{{1,20}}"
 FEW_BLANKS = 15
+#: A mark that is put at line ends; texts that hold it themselves are split in another way.
+MARK = "\x01"
+#: Bits of the filter that tells documents without suspects apart: 8 MB, whatever their number. The
+#: fuller it is, the more documents are shuffled for nothing.
+FILTER_BITS = 1 << 26
+#: Places of one chunk that meet its first place in one task.
+MOST_PLACES = 10_000
 
 
 def split_lines(text: Column) -> Column:
@@ -49,6 +58,28 @@ def _words(line: Column) -> Column:
         F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
 
 
+def bare_lines(text: Column) -> Column:
+    """The lines that are not blank, without the blanks before them; those behind can stay."""
+    whole = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
+    marked = whole
+    for end in ("\n", ". ", "! ", "? ", "。", "！", "？"):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = F.btrim(marked, F.lit(BLANK + MARK))
+    quick = F.split(marked, rf"{MARK}[{BLANK}{MARK}]*")
+    slow = F.filter(F.transform(split_lines(whole), _bare), lambda line: line != "")
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.contains(whole, F.lit(MARK)), slow).otherwise(quick)
+
+
+def chunk_hash(*lines: Column) -> Column:
+    return F.xxhash64(*lines)
+
+
+def _qualifies(words: Column) -> Column:
+    """Whether so many words of each line are a passage."""
+    total = F.aggregate(words, F.lit(0), lambda a, w: a + w)
+    return ((F.size(words) >= MIN_LINES) & (total >= MIN_WORDS)) | (F.array_max(words) >= LONG_LINE)
+
+
 def _shortest(words: Column) -> Column:
     """How many of the first counts make up several lines of enough words; null if all do not."""
     zero = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
@@ -60,16 +91,89 @@ def _shortest(words: Column) -> Column:
         lambda a: F.when(enough(a), a["lines"]))
 
 
-def _run_ends(words: Column) -> Column:
-    """Where the shortest passage from each line on ends, counted from 1; null if the text ends
-    before. `words` are the counts of lines that are not blank: as each of them has a word,
-    MIN_WORDS lines are always enough, and for most lines it is the next one."""
-    def onward(w: Column, i: Column) -> Column:
-        two = w + F.get(words, i + 1) >= MIN_WORDS
-        more = i + _shortest(F.slice(words, i + 1, MIN_WORDS))
-        return F.when(w >= LONG_LINE, i + 1).when(two, i + 2).otherwise(more)
+def chunk_places(docs: DataFrame) -> DataFrame:
+    """(key_a, key_b, first, last, chunk) of (key_a, key_b, lines): the shortest passage from each
+    line on, and the shortest up to each line where that is none of the others, with a hash of
+    its lines. Lines are counted from 0.
 
-    return F.transform(words, onward)
+    A row per line, and of it as few columns as can be; most lines make a passage with the next
+    one, and for those nothing else is looked at.
+    """
+    read = docs.select("key_a", "key_b", "lines", F.posexplode("lines").alias("at", "line"))
+    line = lambda i: _bare(F.get("lines", F.col("at") + i))
+    read = read.select("key_a", "key_b", "lines", "at", _bare(F.col("line")).alias("line"),
+                       line(1).alias("next"), F.when(F.col("at") > 0, line(-1)).alias("before"))
+    count = lambda name: F.when(F.col(name).isNotNull(), _words(F.col(name)))
+    read = read.select("*", _words(F.col("line")).alias("w"), count("next").alias("w_next"), count("before").alias("w_before"))
+    at, own, after = F.col("at"), F.col("line"), F.col("next")
+    # As many lines as words are always enough.
+    ahead = F.slice("lines", at + 1, MIN_WORDS)
+    behind = F.slice("lines", F.greatest(at + 2 - MIN_WORDS, F.lit(1)), F.least(at + 1, F.lit(MIN_WORDS)))
+    counts = lambda some: F.transform(some, lambda x: _words(_bare(x)))
+    hashed = lambda some: chunk_hash(F.transform(some, _bare))
+    row = lambda first, last, chunk: F.struct(first.alias("first"), last.alias("last"), chunk.alias("chunk"))
+    n_ahead = _shortest(counts(ahead))
+    onward = (F.when(F.col("w") >= LONG_LINE, row(at, at, chunk_hash(own)))
+              .when(F.col("w") + F.col("w_next") >= MIN_WORDS, row(at, at + 1, chunk_hash(own, after)))
+              .when(after.isNotNull() & n_ahead.isNotNull(),
+                    row(at, at + n_ahead - 1, hashed(F.slice("lines", at + 1, n_ahead)))))
+    n_behind = _shortest(F.reverse(counts(behind)))
+    from_behind = F.slice("lines", at + 2 - n_behind, n_behind)
+    # Those without their last line are a passage, too: so none that starts there ends here.
+    other = _qualifies(counts(F.slice("lines", at + 2 - n_behind, n_behind - 1)))
+    up_to = (F.when(F.col("w") >= LONG_LINE, None)
+             .when(F.col("w_before") >= LONG_LINE, row(at - 1, at, chunk_hash(F.col("before"), own)))
+             .when(F.col("w_before") + F.col("w") < MIN_WORDS, F.when(
+                 n_behind.isNotNull() & other, row(at + 1 - n_behind, at, hashed(from_behind)))))
+    runs = read.select("key_a", "key_b", F.inline(F.array(onward, up_to)))
+    return runs.where("chunk IS NOT NULL")
+
+
+def likely(docs: DataFrame, keys: DataFrame, key: str = "key_a", name: str = "likely") -> DataFrame:
+    """The rows with a column `name`: false only where the key is none of these. A filter of fixed
+    size decides, FILTER_BITS at most, so it can be broadcast whatever the number of keys."""
+    word, bits = (fresh_name(n, [*docs.columns, name]) for n in ("word", "bits"))
+    place = lambda column: F.pmod(F.col(column), F.lit(FILTER_BITS))
+    row = lambda column: F.floor(place(column) / 64)
+    bit = lambda column: F.pmod(place(column), F.lit(64)).cast("int")
+    own = keys.select(row(key).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias(bits))
+    own = own.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    found = docs.withColumn(word, row(key)).join(F.broadcast(own), word, "left")
+    return found.withColumn(name, F.coalesce(F.getbit(bits, bit(key)) == 1, F.lit(False))).drop(word, bits)
+
+
+def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """(key_a, key_b, places): per document the (first, last) lines, counted from 1 among those that
+    are not blank, of chunks that stand, byte for byte, in an earlier place too. Earlier is the
+    smaller `order`, then key, then line. A document that is one line and equals another such is
+    a copy, not a passage within a text, and stays."""
+    own = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
+    places = chunk_places(own.select("key_a", "key_b", bare_lines(F.col("doc_text")).alias("lines")))
+    # Rows that repeat key and text are one document: they only make more suspects.
+    again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
+    again = again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts"))
+    suspects = cut_lineage(places.join(again, "chunk").groupBy("key_a", "key_b").agg(
+        F.collect_set(F.struct("first", "last", "chunk", "parts")).alias("suspects")))
+    texts = likely(own, suspects.select("key_a")).where("likely")
+    read = texts.join(suspects, ["key_a", "key_b"]).select(
+        "key_a", "key_b", "rank", "suspects", bare_lines(F.col("doc_text")).alias("lines"))
+    each = read.select("key_a", "key_b", "rank", "lines", F.inline("suspects"))
+    some = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    each = each.select(
+        "key_a", "key_b", "chunk", "parts", "first", "last",
+        F.array_join(F.transform(some, _bare), "\n").alias("bytes"),
+        F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
+                 (F.size("lines") == 1).alias("alone")).alias("place"))
+    found = cut_lineage(each)
+    # The first of equal bytes; the hash deals the rows out, the bytes decide. It meets the places
+    # of a chunk that has very many in parts.
+    firsts = found.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"), F.max("parts").alias("parts"))
+    firsts = firsts.select("chunk", "bytes", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    part = F.pmod(F.xxhash64("key_a", "first"), "parts").cast("int").alias("part")
+    later = found.select("key_a", "key_b", "chunk", "first", "last", "bytes", "place", part).join(
+        firsts, ["chunk", "part", "bytes"]).where("place > kept AND NOT (place.alone AND kept.alone)")
+    return later.groupBy("key_a", "key_b").agg(F.collect_set(F.struct(
+        (F.col("first") + 1).alias("first"), (F.col("last") + 1).alias("last"))).alias("places"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -78,67 +182,6 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunk_places(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key_a, key_b, first, last, reach, chunk): the shortest passage from each line on, with a
-    hash that stands for the bytes of its lines but for blank ones and the blanks around the
-    others; up to the line `reach`, none that starts later has ended."""
-    bare = F.filter(F.transform(split_lines(F.col(f"`{text}`")), lambda line, i: F.struct(
-        (i + 1).alias("number"), _bare(line).alias("line"))), lambda x: x["line"] != "")
-    own = _once(docs.select("key_a", "key_b", bare.alias("found")), "own", F.col("found"))
-    # Whole columns, as a field taken out of an array of rows within a function is so per element.
-    own = own.select("key_a", "key_b", F.inline(F.array(F.struct(
-        F.col("own.number").alias("numbers"),
-        F.transform("own", lambda x: _words(x["line"])).alias("words"),
-        F.transform("own", lambda x: F.xxhash64(x["line"])).alias("hashes")))))
-    read = _once(own, "ends", _run_ends(F.col("words"))).select("key_a", "key_b", "numbers", "hashes", "ends")
-
-    def place(end: Column, i: Column) -> Column:
-        reach = F.coalesce(F.get("ends", i + 1) - 1, F.size("numbers"))
-        return F.when(end.isNotNull(), F.struct(
-            F.get("numbers", i).alias("first"), F.get("numbers", end - 1).alias("last"),
-            F.get("numbers", F.greatest(end, reach) - 1).alias("reach"),
-            F.xxhash64(F.slice("hashes", i + 1, end - i)).alias("chunk")))
-
-    # Only what is wanted leaves the arrays: a row per run, without the document's other lines.
-    runs = F.filter(F.transform("ends", place), lambda p: p.isNotNull())
-    return read.select("key_a", "key_b", F.inline(runs))
-
-
-def _run_text(lines: Column, first: Column, last: Column) -> Column:
-    """The run's lines that are not blank, without the blanks around each, one per row."""
-    own = F.transform(F.slice(lines, first, last - first + 1), _bare)
-    return F.array_join(F.filter(own, lambda line: line != ""), "\n")
-
-
-def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """(key_a, key_b, places): per document the (first, last) lines of runs that stand, byte
-    for byte, in an earlier place too. Earlier is the smaller `order`, then key, then line. A document
-    that is one line and equals another such is a copy, not a passage within a text, and stays."""
-    places = cut_lineage(chunk_places(docs, text))
-    # Rows that repeat key and text are one document: they only make more suspects.
-    again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select("chunk")
-    suspects = (places.join(again, "chunk").groupBy("key_a", "key_b")
-                .agg(F.collect_set(F.struct("first", "last", "reach", "chunk")).alias("suspects")))
-    texts = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
-    read = texts.join(suspects, ["key_a", "key_b"])
-    read = _once(read.withColumn("size", F.length(_bare(F.col("doc_text")))), "lines", split_lines(F.col("doc_text")))
-    read = read.select("key_a", "key_b", "rank", "suspects", "lines", "size")
-    # A run that ends with a blank line is one that ends before.
-    ends = lambda s: F.filter(F.sequence(s["last"], s["reach"]), lambda e: _bare(F.element_at("lines", e)) != "")
-    chunks = F.flatten(F.transform("suspects", lambda s: F.transform(ends(s), lambda e: F.struct(
-        s["first"].alias("first"), e.alias("last"), s["chunk"].alias("chunk"),
-        _run_text(F.col("lines"), s["first"], e).alias("bytes")))))
-    found = read.select("key_a", "key_b", "rank", "size", F.inline(chunks)).withColumn(
-        "place", F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
-                          ((F.col("first") == F.col("last")) & (F.length("bytes") == F.col("size"))).alias("alone")))
-    found = cut_lineage(found.drop("rank", "size"))
-    # The first of equal texts; the hash deals the rows out, the bytes decide.
-    firsts = found.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"))
-    later = found.join(firsts, ["chunk", "bytes"]).where(
-        "place > kept AND NOT (place.alone AND kept.alone)")
-    return later.groupBy("key_a", "key_b").agg(F.collect_set(F.struct("first", "last")).alias("places"))
-
-
 def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
                 removed: str = "n_removed") -> DataFrame:
     """All columns of the rows, the text without repeated passages, and the number of lines removed.
@@ -150,23 +193,32 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
     """
     names = [c for c in docs.columns if c.lower() != removed.lower()]
     taken = [*names, removed]
-    key_a, key_b, places, lines, kept = (fresh_name(n, taken) for n in ("key_a", "key_b", "places", "lines", "kept"))
+    key_a, key_b, places, lines, kept, numbers, marked = (
+        fresh_name(n, taken) for n in ("key_a", "key_b", "places", "lines", "kept", "numbers", "likely"))
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], *row_key(order, text))
     keyed = keyed.toDF(*names, key_a, key_b)
     narrow = docs.select(F.col(f"`{order}`").alias("doc_order"), F.col(f"`{text}`").alias("doc_text"))
     narrow = narrow.select("*", *row_key("doc_order", "doc_text"))
-    found = repeated_places(narrow, "doc_text", "doc_order").toDF(key_a, key_b, places)
-    joined = keyed.join(found, [key_a, key_b], "left")
+    found = cut_lineage(repeated_places(narrow, "doc_text", "doc_order"))
+    every = likely(keyed, found.select(F.col("key_a").alias(key_a)), key_a, marked)
+    own = [F.col(f"`{c}`") for c in names]
+    plain = every.where(~F.col(marked)).select(*own, F.lit(0).cast("long").alias(removed))
+    joined = every.where(marked).join(found.toDF(key_a, key_b, places), [key_a, key_b], "left")
     # Lines are wanted only where some go.
     split = F.when(F.col(places).isNotNull(), split_lines(F.col(f"`{text}`")))
     spread = _once(joined, lines, split)
-    numbers = F.flatten(F.transform(F.col(places), lambda p: F.sequence(p["first"], p["last"])))
-    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), numbers)
+    # Places are counted among lines that are not blank: the number of each of those.
+    bare = F.filter(F.transform(lines, lambda x, i: F.when(_bare(x) != "", i + 1)), lambda i: i.isNotNull())
+    spread = _once(spread, numbers, bare)
+    gone = F.flatten(F.transform(F.col(places), lambda p: F.sequence(
+        F.element_at(numbers, p["first"]), F.element_at(numbers, p["last"]))))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
     spread = _once(spread, kept, F.when(F.col(places).isNotNull(), left))
     rest = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i)), "")
     new_text = F.when(F.col(kept).isNull(), F.col(f"`{text}`")).otherwise(rest)
     count = F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
-    return spread.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in names], count.alias(removed))
+    changed = spread.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in names], count.alias(removed))
+    return plain.unionByName(changed)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -76,9 +76,9 @@ def test_copies_are_emptied_but_for_the_first(spark):
 
 
 def test_equal_hashes_are_compared_byte_by_byte(spark, monkeypatch):
-    # All chunks of as many lines share a hash: only equal bytes may go.
-    real = F.xxhash64
-    monkeypatch.setattr(d.F, "xxhash64", lambda *c: F.size(c[0]).cast("long") if isinstance(c[-1], str) else real(*c))
+    # All chunks share few hashes: only equal bytes may go.
+    monkeypatch.setattr(d, "chunk_hash", lambda *lines: F.lit(len(lines)).cast("long"))
+    monkeypatch.setattr(d, "MOST_PLACES", 7)
     passage, rows = planted(random.Random(6))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for r in d.dedup_lines(docs).collect():
@@ -166,3 +166,57 @@ def test_one_line_documents(spark):
     for texts, left in (([inside, line], [inside, ""]), ([line, inside], [line, f"{first} {last}"]), ([line] * 2, [line] * 2)):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         assert [r["text"] for r in d.dedup_lines(docs).orderBy("doc_id").collect()] == left
+
+
+def plain_dedup(rows):
+    """Every line of a passage that stands in an earlier place, found by comparing all runs."""
+    blank = lambda line: line.strip(d.BLANK)
+    plain = lambda line: len(line.encode()) <= d.FEW_BLANKS * (line.count(" ") + 1)
+    words = lambda line: line.count(" ") + 1 if plain(line) else max(1, len(re.findall(rf"[^\s\u00a0]{{1,20}}", line)))
+    kept, seen, out = {}, {}, {}
+    docs = {}
+    for doc_id, text in sorted(set(rows)):
+        pieces = re.split(r"(?<=\n)|(?<=[.!?] )", text or "")
+        docs[doc_id, text] = [(i, blank(p)) for i, p in enumerate(pieces) if blank(p)], pieces
+    places = {}
+    for key, (lines, _) in docs.items():
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, min(len(lines), a + 12)):
+                n += words(lines[b][1])
+                if (b > a and n >= d.MIN_WORDS) or words(lines[b][1]) >= d.LONG_LINE:
+                    places.setdefault(tuple(x for _, x in lines[a:b + 1]), []).append((key, a, b))
+    gone = {key: set() for key in docs}
+    for found in places.values():
+        first = min(found, key=lambda p: (p[0][0], p[1]))
+        for key, a, b in found:
+            alone = lambda k: len(docs[k][0]) == 1
+            if (key, a) != first[:2] and not (alone(key) and alone(first[0])):
+                gone[key].update(range(docs[key][0][a][0], docs[key][0][b][0] + 1))
+    return {key: "".join(p for i, p in enumerate(pieces) if i not in gone[key]) for key, (_, pieces) in docs.items()}
+
+
+def test_query_against_all_runs(spark):
+    for sf_dir in (SMALL, MIDDLE):
+        rows = [(r[0], r[1]) for r in small_rows("documents", sf_dir)]
+        want = plain_dedup(rows)
+        got = d.op6_line_dedup(spark, sf_dir).collect()
+        texts = dict(rows)
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["text"] == want[r["doc_id"], texts[r["doc_id"]]]
+
+
+def test_short_lines_against_all_runs(spark):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice("abcd") for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 60]))) for _ in range(14)]
+    rows = []
+    for i in range(120):
+        own = [rng.choice(pool) for _ in range(rng.randrange(1, 9))]
+        rows.append((i, rng.choice(["", " ", "\n"]) + "".join(x + rng.choice([". ", "\n", "!  ", "\n\n \n", "?\n"]) for x in own)))
+    rows.append((500, rows[3][1].replace(" ", "\x01")))
+    rows.append((501, rows[4][1].replace("a", "\x01", 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_dedup(rows)
+    for r in d.dedup_lines(docs).collect():
+        assert r["text"] == want[r["doc_id"], dict(rows)[r["doc_id"]]]
