@@ -17,7 +17,7 @@ from feedlode.plans import insights, tables
 from feedlode.plans.tables import AS_OF, KEYWORDS
 from feedlode.session import cut_lineage, work_path
 from feedlode.sources import payloads, queue
-from feedlode.streaming import flow, live, stats
+from feedlode.streaming import flow, live, stats, trends
 from feedlode.streaming.corrections import ADMITTED, WITHDRAWN, CorrectingLedger, corrected_stream
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
 from feedlode.streaming.details import LatestDetails
@@ -34,6 +34,7 @@ TWO_DAYS = 2 * 24 * 3600
 STREAM_PARTS = 3
 TREND_AS_OF = tables.AS_OF.replace(day=1, hour=12)
 TREND_HOURS = 11
+LIVE_TRENDS_AS_OF = tables.AS_OF.replace(day=5, hour=12, minute=34, second=56)
 TOP = 20
 
 
@@ -578,6 +579,29 @@ def ageing_stats(spark: SparkSession, sf: str) -> DataFrame:
     return shown(spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
+def live_trends(spark: SparkSession, sf: str) -> DataFrame:
+    """Trend clusters from hourly sums that a stream of changes keeps up to date. Updates move rows
+    from one cluster to another, as its key has their score in it."""
+    folder = work_path(spark, "trends")
+    schema = (
+        "platform string, source_post_id string, id bigint, commercial_potential int, is_explicit_content boolean, "
+        "cluster_key string, cluster_label string, title string, core_pain_point string, created_at timestamp")
+    store = InsightStore(spark, f"{folder}/store", schema, order=["created_at", "id"], buckets=2)
+    score = (F.floor("value") % 10 + 1).cast("int")
+    stream = _stream(spark, sf, "events", "ts").select(
+        F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("source_post_id"),
+        F.col("event_id").alias("id"), score.alias("commercial_potential"),
+        F.when(F.col("user_id") % 7 == 0, True).when(F.col("user_id") % 7 == 1, False).alias("is_explicit_content"),
+        F.concat_ws("::", F.lit("k"), (score % 4).cast("string")).alias("cluster_key"),
+        F.lit("").alias("cluster_label"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("title"),
+        F.concat(F.lit("pain "), score).alias("core_pain_point"), F.col("ts").cast("timestamp").alias("created_at"),
+    )
+    _finish(insight_sink(stream, store, f"{folder}/checkpoint"), "trend-store")
+    sums = trends.HourlyTrends(spark, f"{folder}/sums", store)
+    _finish(trends.trend_sink(store.change_stream(), sums, f"{folder}/sums-checkpoint"), "trends")
+    return shown(sums.clusters(LIVE_TRENDS_AS_OF, 72, 12))
+
+
 def run_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Payloads of all four kinds, each fetched twice, through to the store; its rows."""
     folder = work_path(spark, "feed")
@@ -618,6 +642,6 @@ QUERIES: dict[str, Query] = {
         analyze_heuristic, build_prompts, parse_model_output, score_with_model, assign_clusters,
         cluster_sizes, embedding_text, hash_embed, embed_with_model, l2_normalize, semantic_search,
         similar_insights, similar_bulk, search_text, dedup_ttl, dedup_stream, dedup_corrected, upsert_latest,
-        stream_upsert, ingestion_report, live_insights, running_stats_stream, ageing_stats, run_feed,
+        stream_upsert, ingestion_report, live_insights, running_stats_stream, ageing_stats, live_trends, run_feed,
     )
 }

@@ -488,6 +488,13 @@ FROM u WHERE NOT COALESCE(is_explicit_content, FALSE)""",
     "running_stats_stream": f"""WITH u AS ({UPSERTED}), v AS (SELECT * FROM u WHERE NOT COALESCE(is_explicit_content, FALSE))
 SELECT count(*) AS total_insights, count(*) FILTER (created_at >= {STATS_AT} - INTERVAL 24 HOUR) AS live_last_24h,
   {rounded_mean('sum(commercial_potential)', 'count(commercial_potential)')} AS average_potential FROM v""",
+    "live_trends": trends(
+        f"""u AS ({UPSERTED}), stored AS (
+  SELECT platform, commercial_potential, created_at, 'k::' || (commercial_potential % 4) AS cluster_key, '' AS cluster_label,
+    platform || ' ' || source_post_id AS title, 'pain ' || commercial_potential AS core_pain_point
+  FROM u WHERE NOT COALESCE(is_explicit_content, FALSE) AND created_at >= TIMESTAMP '2024-01-02 12:34:56')""",
+        "stored", 12,
+    ),
     "ageing_stats": f"""WITH u AS ({UPSERTED}), v AS (SELECT * FROM u WHERE NOT COALESCE(is_explicit_content, FALSE)),
 t AS (SELECT TIMESTAMP '2024-01-31' + to_hours(h) + to_seconds(1234) AS as_of FROM (VALUES (-350), (0), (5), (10), (15), (20), (25), (30)) AS x(h))
 SELECT as_of, count(*) AS total_insights, count(*) FILTER (created_at >= as_of - INTERVAL 24 HOUR) AS live_last_24h,

@@ -18,7 +18,7 @@ from feedlode.plans import catalog, insights, tables
 from feedlode.schema import INSIGHT_SCHEMA, RAW_SCHEMA
 from feedlode.session import work_path
 from feedlode.sources import payloads
-from feedlode.streaming import flow, live, stats
+from feedlode.streaming import flow, live, stats, trends
 from feedlode.streaming.corrections import CorrectingLedger
 from feedlode.streaming.dedup import SightingLedger, dedup_ttl_stream
 from feedlode.streaming.details import LatestDetails
@@ -573,3 +573,37 @@ def test_corrections_within_a_stated_lateness(spark):
     assert changes == {(4, "admitted"), (1, "withdrawn"), (2, "admitted"), (3, "withdrawn"), (5, "late")}
     assert kept(ledger.read()) == [0, 2, 4]
     assert ledger.admit(at(), 2).count() == 0 and kept(ledger.read()) == [0, 2, 4]
+
+
+def test_hourly_trends_equal_the_batch_answer(spark, monkeypatch):
+    folder = work_path(spark, "test-trends")
+    rng = random.Random(11)
+    schema = ("platform string, source_post_id string, id bigint, commercial_potential int, is_explicit_content boolean, "
+              "cluster_key string, cluster_label string, title string, core_pain_point string, created_at timestamp")
+    store = InsightStore(spark, f"{folder}/store", schema, buckets=2, compact_every=2)
+    sums = trends.HourlyTrends(spark, f"{folder}/sums", store)
+    for batch in range(4):
+        rows = {}
+        for _ in range(70):
+            key = str(rng.randrange(90))
+            at = START + timedelta(seconds=rng.randrange(4 * 86_400))
+            rows[key] = (rng.choice("pq"), key, int(key), rng.choice([None, 1, 4, 9]), rng.choice([None, False, False, True]),
+                         rng.choice(["a", "b", "c", "", None]), rng.choice(["", "label", None]), f"t{rng.randrange(9)}",
+                         rng.choice(["", None, "x", "y", "z"]), at)
+        store.merge(spark.createDataFrame(list(rows.values()), schema), batch_id=batch)
+        changes = store.changes().where(F.col("version") == batch + 1)
+        for _ in range(2 if batch == 1 else 1):
+            sums.update(changes, batch)
+    # The last row of a day moves away: nothing of it is left.
+    for hours, window in ((96, 96), (90.5, 30), (72.25, 7), (97, 1), (300, 5)):
+        as_of = START + timedelta(hours=hours)
+        want = insights.trend_clusters(store.read(), as_of, window, 50)
+        got = sums.clusters(as_of, window, 50).select(*want.columns)
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    asked = []
+    real = InsightStore.on_days
+    monkeypatch.setattr(InsightStore, "on_days", lambda self, days: asked.append(list(days)) or real(self, days))
+    sums.clusters(START + timedelta(hours=90), 48, 50)
+    assert asked == [[(START + timedelta(hours=42)).date()]]
+    assert sums.clusters(START, 24, 5).count() > 0 and trends.HourlyTrends(
+        spark, f"{folder}/none", InsightStore(spark, f"{folder}/empty", schema)).clusters(START).count() == 0
