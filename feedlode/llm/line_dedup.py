@@ -59,36 +59,28 @@ def _words(line: Column) -> Column:
 
 
 def bare_lines(text: Column) -> Column:
-    """The lines that are not blank, without the blanks before them; those behind can stay."""
-    whole = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
+    """The lines that are not blank, without the blanks around them."""
+    whole = F.coalesce(text, F.lit(""))
     marked = whole
     for end in ("\n", ". ", "! ", "? ", "。", "！", "？"):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    marked = F.btrim(marked, F.lit(BLANK + MARK))
-    quick = F.split(marked, rf"{MARK}[{BLANK}{MARK}]*")
+    # Marks around the text, too, so that the blanks at its begin and end go with them.
+    marked = F.concat(F.lit(MARK), marked, F.lit(MARK))
+    quick = F.array_remove(F.split(marked, rf"[{BLANK}]*{MARK}[{BLANK}{MARK}]*"), "")
     slow = F.filter(F.transform(split_lines(whole), _bare), lambda line: line != "")
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.contains(whole, F.lit(MARK)), slow).otherwise(quick)
+    return F.when(F.contains(whole, F.lit(MARK)), slow).otherwise(quick)
 
 
 def chunk_hash(*lines: Column) -> Column:
     return F.xxhash64(*lines)
 
 
-def _qualifies(words: Column) -> Column:
-    """Whether so many words of each line are a passage."""
-    total = F.aggregate(words, F.lit(0), lambda a, w: a + w)
-    return ((F.size(words) >= MIN_LINES) & (total >= MIN_WORDS)) | (F.array_max(words) >= LONG_LINE)
-
-
-def _shortest(words: Column) -> Column:
-    """How many of the first counts make up several lines of enough words; null if all do not."""
-    zero = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
-    enough = lambda a: (a["lines"] >= MIN_LINES) & (a["words"] >= MIN_WORDS)
-    return F.aggregate(
-        words, zero,
-        lambda a, w: F.when(enough(a), a).otherwise(
-            F.struct((a["lines"] + 1).alias("lines"), (a["words"] + w).alias("words"))),
-        lambda a: F.when(enough(a), a["lines"]))
+def _first_enough(sums: list[Column]) -> Column:
+    """The number of lines, from two on, whose sum of words is the first that is enough."""
+    found = F.lit(None).cast("int")
+    for i, total in reversed(list(enumerate(sums))):
+        found = F.when(total >= MIN_WORDS, i + 2).otherwise(found)
+    return found
 
 
 def chunk_places(docs: DataFrame) -> DataFrame:
@@ -96,36 +88,37 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     line on, and the shortest up to each line where that is none of the others, with a hash of
     its lines. Lines are counted from 0.
 
-    A row per line, and of it as few columns as can be; most lines make a passage with the next
-    one, and for those nothing else is looked at.
+    Once the words of each line are counted, all is done in generated code, a line at a time, so
+    that no row that is made holds the other lines of its text.
     """
-    read = docs.select("key_a", "key_b", "lines", F.posexplode("lines").alias("at", "line"))
-    line = lambda i: _bare(F.get("lines", F.col("at") + i))
-    read = read.select("key_a", "key_b", "lines", "at", _bare(F.col("line")).alias("line"),
-                       line(1).alias("next"), F.when(F.col("at") > 0, line(-1)).alias("before"))
-    count = lambda name: F.when(F.col(name).isNotNull(), _words(F.col(name)))
-    read = read.select("*", _words(F.col("line")).alias("w"), count("next").alias("w_next"), count("before").alias("w_before"))
-    at, own, after = F.col("at"), F.col("line"), F.col("next")
+    read = docs.select("key_a", "key_b", "lines", F.transform("lines", _words).alias("words"))
+    # The outer form, as the other is given a filter that splits all texts once more.
+    read = read.select("key_a", "key_b", "lines", "words", F.posexplode_outer("lines").alias("at", "line"))
+    at, own = F.col("at"), F.col("line")
+    word = lambda i: F.get("words", at + i)
     # As many lines as words are always enough.
-    ahead = F.slice("lines", at + 1, MIN_WORDS)
-    behind = F.slice("lines", F.greatest(at + 2 - MIN_WORDS, F.lit(1)), F.least(at + 1, F.lit(MIN_WORDS)))
-    counts = lambda some: F.transform(some, lambda x: _words(_bare(x)))
-    hashed = lambda some: chunk_hash(F.transform(some, _bare))
+    ahead, behind = [word(0) + word(1)], [word(0) + word(1)]
+    for i in range(2, MIN_WORDS):
+        ahead.append(ahead[-1] + word(i))
+        behind.append(behind[-1] + F.when(at >= i - 1, word(1 - i)))
+    read = read.select("key_a", "key_b", "lines", "at", "line", word(0).alias("w"), word(1).alias("w_next"),
+                       _first_enough(ahead).alias("onward"), _first_enough(behind).alias("back"),
+                       *[total.alias(f"back_{i + 2}") for i, total in enumerate(behind)])
+    w, w_next, onward, back = F.col("w"), F.col("w_next"), F.col("onward"), F.col("back")
+    pair = chunk_hash(own, F.get("lines", at + 1))
+    some = lambda first, n: chunk_hash(F.slice("lines", first + 1, n))
+    own_chunk = (F.when(w >= LONG_LINE, chunk_hash(own)).when(onward == 2, pair)
+                 .when(onward.isNotNull(), some(at, onward)))
+    # Up to the next line: without it those are a passage, too, so none that starts there ends here.
+    total = F.lit(None).cast("int")
+    for i in range(len(behind) - 1, 0, -1):
+        total = F.when(back == i + 2, F.col(f"back_{i + 2}")).otherwise(total)
+    up_to = F.when(w_next < LONG_LINE, F.when(w >= LONG_LINE, pair).when(
+        (back > 2) & (total - w_next >= MIN_WORDS), some(at + 2 - back, back)))
     row = lambda first, last, chunk: F.struct(first.alias("first"), last.alias("last"), chunk.alias("chunk"))
-    n_ahead = _shortest(counts(ahead))
-    onward = (F.when(F.col("w") >= LONG_LINE, row(at, at, chunk_hash(own)))
-              .when(F.col("w") + F.col("w_next") >= MIN_WORDS, row(at, at + 1, chunk_hash(own, after)))
-              .when(after.isNotNull() & n_ahead.isNotNull(),
-                    row(at, at + n_ahead - 1, hashed(F.slice("lines", at + 1, n_ahead)))))
-    n_behind = _shortest(F.reverse(counts(behind)))
-    from_behind = F.slice("lines", at + 2 - n_behind, n_behind)
-    # Those without their last line are a passage, too: so none that starts there ends here.
-    other = _qualifies(counts(F.slice("lines", at + 2 - n_behind, n_behind - 1)))
-    up_to = (F.when(F.col("w") >= LONG_LINE, None)
-             .when(F.col("w_before") >= LONG_LINE, row(at - 1, at, chunk_hash(F.col("before"), own)))
-             .when(F.col("w_before") + F.col("w") < MIN_WORDS, F.when(
-                 n_behind.isNotNull() & other, row(at + 1 - n_behind, at, hashed(from_behind)))))
-    runs = read.select("key_a", "key_b", F.inline(F.array(onward, up_to)))
+    runs = read.select("key_a", "key_b", F.inline(F.array(
+        row(at, F.when(w >= LONG_LINE, at).otherwise(at + onward - 1), own_chunk),
+        row(F.when(w >= LONG_LINE, at).otherwise(at + 2 - back), at + 1, up_to))))
     return runs.where("chunk IS NOT NULL")
 
 
@@ -148,7 +141,8 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     smaller `order`, then key, then line. A document that is one line and equals another such is
     a copy, not a passage within a text, and stays."""
     own = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
-    places = chunk_places(own.select("key_a", "key_b", bare_lines(F.col("doc_text")).alias("lines")))
+    # Written down, as finding them costs more than reading them twice.
+    places = cut_lineage(chunk_places(own.select("key_a", "key_b", bare_lines(F.col("doc_text")).alias("lines"))))
     # Rows that repeat key and text are one document: they only make more suspects.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
     again = again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts"))
@@ -158,10 +152,9 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     read = texts.join(suspects, ["key_a", "key_b"]).select(
         "key_a", "key_b", "rank", "suspects", bare_lines(F.col("doc_text")).alias("lines"))
     each = read.select("key_a", "key_b", "rank", "lines", F.inline("suspects"))
-    some = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    own_lines = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
     each = each.select(
-        "key_a", "key_b", "chunk", "parts", "first", "last",
-        F.array_join(F.transform(some, _bare), "\n").alias("bytes"),
+        "key_a", "key_b", "chunk", "parts", "first", "last", F.array_join(own_lines, "\n").alias("bytes"),
         F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
                  (F.size("lines") == 1).alias("alone")).alias("place"))
     found = cut_lineage(each)
@@ -208,7 +201,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
     split = F.when(F.col(places).isNotNull(), split_lines(F.col(f"`{text}`")))
     spread = _once(joined, lines, split)
     # Places are counted among lines that are not blank: the number of each of those.
-    bare = F.filter(F.transform(lines, lambda x, i: F.when(_bare(x) != "", i + 1)), lambda i: i.isNotNull())
+    bare = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"[^{BLANK}]"), i + 1)), lambda i: i.isNotNull())
     spread = _once(spread, numbers, bare)
     gone = F.flatten(F.transform(F.col(places), lambda p: F.sequence(
         F.element_at(numbers, p["first"]), F.element_at(numbers, p["last"]))))
