@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline as p
 from feedlode.llm import catalog
-from tests.llm.cases import MIDDLE, SMALL, small_rows, words_of
+from tests.llm.cases import MIDDLE, SMALL, TEXTS, small_rows, words_of
 from tests.llm.test_near_join import shingles
 
 
@@ -84,3 +84,33 @@ def test_run(spark):
         assert r["n_tokens"] == len(r["ids"])
         assert r["decoded"] is not None and (r["n_chars"] == len(r["decoded"]) or "▁" in r["decoded"])
         assert r["source"] == before[r["doc_id"]][3]
+
+
+def odd_documents(spark):
+    """Documents with nulls, repeats and columns that stages might use themselves."""
+    kinds = ("doc_id long, text string, lang string, source string, n_chars long, Score string, evidence int, "
+             "n_removed string, lines int, key_a string, word int, likely boolean, bits long")
+    extra = ("mine", 7, "kept", 3, "k", 5, True, 9)
+    rows = [(i if i != 4 else None, t, "en", None, None, *extra) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[6], rows[1]], kinds)
+
+
+def test_stages_leave_other_columns_as_they_are(spark):
+    docs = odd_documents(spark)
+    for name, stage in p.STAGES[:-1]:
+        rows = stage(spark, docs, SMALL)
+        assert rows.columns == docs.columns, name
+        rows = rows.collect()
+        assert rows and all((r["Score"], r["evidence"], r["n_removed"], r["lines"], r["key_a"], r["word"], r["likely"], r["bits"])
+                            == ("mine", 7, "kept", 3, "k", 5, True, 9) for r in rows), name
+        # Null and empty texts stay, in every row.
+        assert sum(not r["text"] for r in rows) == 3, name
+    assert p.encode(spark, docs, SMALL).count() == docs.count()
+    without = docs.drop("n_chars")
+    assert p.drop_repeated_lines(spark, without, SMALL).columns == without.columns
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = odd_documents(spark).where("false")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, SMALL).collect() == []
