@@ -8,6 +8,7 @@ by priority, then length, then place; one that lies within a kept one is suppres
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -184,7 +185,7 @@ class Scanner:
             else:
                 self.always.append(number)
         # Rules of options only: any of these words must be there.
-        self.gates = frozenset([b"license", b"licenses", b"licence", b"licences"])
+        self.gates = frozenset([b"license", b"licenses", b"licence", b"licences", b"openrail", b"rail"])
         self.keys = frozenset(self.waiting) | self.gates
 
     def _found(self, number: int, joined: bytes) -> list[tuple[int, int]]:
@@ -217,13 +218,19 @@ class Scanner:
         joined = b" " + b" ".join(words) + b" "
         found = [(n, first, size) for n in sorted(numbers) for first, size in self._found(n, joined)]
         found.sort(key=lambda f: (-self.rules[f[0]].priority, -f[2], f[1], f[0]))
-        kept: list[tuple[int, int]] = []
+        # Kept places in order of their first word, without those within others, so that their ends
+        # ascend, too: the last that begins before a place reaches furthest.
+        firsts: list[int] = []
+        ends: list[int] = []
         out = []
         for n, first, size in found:
             rule = self.rules[n]
-            inside = any(a <= first and first + size <= b for a, b in kept)
+            at, end = bisect_right(firsts, first), first + size
+            inside = at > 0 and ends[at - 1] >= end
             if not inside:
-                kept.append((first, first + size))
+                low = at - 1 if at and firsts[at - 1] == first else at
+                high = bisect_right(ends, end, low)
+                firsts[low:high], ends[low:high] = [first], [end]
             if rule.base or not inside:
                 out.append({"label": rule.label, "rule": n, "first_word": first, "n_words": size,
                             "confidence": rule.confidence, "base": rule.base, "kept": not inside})

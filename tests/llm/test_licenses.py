@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from feedlode.llm import licenses
@@ -61,12 +62,35 @@ def test_keywords_hide_no_detection():
         "Neither the name of the Example Corp nor the names of its contributors may be used to endorse",
         "Copyright (c) 2021. All rights reserved. See the accompanying license.", "Mozilla Public License v2.0",
         "released by OpenRAIL-M license", "BigScience OpenRAIL-M licence", "the new BSD licence", "no word of it",
+        "released under the OpenRAIL-M", "licensed under BigScience OpenRAIL", "under the OpenRAIL",
     ]
     for text in texts:
         _, found = scanner.scan(text)
         assert {(d["label"], d["first_word"], d["first_word"] + d["n_words"]) for d in found if d["kept"]} == brute(text), text
 
 
+def test_open_rail_without_the_word_license():
+    scanner = licenses.Scanner(RULES)
+    for text in ("released under the OpenRAIL-M", "licensed under BigScience OpenRAIL"):
+        assert [d for d in scanner.scan(text)[1] if d["kept"]], text
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    texts = ["Licensed under CC BY-NC-ND 4.0", "under the MIT license", "SPDX-License-Identifier: Apache License Version 2",
+             "GNU General Public License version 3", "cc by nc"]
+    rng = random.Random(2)
+    some = " ".join(rng.choice(texts) for _ in range(60))
+    scanner = licenses.Scanner(RULES)
+    _, found = scanner.scan(some)
+    assert {(d["label"], d["first_word"], d["first_word"] + d["n_words"]) for d in found if d["kept"]} == brute(some)
+    many = " ".join(rng.choice(texts) for _ in range(20_000))
+    began = time.perf_counter()
+    _, found = scanner.scan(many)
+    assert len(found) > 20_000 and time.perf_counter() - began < 20
+
+
 def test_priority_and_containment():
     scanner = licenses.Scanner(RULES)
     _, found = scanner.scan("Licensed under CC BY-NC-ND 4.0")
