@@ -54,7 +54,8 @@ def _words(line: Column) -> Column:
     """Words of a line without blanks around it, by the blanks in it if it has one every so many
     bytes at least."""
     plain = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
+    short = F.octet_length(line) <= FEW_BLANKS
+    return F.when(short, plain).when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
         F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
 
 
@@ -154,19 +155,24 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     each = read.select("key_a", "key_b", "rank", "lines", F.inline("suspects"))
     own_lines = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
     each = each.select(
-        "key_a", "key_b", "chunk", "parts", "first", "last", F.array_join(own_lines, "\n").alias("bytes"),
+        "key_a", "key_b", "chunk", "parts", F.array_join(own_lines, "\n").alias("bytes"),
         F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
-                 (F.size("lines") == 1).alias("alone")).alias("place"))
-    found = cut_lineage(each)
-    # The first of equal bytes; the hash deals the rows out, the bytes decide. It meets the places
-    # of a chunk that has very many in parts.
+                 (F.size("lines") == 1).alias("alone")).alias("place"),
+        F.struct((F.col("first") + 1).alias("first"), (F.col("last") + 1).alias("last")).alias("run"))
+    # One row for all places of a text that are equal; its rows are together already.
+    found = cut_lineage(each.groupBy("key_a", "key_b", "chunk", "parts", "bytes").agg(
+        F.min("place").alias("place"), F.collect_list("run").alias("runs")))
+    # The first of equal bytes; the hash deals the rows out, the bytes decide. It meets the texts
+    # of a chunk that very many have in parts.
     firsts = found.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"), F.max("parts").alias("parts"))
     firsts = firsts.select("chunk", "bytes", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    part = F.pmod(F.xxhash64("key_a", "first"), "parts").cast("int").alias("part")
-    later = found.select("key_a", "key_b", "chunk", "first", "last", "bytes", "place", part).join(
-        firsts, ["chunk", "part", "bytes"]).where("place > kept AND NOT (place.alone AND kept.alone)")
-    return later.groupBy("key_a", "key_b").agg(F.collect_set(F.struct(
-        (F.col("first") + 1).alias("first"), (F.col("last") + 1).alias("last"))).alias("places"))
+    part = F.pmod("key_a", "parts").cast("int").alias("part")
+    met = found.select("key_a", "key_b", "chunk", "bytes", "place", "runs", part).join(firsts, ["chunk", "part", "bytes"])
+    # All places but the first of all.
+    later = F.filter("runs", lambda r: (F.col("place") != F.col("kept")) | (r["first"] > F.col("kept.first") + 1))
+    met = met.where("NOT (place <> kept AND place.alone AND kept.alone)").select("key_a", "key_b", later.alias("runs"))
+    return met.where(F.size("runs") > 0).groupBy("key_a", "key_b").agg(
+        F.array_distinct(F.flatten(F.collect_list("runs"))).alias("places"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
