@@ -85,16 +85,16 @@ def _first_enough(sums: list[Column]) -> Column:
 
 
 def chunk_places(docs: DataFrame) -> DataFrame:
-    """(key_a, key_b, first, last, chunk) of (key_a, key_b, lines): the shortest passage from each
-    line on, and the shortest up to each line where that is none of the others, with a hash of
-    its lines. Lines are counted from 0.
+    """(key_a, first, size, chunk) of (key_a, lines): the shortest passage from each line on, and
+    the shortest up to each line where that is none of the others, with a hash of its lines. Lines
+    are counted from 0.
 
     Once the words of each line are counted, all is done in generated code, a line at a time, so
     that no row that is made holds the other lines of its text.
     """
-    read = docs.select("key_a", "key_b", "lines", F.transform("lines", _words).alias("words"))
+    read = docs.select("key_a", "lines", F.transform("lines", _words).alias("words"))
     # The outer form, as the other is given a filter that splits all texts once more.
-    read = read.select("key_a", "key_b", "lines", "words", F.posexplode_outer("lines").alias("at", "line"))
+    read = read.select("key_a", "lines", "words", F.posexplode_outer("lines").alias("at", "line"))
     at, own = F.col("at"), F.col("line")
     word = lambda i: F.get("words", at + i)
     # As many lines as words are always enough.
@@ -102,7 +102,7 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     for i in range(2, MIN_WORDS):
         ahead.append(ahead[-1] + word(i))
         behind.append(behind[-1] + F.when(at >= i - 1, word(1 - i)))
-    read = read.select("key_a", "key_b", "lines", "at", "line", word(0).alias("w"), word(1).alias("w_next"),
+    read = read.select("key_a", "lines", "at", "line", word(0).alias("w"), word(1).alias("w_next"),
                        _first_enough(ahead).alias("onward"), _first_enough(behind).alias("back"),
                        *[total.alias(f"back_{i + 2}") for i, total in enumerate(behind)])
     w, w_next, onward, back = F.col("w"), F.col("w_next"), F.col("onward"), F.col("back")
@@ -116,10 +116,11 @@ def chunk_places(docs: DataFrame) -> DataFrame:
         total = F.when(back == i + 2, F.col(f"back_{i + 2}")).otherwise(total)
     up_to = F.when(w_next < LONG_LINE, F.when(w >= LONG_LINE, pair).when(
         (back > 2) & (total - w_next >= MIN_WORDS), some(at + 2 - back, back)))
-    row = lambda first, last, chunk: F.struct(first.alias("first"), last.alias("last"), chunk.alias("chunk"))
-    runs = read.select("key_a", "key_b", F.inline(F.array(
-        row(at, F.when(w >= LONG_LINE, at).otherwise(at + onward - 1), own_chunk),
-        row(F.when(w >= LONG_LINE, at).otherwise(at + 2 - back), at + 1, up_to))))
+    row = lambda first, size, chunk: F.struct(first.alias("first"), size.cast("short").alias("size"), chunk.alias("chunk"))
+    one = F.lit(1)
+    runs = read.select("key_a", F.inline(F.array(
+        row(at, F.when(w >= LONG_LINE, one).otherwise(onward), own_chunk),
+        row(F.when(w >= LONG_LINE, at).otherwise(at + 2 - back), F.when(w >= LONG_LINE, one + 1).otherwise(back), up_to))))
     return runs.where("chunk IS NOT NULL")
 
 
@@ -142,23 +143,26 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     smaller `order`, then key, then line. A document that is one line and equals another such is
     a copy, not a passage within a text, and stays."""
     own = docs.select("key_a", "key_b", F.col(f"`{order}`").alias("rank"), F.col(f"`{text}`").alias("doc_text"))
-    # Written down, as finding them costs more than reading them twice.
-    places = cut_lineage(chunk_places(own.select("key_a", "key_b", bare_lines(F.col("doc_text")).alias("lines"))))
+    # Written down, as finding them costs more than reading them twice. Texts that share a key of 64
+    # bits get each other's suspects, which their bytes rule out.
+    lines = own.select("key_a", bare_lines(F.col("doc_text")).alias("lines"))
+    places = cut_lineage(chunk_places(lines))
     # Rows that repeat key and text are one document: they only make more suspects.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
     again = again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts"))
-    suspects = cut_lineage(places.join(again, "chunk").groupBy("key_a", "key_b").agg(
-        F.collect_set(F.struct("first", "last", "chunk", "parts")).alias("suspects")))
+    suspects = cut_lineage(places.join(again, "chunk").groupBy("key_a").agg(
+        F.collect_set(F.struct("first", "size", "chunk", "parts")).alias("suspects")))
     texts = likely(own, suspects.select("key_a")).where("likely")
-    read = texts.join(suspects, ["key_a", "key_b"]).select(
+    read = texts.join(suspects, "key_a").select(
         "key_a", "key_b", "rank", "suspects", bare_lines(F.col("doc_text")).alias("lines"))
     each = read.select("key_a", "key_b", "rank", "lines", F.inline("suspects"))
-    own_lines = F.slice("lines", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    each = each.where(F.col("first") + F.col("size") <= F.size("lines"))
     each = each.select(
-        "key_a", "key_b", "chunk", "parts", F.array_join(own_lines, "\n").alias("bytes"),
+        "key_a", "key_b", "chunk", "parts",
+        F.array_join(F.slice("lines", F.col("first") + 1, F.col("size").cast("int")), "\n").alias("bytes"),
         F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
                  (F.size("lines") == 1).alias("alone")).alias("place"),
-        F.struct((F.col("first") + 1).alias("first"), (F.col("last") + 1).alias("last")).alias("run"))
+        F.struct((F.col("first") + 1).alias("first"), (F.col("first") + F.col("size")).alias("last")).alias("run"))
     # One row for all places of a text that are equal; its rows are together already.
     found = cut_lineage(each.groupBy("key_a", "key_b", "chunk", "parts", "bytes").agg(
         F.min("place").alias("place"), F.collect_list("run").alias("runs")))
@@ -172,7 +176,7 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     later = F.filter("runs", lambda r: (F.col("place") != F.col("kept")) | (r["first"] > F.col("kept.first") + 1))
     met = met.where("NOT (place <> kept AND place.alone AND kept.alone)").select("key_a", "key_b", later.alias("runs"))
     return met.where(F.size("runs") > 0).groupBy("key_a", "key_b").agg(
-        F.array_distinct(F.flatten(F.collect_list("runs"))).alias("places"))
+        F.flatten(F.collect_list("runs")).alias("places"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
