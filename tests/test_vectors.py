@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,18 @@ def test_model_rows_fail_alone(spark):
     assert scored["odd"]["status"] == "rejected" and scored["odd"]["raw_answer"] == "?"
 
 
+def test_model_is_asked_in_batches_of_bounded_bytes(spark):
+    def make():
+        return lambda prompts: [json.dumps({"core_pain_point": str(sum(map(len, prompts)))}) for _ in prompts]
+
+    session = spark.newSession()
+    text = F.repeat(F.col("id").cast("string"), 100_000).alias("content")
+    others = [F.lit("").alias(n) for n in ("platform", "channel", "content_kind", "title", "author", "url")]
+    posts = session.range(100, 200, 1, 1).select(text, *others)
+    held = {int(r[0]) for r in analyze.score_with_model(posts, make, "m").select("core_pain_point").collect()}
+    assert 300_000 <= max(held) < 8 << 20
+
+
 def test_embedding_model(spark):
     def make():
         def vectors(texts, mode, titles):
@@ -122,8 +136,7 @@ def test_models_are_not_mixed(spark):
 def test_hashes_of_long_tokens():
     import time
 
-    import pyarrow as pa
-
+    
     def plain(token):
         value = 0xCBF29CE484222325
         for byte in token.encode():
