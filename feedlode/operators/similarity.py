@@ -14,6 +14,7 @@ from feedlode.functions.fixed_values import SEARCH_LIMIT
 from feedlode.functions.limits import clamp_limit
 from feedlode.operators.rows import exclude_explicit, present_insights
 from feedlode.schema import INSIGHT_KEYS
+from feedlode.session import small_batches
 
 # Vectors of one block of targets that each task holds, in bytes.
 BLOCK_BYTES = 64 << 20
@@ -108,6 +109,7 @@ def search_ids(
     Only those and the vector are read. Every task keeps its own k best, so no more than k rows
     per task leave it.
     """
+    small_batches(insights.sparkSession)
     query = np.asarray(query_vector, dtype=np.float64)
     rows = _candidates(insights, len(query), id_col, vector_col, model, carry)
     if without_id is not None:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from feedlode.operators import analyze, embed, similarity
+from feedlode.session import BATCH_BYTES
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +110,18 @@ def test_model_is_asked_in_batches_of_bounded_bytes(spark):
     assert 300_000 <= max(held) < 8 << 20
 
 
+def test_hash_vectors_are_counted_in_slices(spark, monkeypatch):
+    session = spark.newSession()
+    texts = [("one two two",), ("",), (None,), ("drei vier",), ("one",)]
+    df = session.createDataFrame(texts, "t string").coalesce(1)
+    whole = [list(r["embedding"]) for r in embed.hash_embed(df, "t", 32).collect()]
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == BATCH_BYTES
+    monkeypatch.setattr(embed, "CELLS", 64)
+    assert [list(r["embedding"]) for r in embed.hash_embed(df, "t", 32).collect()] == whole
+    vectors = embed.hash_vectors(32).func(pa.array([["one", "two"], [], ["drei", "vier"], [], ["one"]]))
+    assert len(vectors) == 5 and len(embed.hash_vectors(32).func(pa.array([], pa.list_(pa.string())))) == 0
+
+
 def test_embedding_model(spark):
     def make():
         def vectors(texts, mode, titles):
@@ -136,7 +150,8 @@ def test_models_are_not_mixed(spark):
 def test_hashes_of_long_tokens():
     import time
 
-    
+    import pyarrow as pa
+
     def plain(token):
         value = 0xCBF29CE484222325
         for byte in token.encode():
