@@ -213,24 +213,48 @@ class _RunningBest:
 
     def __init__(self, target_ids: np.ndarray, targets: np.ndarray, k: int) -> None:
         self.target_ids, self.units, self.k = target_ids, _unit_rows(targets), k
+        # Places that no row has taken have a cosine of minus infinity and come last.
         self.ids = np.empty((len(target_ids), 0), np.int64)
         self.cosines = np.empty((len(target_ids), 0), np.float64)
+        self.seen = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         units = _unit_rows(vectors)
-        # A slice of rows at a time bounds the matrix of cosines.
-        step = max(1, (8 << 20) // max(1, len(self.target_ids)))
-        for start in range(0, len(ids), step):
-            self._merge(ids[start : start + step], units[start : start + step])
+        # A slice of rows at a time bounds the matrix of cosines. The first ones are small and set
+        # the bar, so that of a later one few cosines are among the k best.
+        most = max(1, (8 << 20) // max(1, len(self.target_ids)))
+        start = 0
+        while start < len(ids):
+            end = start + min(most, max(self.k, self.seen))
+            self._merge(ids[start:end], units[start:end])
+            start = end
 
     def _merge(self, ids: np.ndarray, units: np.ndarray) -> None:
-        cosines = (self.units @ units.T).round(DIGITS)
-        cosines[self.target_ids[:, None] == ids[None, :]] = np.nan
-        cosines = np.concatenate([self.cosines, np.where(np.isnan(cosines), -np.inf, cosines)], 1)
-        all_ids = np.concatenate([self.ids, np.broadcast_to(ids, (len(self.units), len(ids)))], 1)
-        order = np.lexsort((all_ids, -cosines), axis=1)[:, : self.k]
-        self.ids = np.take_along_axis(all_ids, order, 1)
-        self.cosines = np.take_along_axis(cosines, order, 1)
+        cosines = self.units @ units.T
+        # The bar is rounded, the cosines are not yet. Undefined ones are never above it.
+        full = self.cosines.shape[1] == self.k
+        bar = self.cosines[:, -1] - 10.0**-DIGITS if full else np.full(len(self.units), -np.inf)
+        self.seen += len(ids)
+        width = min(self.k, self.seen)
+        if (more := width - self.ids.shape[1]) > 0:
+            self.ids = np.pad(self.ids, ((0, 0), (0, more)))
+            self.cosines = np.pad(self.cosines, ((0, 0), (0, more)), constant_values=-np.inf)
+        target, row = np.nonzero(cosines >= bar[:, None])
+        other = self.target_ids[target] != ids[row]
+        target, row = target[other], row[other]
+        if not len(target):
+            return
+        hit, place = np.unique(target, return_inverse=True)
+        places = np.concatenate([np.repeat(np.arange(len(hit)), width), place])
+        all_ids = np.concatenate([self.ids[hit].ravel(), ids[row]])
+        values = np.concatenate([self.cosines[hit].ravel(), cosines[target, row].round(DIGITS)])
+        order = np.lexsort((all_ids, -values, places))
+        places = places[order]
+        rank = np.arange(len(order)) - np.searchsorted(places, np.arange(len(hit)))[places]
+        # Every target that was hit has as many entries as places, or more.
+        best = order[rank < width]
+        self.ids[hit] = all_ids[best].reshape(len(hit), width)
+        self.cosines[hit] = values[best].reshape(len(hit), width)
 
     def result(self) -> pa.RecordBatch:
         width = self.ids.shape[1]

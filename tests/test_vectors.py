@@ -98,6 +98,39 @@ def test_model_rows_fail_alone(spark):
     assert scored["odd"]["status"] == "rejected" and scored["odd"]["raw_answer"] == "?"
 
 
+@pytest.mark.parametrize("copies", [1, 30])
+def test_bulk_search_sorts_few_of_the_pairs(monkeypatch, copies):
+    rng = np.random.default_rng(3)
+    vectors = np.repeat(rng.normal(size=(12_000 // copies, 8)), copies, axis=0)[rng.permutation(12_000)]
+    vectors[[3, 70]] = 0
+    ids = np.arange(12_000)
+    ids[50:52] = 40
+    targets, k, sizes = slice(0, 300), 4, []
+
+    def counted(keys, **options):
+        sizes.append(np.asarray(keys[0]).size)
+        return lexsort(keys, **options)
+
+    lexsort = np.lexsort
+    monkeypatch.setattr(similarity.np, "lexsort", counted)
+    best = similarity._RunningBest(ids[targets], vectors[targets], k)
+    for i in range(0, len(ids), 5000):
+        best.add(ids[i : i + 5000], vectors[i : i + 5000])
+    assert sum(sizes) < 0.1 * 300 * len(ids)
+    with np.errstate(invalid="ignore"):
+        units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    wanted = []
+    for i in range(300):
+        if i in (3, 70):
+            continue
+        cosines = (units @ units[i]).round(12)
+        cosines[(ids == ids[i]) | np.isnan(cosines)] = -np.inf
+        wanted += [(ids[i], ids[j], cosines[j]) for j in lexsort((ids, -cosines))[:k]]
+    got = best.result().to_pylist()
+    assert [(r["target_id"], r["id"]) for r in got] == [w[:2] for w in wanted]
+    assert np.allclose([r["cosine"] for r in got], [w[2] for w in wanted], rtol=0, atol=1e-11)
+
+
 def test_model_is_asked_in_batches_of_bounded_bytes(spark):
     def make():
         return lambda prompts: [json.dumps({"core_pain_point": str(sum(map(len, prompts)))}) for _ in prompts]
