@@ -14,11 +14,11 @@ their texts are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlode.llm.common import fresh_name, row_key, table
-from feedlode.session import cut_lineage
+from feedlode.session import cut_lineage, scratch, shuffles_let_go
 
 #: A passage has this many lines and words, or is one line of LONG_LINE words.
 MIN_LINES, MIN_WORDS, LONG_LINE = 2, 10, 50
@@ -147,31 +147,42 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     # bits get each other's suspects, which their bytes rule out.
     lines = own.select("key_a", bare_lines(F.col("doc_text")).alias("lines"))
     places = cut_lineage(chunk_places(lines))
-    # Rows that repeat key and text are one document: they only make more suspects.
+    # Rows that repeat key and text are one document: they only make more suspects. Joins here are
+    # by hash: what they hold is narrow and small beside the other side, which need not be sorted.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
     again = again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts"))
-    suspects = cut_lineage(places.join(again, "chunk").groupBy("key_a").agg(
-        F.collect_set(F.struct("first", "size", "chunk", "parts")).alias("suspects")))
+    # The places of a chunk in one text are one row from here on; all rows of a chunk are together.
+    met = places.join(again.hint("shuffle_hash"), "chunk").groupBy("key_a", "chunk", "parts").agg(
+        F.collect_set(F.struct("first", "size")).alias("spots"))
+    suspects = cut_lineage(met.groupBy("key_a").agg(F.collect_list(F.struct("chunk", "parts", "spots")).alias("suspects")))
     texts = likely(own, suspects.select("key_a")).where("likely")
-    read = texts.join(suspects, "key_a").select(
-        "key_a", "key_b", "rank", "suspects", bare_lines(F.col("doc_text")).alias("lines"))
-    each = read.select("key_a", "key_b", "rank", "lines", F.inline("suspects"))
-    each = each.where(F.col("first") + F.col("size") <= F.size("lines"))
-    each = each.select(
-        "key_a", "key_b", "chunk", "parts",
-        F.array_join(F.slice("lines", F.col("first") + 1, F.col("size").cast("int")), "\n").alias("bytes"),
-        F.struct(F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b", "first",
-                 (F.size("lines") == 1).alias("alone")).alias("place"),
-        F.struct((F.col("first") + 1).alias("first"), (F.col("first") + F.col("size")).alias("last")).alias("run"))
-    # One row for all places of a text that are equal; its rows are together already.
-    found = cut_lineage(each.groupBy("key_a", "key_b", "chunk", "parts", "bytes").agg(
-        F.min("place").alias("place"), F.collect_list("run").alias("runs")))
-    # The first of equal bytes; the hash deals the rows out, the bytes decide. It meets the texts
-    # of a chunk that very many have in parts.
-    firsts = found.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"), F.max("parts").alias("parts"))
+    read = texts.join(suspects.hint("shuffle_hash"), "key_a").select("key_a", "key_b", "rank", "suspects", "doc_text")
+    read = _once(read, "lines", bare_lines(F.col("doc_text")))
+    spelt = lambda s: F.struct(
+        F.array_join(F.slice("lines", s["first"] + 1, s["size"].cast("int")), "\n").alias("bytes"),
+        (s["first"] + 1).alias("first"), (s["first"] + s["size"]).alias("last"))
+    fits = lambda spots: F.filter(spots, lambda s: s["first"] + s["size"] <= F.size("lines"))
+    # Spelt out before they are made rows, so that no row holds the other lines of its text.
+    each = read.select("key_a", "key_b", "rank", (F.size("lines") == 1).alias("alone"), F.inline(F.transform(
+        "suspects", lambda x: F.struct(x["chunk"].alias("chunk"), x["parts"].alias("parts"),
+                                       F.transform(fits(x["spots"]), spelt).alias("spelt")))))
+    # One row for all places of a text that are equal.
+    each = each.select("*", F.explode(F.array_distinct("spelt.bytes")).alias("bytes"))
+    runs = F.transform(F.filter("spelt", lambda s: s["bytes"] == F.col("bytes")),
+                       lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    each = each.select("key_a", "key_b", "rank", "chunk", "parts", "alone", "bytes", runs.alias("runs"))
+    found = cut_lineage(each.select("key_a", "key_b", "chunk", "parts", "bytes", F.struct(
+        F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b",
+        (F.array_min("runs.first") - 1).alias("first"), "alone").alias("place"), "runs"))
+    # The first of equal bytes; the hash deals the rows out, the bytes decide.
+    usual = found.where("parts = 1").withColumn("kept", F.min("place").over(Window.partitionBy("chunk", "bytes")))
+    # Of a chunk that very many have, it meets the texts in parts.
+    hot = found.where("parts > 1")
+    firsts = hot.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"), F.max("parts").alias("parts"))
     firsts = firsts.select("chunk", "bytes", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    part = F.pmod("key_a", "parts").cast("int").alias("part")
-    met = found.select("key_a", "key_b", "chunk", "bytes", "place", "runs", part).join(firsts, ["chunk", "part", "bytes"])
+    hot = hot.withColumn("part", F.pmod("key_a", "parts").cast("int")).join(firsts, ["chunk", "part", "bytes"])
+    own = ["key_a", "key_b", "place", "kept", "runs"]
+    met = usual.select(*own).unionByName(hot.select(*own))
     # All places but the first of all.
     later = F.filter("runs", lambda r: (F.col("place") != F.col("kept")) | (r["first"] > F.col("kept.first") + 1))
     met = met.where("NOT (place <> kept AND place.alone AND kept.alone)").select("key_a", "key_b", later.alias("runs"))
@@ -202,11 +213,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
     keyed = keyed.toDF(*names, key_a, key_b)
     narrow = docs.select(F.col(f"`{order}`").alias("doc_order"), F.col(f"`{text}`").alias("doc_text"))
     narrow = narrow.select("*", *row_key("doc_order", "doc_text"))
-    found = cut_lineage(repeated_places(narrow, "doc_text", "doc_order"))
+    # What is written on the way goes as soon as the places are known.
+    with shuffles_let_go(docs.sparkSession), scratch(docs.sparkSession):
+        found = cut_lineage(repeated_places(narrow, "doc_text", "doc_order"), kept=True)
     every = likely(keyed, found.select(F.col("key_a").alias(key_a)), key_a, marked)
     own = [F.col(f"`{c}`") for c in names]
     plain = every.where(~F.col(marked)).select(*own, F.lit(0).cast("long").alias(removed))
-    joined = every.where(marked).join(found.toDF(key_a, key_b, places), [key_a, key_b], "left")
+    joined = every.where(marked).join(found.toDF(key_a, key_b, places).hint("shuffle_hash"), [key_a, key_b], "left")
     # Lines are wanted only where some go.
     split = F.when(F.col(places).isNotNull(), split_lines(F.col(f"`{text}`")))
     spread = _once(joined, lines, split)

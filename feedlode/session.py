@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Most bytes of texts or vectors that go to a Python worker at once, beyond a single longer row.
 BATCH_BYTES = "4m"
 
@@ -70,24 +71,38 @@ def delete_paths(spark: SparkSession, paths: Sequence[str]) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``cut_lineage`` writes within, in this thread, are deleted at the end: for work
     whose results are saved elsewhere by then, a micro-batch say."""
-    outer = getattr(_open, "paths", None)
-    _open.paths = []
+    around, outer = getattr(_open, "outer", None), getattr(_open, "paths", None)
+    _open.paths, _open.outer = [], outer
     try:
         yield
     finally:
-        paths, _open.paths = _open.paths, outer
+        paths, _open.paths, _open.outer = _open.paths, outer, around
         delete_paths(spark, paths)
 
 
-def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run within go with the end of each: for steps that end in a table
+    written down. Else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None, kept: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     Survives the loss of executors; each row is worked out once, and later steps read only
-    the columns they need. ``spark`` is the session to go on in.
+    the columns they need. ``spark`` is the session to go on in; ``kept`` says that the rows are
+    wanted beyond the scratch around this call, and go with the one around that, if any.
     """
     spark = spark or df.sparkSession
     path = work_path(spark, "cut")
-    if getattr(_open, "paths", None) is not None:
-        _open.paths.append(path)
+    paths = getattr(_open, "outer" if kept else "paths", None)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+from contextlib import nullcontext
 
 from pyspark.sql import functions as F
 
 from feedlode.llm import line_dedup as d
+from feedlode.session import SHUFFLE_CLEANUP, scratch, shared_folder
 from tests.llm.cases import MIDDLE, SMALL, TEXTS, no_docs, odd_docs, small_rows
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -220,3 +222,21 @@ def test_short_lines_against_all_runs(spark):
     want = plain_dedup(rows)
     for r in d.dedup_lines(docs).collect():
         assert r["text"] == want[r["doc_id"], dict(rows)[r["doc_id"]]]
+
+
+def test_what_is_written_on_the_way_goes(spark):
+    def written():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-*")
+        return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+    passage, rows = planted(random.Random(9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for around in (0, 1):
+        before, setting = written(), spark.conf.get(SHUFFLE_CLEANUP)
+        with scratch(spark) if around else nullcontext():
+            got = d.dedup_lines(docs)
+            # Of the four tables only that of the places is left, until a scratch around it ends.
+            assert written() == before + 1
+            assert sum(r["n_removed"] for r in got.collect()) > 0
+        assert written() == before + 1 - around
+        assert spark.conf.get(SHUFFLE_CLEANUP) == setting
