@@ -489,10 +489,11 @@ def dedup_corrected(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("platform"), F.col("user_id").cast("string").alias("id"),
         F.col("ts").cast("timestamp").alias("seen_at"), "event_id",
         F.pmod(F.xxhash64(F.to_date("ts")), F.lit(STREAM_PARTS)).alias("_part")))
+    files = spark.sparkContext.defaultParallelism
     for i in range(STREAM_PARTS):
-        rows.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+        rows.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(f"{folder}/landed")
     schema = rows.drop("_part").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/landed")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/landed")
     ledger = CorrectingLedger(spark, f"{folder}/ledger", ttl_seconds=TWO_DAYS, tie=["event_id"])
 
     def save(changes: DataFrame, batch_id: int) -> None:

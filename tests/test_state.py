@@ -607,3 +607,19 @@ def test_hourly_trends_equal_the_batch_answer(spark, monkeypatch):
     assert asked == [[(START + timedelta(hours=42)).date()]]
     assert sums.clusters(START, 24, 5).count() > 0 and trends.HourlyTrends(
         spark, f"{folder}/none", InsightStore(spark, f"{folder}/empty", schema)).clusters(START).count() == 0
+
+
+def test_corrected_batches_are_landed_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = [(n, START + timedelta(hours=7 * n), n % 9, "view") for n in range(600)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    folders = []
+    monkeypatch.setattr(catalog, "work_path", lambda spark, name: folders.append(work_path(spark, name)) or folders[-1])
+    got = catalog.dedup_corrected(spark, str(tmp_path))
+    sightings = [(kind, str(user), at, n) for n, at, user, kind in rows]
+    assert sorted(r["event_id"] for r in got.collect()) == plain_rule(sightings, timedelta(seconds=catalog.TWO_DAYS))
+    files = len(spark.read.parquet(f"{folders[0]}/landed").inputFiles())
+    assert files == catalog.STREAM_PARTS * spark.sparkContext.defaultParallelism
+    # Each part is one micro-batch, as before.
+    batches = {r[0] for r in spark.read.parquet(f"{folders[0]}/out").select("batch").distinct().collect()}
+    assert batches == set(range(catalog.STREAM_PARTS))
