@@ -8,10 +8,11 @@ from all others, it foretells them better. Then its shorter context is retained,
 symbols of a state are smoothed with those of its shorter context, down to the add-one unigrams
 of all words. A symbol is scored at the longest retained context before it.
 
-Counts of next symbols may not fit anywhere in whole. Blocks of documents send their symbols,
-with context and document, to stretches of the range of word hashes. A stretch holds all
-occurrences of its words, so it can count them under every context, and sums up what they add
-to each document's score.
+Counts of next symbols may not fit anywhere in whole. Blocks of documents count their pairs of
+context and next word, and send the counts to stretches of the range of word hashes, which add
+them up. With the tree known, a stretch tells each block the chances of its pairs, and the block
+sums them up over its documents. So a word that makes up a large part of all symbols sends its
+different contexts, not its places, and a task holds a stretch's different pairs and one batch.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from feedlode.llm.common import remainder, small_batches, table
 from feedlode.llm.words import WHITE, Words, chained, mixed, owners
-from feedlode.session import cut_lineage
+from feedlode.session import cut_lineage, shuffles_let_go
 
 #: Least share of a candidate context among all symbols.
 LEAST_SHARE = 1e-4
@@ -36,6 +37,8 @@ LEAST_SHARE = 1e-4
 LEAST_GAIN = 10.0
 #: Bytes of text in a block, and symbols in a stretch of the hash range.
 BLOCK_BYTES, STRETCH_WORDS = 8 << 20, 2_000_000
+#: Pairs that a task holds until it adds them up or sends them on.
+MERGE_PAIRS = 500_000
 END_WORD = mixed(np.zeros(1, np.uint64))[0]
 
 
@@ -137,6 +140,10 @@ def candidates(docs: DataFrame, share: float = LEAST_SHARE) -> tuple[Contexts, i
             new, times = np.unique(two[some] * n + one[some], return_counts=True)
             keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(inverse, np.concatenate([counts, times])).astype(np.int64)
+            if len(keys) > MERGE_PAIRS:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys // n), pa.array(keys % n), pa.array(counts)], ["two", "one", "n"])
+                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys // n), pa.array(keys % n), pa.array(counts)], ["two", "one", "n"])
 
@@ -166,58 +173,72 @@ def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), kind)
 
 
-PARTS = {"keys": "binary", "sizes": "binary", "places": "binary", "contexts": "binary"}
-HEADS = {"doc_ids": "array<long>", "held_out": "array<boolean>", "n_tokens": "array<long>"}
-TYPES = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+PARTS = {"words": "binary", "sizes": "binary", "contexts": "binary", "counts": "binary"}
+HEADS = {"times": "binary", "places": "binary", "doc_ids": "array<long>", "held_out": "array<boolean>",
+         "n_tokens": "array<long>"}
+TYPES = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+         "array<boolean>": pa.list_(pa.bool_())}
 
 
 def _fields(kinds: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
+def _schema(kinds: dict[str, str]) -> pa.Schema:
+    return pa.schema([(name, TYPES[kind]) for name, kind in kinds.items()])
+
+
+def _place_type(n_docs: int) -> type:
+    return np.uint16 if n_docs <= 1 << 16 else np.uint32
+
+
 def _requests(docs: DataFrame, contexts: Contexts, stretches: int) -> DataFrame:
-    """Blocks of documents: one row with their ids and sizes, whose stretch is negative and its
-    own, and one row per stretch of the hash range with the block's occurrences of its words.
+    """Blocks of documents: one row with their ids and sizes, whose stretch is negative, and one
+    row per stretch of the hash range with the block's pairs of its words and their contexts.
 
-    An occurrence has its place (the document's number in the block, doubled, plus one if held
-    out) and its context; words are sorted by hash.
+    A pair has its number of occurrences in training (counts). They are sorted by the word's hash
+    and context, and words have a number of pairs each (sizes). The block's own row has, for its
+    pairs of all stretches in order, the number of all occurrences (times) and the documents'
+    numbers in the block of each (places).
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(contexts)
-    schema = pa.schema([("stretch", pa.int64()), ("block", pa.int64()),
-                        *[(name, TYPES[kind]) for name, kind in {**PARTS, **HEADS}.items()]])
+    kinds = {"stretch": "long", "block": "long", **PARTS, **HEADS}
+    schema = _schema(kinds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, words = shared.value, Words.between(WHITE)
+        size = len(contexts.shorter)
         edges = np.array([(i << 64) // stretches for i in range(1, stretches)], np.uint64)
         block = TaskContext.get().partitionId() << 32
         hashes, own, before, ids, held, sizes, taken = [], [], [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, taken
-            symbols = np.concatenate(hashes)
-            order = np.argsort(symbols, kind="stable")
-            symbols = symbols[order]
-            places = np.concatenate(own)[order]
-            places = 2 * places + np.array(held, bool)[places]
-            context = np.concatenate(before)[order]
-            keys, first = np.unique(symbols, return_index=True)
-            first = np.append(first, len(symbols))
-            cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-            rows = [{"stretch": -1 - block, "block": block, "doc_ids": list(ids), "held_out": list(held),
-                     "n_tokens": list(sizes)}]
-            for stretch, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    x, y = first[a], first[b]
-                    rows.append({
-                        "stretch": stretch, "block": block,
-                        # Differences of sorted numbers take less room.
-                        "keys": _packed(np.diff(keys[a:b], prepend=np.uint64(0))),
-                        "sizes": _packed(np.diff(first[a:b + 1]).astype(np.int32)),
-                        "places": _packed(np.diff(places[x:y], prepend=0).astype(np.int32)),
-                        "contexts": _packed(context[x:y].astype(np.int32)),
-                    })
+            keys, pairs = np.unique(np.concatenate(hashes), return_inverse=True)
+            pairs = pairs * size + np.concatenate(before)
+            order = np.argsort(pairs, kind="stable")
+            pairs, places = pairs[order], np.concatenate(own)[order]
+            first = np.flatnonzero(np.diff(pairs, prepend=-1))
+            pairs, times = pairs[first], np.diff(first, append=len(pairs))
+            training = np.add.reduceat(~np.array(held, bool)[places], first, dtype=np.int64)
+            word, context = pairs // size, pairs % size
+            cuts = np.array([0, *np.searchsorted(keys, edges), len(keys)])
+            rows = [{"stretch": -1, "block": block, "times": _packed(times.astype(np.int32)),
+                     "places": _packed(places.astype(_place_type(len(ids)))),
+                     "doc_ids": list(ids), "held_out": list(held), "n_tokens": list(sizes)}]
+            edge = np.searchsorted(word, cuts)
+            for stretch in np.flatnonzero(np.diff(cuts)).tolist():
+                a, b, x, y = cuts[stretch], cuts[stretch + 1], edge[stretch], edge[stretch + 1]
+                rows.append({
+                    "stretch": stretch, "block": block,
+                    # Differences of sorted numbers take less room.
+                    "words": _packed(np.diff(keys[a:b], prepend=np.uint64(0))),
+                    "sizes": _packed(np.bincount(word[x:y] - a, minlength=b - a).astype(np.int32)),
+                    "contexts": _packed(context[x:y].astype(np.int32)),
+                    "counts": _packed(training[x:y].astype(np.int32)),
+                })
             yield from pa.Table.from_pylist(rows, schema).to_batches()
             block, taken = block + 1, 0
             for part in (hashes, own, before, ids, held, sizes):
@@ -239,56 +260,92 @@ def _requests(docs: DataFrame, contexts: Contexts, stretches: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(
-        work, f"stretch long, block long, {_fields(PARTS)}, {_fields(HEADS)}")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(work, _fields(kinds))
+
+
+@dataclass
+class Pairs:
+    """Pairs of words and contexts, sorted by both: hashes of the words, number of pairs of each
+    word, and of each pair the context and number of occurrences in training."""
+
+    words: np.ndarray
+    sizes: np.ndarray
+    contexts: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict[str, pa.Scalar]) -> Pairs:
+        return cls(np.cumsum(_unpacked(row["words"], np.uint64), dtype=np.uint64),
+                   *[_unpacked(row[n], np.int32) for n in ("sizes", "contexts", "counts")])
+
+    def keys(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        """One number per pair; words have the given numbers."""
+        return np.repeat(numbers.astype(np.int64), self.sizes) * size + self.contexts
+
 
+def _merged(parts: list[Pairs], size: int) -> Pairs:
+    """The pairs of all that occur in training, with the sums of their counts."""
+    words, number = np.unique(np.concatenate([p.words for p in parts]), return_inverse=True)
+    cuts = np.cumsum([len(p.words) for p in parts])[:-1]
+    some = [p.counts > 0 for p in parts]
+    keys = [p.keys(own, size)[s] for p, own, s in zip(parts, np.split(number, cuts), some, strict=True)]
+    keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([p.counts[s] for p, s in zip(parts, some, strict=True)]), len(keys))
+    sizes = np.bincount(keys // size, minlength=len(words))
+    return Pairs(words[sizes > 0], sizes[sizes > 0], keys % size, counts.astype(np.int64))
 
-GATHERED = {"blocks": "binary", "names": "binary", "types": "binary"}
+
+def _by_stretch(rows: DataFrame) -> DataFrame:
+    """All rows of a stretch in one partition, one after the other, in order of blocks."""
+    return rows.repartition("stretch").sortWithinPartitions("stretch", "block")
+
+
+GATHERED = {"stretch": "long", "all_words": "binary", "all_pairs": "binary", "all_counts": "binary", "types": "binary"}
 
 
 def _gather(requests: DataFrame, shorter: np.ndarray) -> DataFrame:
-    """One row per stretch: its occurrences of all blocks sorted by word (sizes, blocks, places,
-    contexts; a block's number counts in names) and, per context, how many occurrences in training (types: pairs of the context's
-    count and its number of different words, for contexts in order). The blocks' own rows pass."""
-    spark = requests.sparkSession
-    shared = spark.sparkContext.broadcast(shorter)
-    names = {"sizes": "binary", "places": "binary", "contexts": "binary", **GATHERED}
-    schema = pa.schema([("block", pa.int64()), *[(n, TYPES[k]) for n, k in {**names, **HEADS}.items()]])
-
-    def work(rows: pa.Table) -> pa.Table:
-        if rows["keys"][0].as_py() is None:
-            return pa.table({n: rows[n] if n in ("block", *HEADS) else pa.nulls(rows.num_rows, pa.binary())
-                             for n in schema.names}, schema)
-        # In order of blocks, so that equal runs give equal results.
-        order = np.argsort(rows["block"].to_numpy(), kind="stable")
-        keys = [np.cumsum(_unpacked(rows["keys"][i], np.uint64), dtype=np.uint64) for i in order]
-        sizes = [_unpacked(rows["sizes"][i], np.int32) for i in order]
-        places = np.concatenate([np.cumsum(_unpacked(rows["places"][i], np.int32)) for i in order])
-        context = np.concatenate([_unpacked(rows["contexts"][i], np.int32) for i in order])
-        blocks = np.repeat(np.arange(len(order), dtype=np.int32), [int(s.sum()) for s in sizes])
-        words, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        word = np.repeat(inverse, np.concatenate(sizes)).astype(np.int32)
-        by_word = np.argsort(word, kind="stable")
-        word, places, context, blocks = word[by_word], places[by_word], context[by_word], blocks[by_word]
-        stats = np.zeros((len(shared.value), 2), np.int64)
-        _, own, n = _counts(word, context, places % 2 == 0, shared.value)
-        np.add.at(stats, (own, 0), n)
-        np.add.at(stats, (own, 1), 1)
-        return pa.Table.from_pylist([{
-            "block": -1, "sizes": _packed(np.bincount(word, minlength=len(words)).astype(np.int32)),
-            "blocks": _packed(blocks), "names": _packed(rows["block"].to_numpy()[order]), "places": _packed(places.astype(np.int32)),
-            "contexts": _packed(context), "types": _packed(stats),
-        }], schema)
-
-    return requests.groupBy("stretch").applyInArrow(work, f"block long, {_fields(names)}, {_fields(HEADS)}")
-
-
-def _counts(word: np.ndarray, context: np.ndarray, training: np.ndarray, shorter: np.ndarray):
-    """(word, context, n): training occurrences of each word in all contexts that it follows,
-    the longest candidate's shorter ones and the empty one included; sorted by both."""
-    word, context = word[training].astype(np.int64), context[training].astype(np.int64)
+    """One row per stretch: its words that occur in training (all_words), their pairs with all
+    contexts, shorter ones included, with their counts, and, per context, how many occurrences and
+    different words follow it (types: two numbers for each context in order)."""
+    shared = requests.sparkSession.sparkContext.broadcast(shorter)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(shared.value)
+        parts, stretch, waiting = [], None, 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if stretch is None:
+                return
+            found = _merged(parts, size)
+            keys, n = _counts(found.keys(np.arange(len(found.words)), size), found.counts, shared.value)
+            stats = np.stack([np.bincount(keys % size, n, size).astype(np.int64),
+                              np.bincount(keys % size, minlength=size)], 1)
+            yield from pa.Table.from_pylist([{
+                "stretch": stretch, "all_words": _packed(np.diff(found.words, prepend=np.uint64(0))),
+                "all_pairs": _packed(np.diff(keys, prepend=0)), "all_counts": _packed(n), "types": _packed(stats),
+            }], _schema(GATHERED)).to_batches()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                if row["stretch"].as_py() != stretch:
+                    yield from done()
+                    parts, stretch, waiting = [], row["stretch"].as_py(), 0
+                parts.append(Pairs.read(row))
+                waiting += len(parts[-1].counts)
+                # What has been added up stands first.
+                if waiting > max(MERGE_PAIRS, len(parts[0].counts)):
+                    parts, waiting = [_merged(parts, size)], 0
+        yield from done()
+
+    return _by_stretch(requests.where("stretch >= 0").select("stretch", "block", *PARTS)).mapInArrow(
+        work, _fields(GATHERED))
+
+
+def _counts(keys: np.ndarray, n: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (word, longest candidate context) with their counts: sorted pairs of words with all
+    contexts that they follow, the shorter ones and the empty one included, and their counts."""
     size = len(shorter)
-    keys, n = np.unique(word * size + context, return_counts=True)
     every, times = [keys], [n]
     for _ in range(2):
         w, c = keys // size, keys % size
@@ -297,8 +354,7 @@ def _counts(word: np.ndarray, context: np.ndarray, training: np.ndarray, shorter
         every.append(keys)
         times.append(n)
     keys, inverse = np.unique(np.concatenate(every), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate(times)).astype(np.int64)
-    return keys // size, keys % size, n
+    return keys, np.bincount(inverse, np.concatenate(times), len(keys)).astype(np.int64)
 
 
 @dataclass
@@ -325,20 +381,20 @@ class Tree:
 
 
 class Stretch:
-    """The occurrences of a stretch's words, and their chances."""
+    """The words of a stretch of the hash range, their counts in all contexts, and their chances.
+    A word that doesn't occur in training has the number after all others."""
 
     def __init__(self, row: dict[str, pa.Scalar], tree: Tree) -> None:
         self.tree = tree
         self.size = len(tree.shorter)
-        sizes = _unpacked(row["sizes"], np.int32)
-        self.word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.context = _unpacked(row["contexts"], np.int32)
-        self.places = _unpacked(row["places"], np.int32)
-        self.blocks, self.names = _unpacked(row["blocks"], np.int32), _unpacked(row["names"], np.int64)
-        word, context, n = _counts(self.word, self.context, self.places % 2 == 0, tree.shorter)
-        self.keys, self.n = word * self.size + context, n
-        self.total = np.zeros(len(sizes), np.int64)
-        self.total[word[context == 0]] = n[context == 0]
+        self.words = np.cumsum(_unpacked(row["all_words"], np.uint64), dtype=np.uint64)
+        self.keys, self.n = np.cumsum(_unpacked(row["all_pairs"], np.int64)), _unpacked(row["all_counts"], np.int64)
+        self.total = np.zeros(len(self.words) + 1, np.int64)
+        plain = self.keys % self.size == 0
+        self.total[self.keys[plain] // self.size] = self.n[plain]
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        return _look_up64(self.words, np.arange(len(self.words)), words, len(self.words))
 
     def count(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
         return _look_up64(self.keys, self.n, word * self.size + context)
@@ -361,21 +417,15 @@ class Stretch:
         return out
 
 
-def _look_up64(keys: np.ndarray, numbers: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _look_up64(keys: np.ndarray, numbers: np.ndarray, wanted: np.ndarray, other: int = 0) -> np.ndarray:
     if not len(keys):
-        return np.zeros(len(wanted), np.int64)
+        return np.full(len(wanted), other, np.int64)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, numbers[at], 0)
-
+    return np.where(keys[at] == wanted, numbers[at], other)
 
-def _stretches(batches: Iterator[pa.RecordBatch], tree: Tree) -> Iterator[Stretch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield Stretch({n: batch.column(n)[i] for n in batch.schema.names}, tree)
 
-
-STORED = ["sizes", "places", "contexts", "blocks", "names"]
+STORED = ["all_words", "all_pairs", "all_counts"]
 
 
 def retain(gathered: DataFrame, shorter: np.ndarray, least: float = LEAST_GAIN) -> Tree:
@@ -399,66 +449,64 @@ def retain(gathered: DataFrame, shorter: np.ndarray, least: float = LEAST_GAIN)
         yield pa.RecordBatch.from_arrays(
             [pa.array(some), pa.array(total[some, 0]), pa.array(total[some, 1])], ["context", "v0", "v1"])
 
-    stored = gathered.where("block < 0")
-    counts = per_context(stored.select("types").mapInArrow(count, "context long, v0 long, v1 long"), 2).astype(np.int64)
+    counts = per_context(gathered.select("types").mapInArrow(count, "context long, v0 long, v1 long"), 2).astype(np.int64)
     tree = Tree(shorter, counts[:, 0], counts[:, 1], np.zeros(size, bool))
     tree.retained[0] = True
     shared = spark.sparkContext.broadcast(tree)
 
     def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for stretch in _stretches(batches, shared.value):
-            word, context = stretch.keys // size, stretch.keys % size
-            deep = np.flatnonzero(context > 0)
-            word, context, n = word[deep], context[deep], stretch.n[deep]
-            better = stretch.chance(word, context, without=1)
-            plain = stretch.chance(word, shared.value.shorter[context])
-            total += np.bincount(context, n * np.log(better / plain), size)
-            # Before the next one is read.
-            del stretch, word, context, deep, n, better, plain
+        for batch in batches:
+            for i in range(batch.num_rows):
+                stretch = Stretch({n: batch.column(n)[i] for n in STORED}, shared.value)
+                word, context = stretch.keys // size, stretch.keys % size
+                deep = np.flatnonzero(context > 0)
+                word, context, n = word[deep], context[deep], stretch.n[deep]
+                better = stretch.chance(word, context, without=1)
+                plain = stretch.chance(word, shared.value.shorter[context])
+                total += np.bincount(context, n * np.log(better / plain), size)
+                # Before the next one is read.
+                del stretch, word, context, deep, n, better, plain
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["context", "v0"])
 
-    gains = per_context(stored.select(*STORED).mapInArrow(gain, "context long, v0 double"), 1)[:, 0]
+    gains = per_context(gathered.select(*STORED).mapInArrow(gain, "context long, v0 double"), 1)[:, 0]
     kept = gains >= least
     kept[0] = True
     kept[np.unique(shorter[kept])] = True
     return Tree(shorter, tree.counts, tree.types, kept)
 
 
-def _parts(gathered: DataFrame, tree: Tree) -> DataFrame:
-    """(block, part, places, known, base, model): what a stretch's words add to the documents of
-    a block: known words, log10 chances of unigrams and of the tree."""
+def _parts(requests: DataFrame, gathered: DataFrame, tree: Tree) -> DataFrame:
+    """(block, stretch, totals, model): for the pairs that a block has of a stretch, in order, the
+    word's occurrences in training and its log10 chance under the tree."""
     shared = gathered.sparkSession.sparkContext.broadcast(tree)
+    kinds = {"block": "long", "stretch": "long", "totals": "binary", "model": "binary"}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for stretch in _stretches(batches, tree):
-            # Equal words after equal contexts have one chance.
-            keys = stretch.word.astype(np.int64) * stretch.size + tree.state(stretch.context)
-            keys, inverse = np.unique(keys, return_inverse=True)
-            model = np.log10(stretch.chance(keys // stretch.size, keys % stretch.size))[inverse]
-            total = stretch.total[stretch.word]
-            base = np.log10((total + 1) / tree.even)
-            order = np.argsort(stretch.blocks, kind="stable")
-            cuts = np.flatnonzero(np.diff(stretch.blocks[order], prepend=-1))
-            out = {n: [] for n in ("block", "part", "places", "known", "base", "model")}
-            for own in np.split(order, cuts[1:]) if len(order) else []:
-                place = stretch.places[own] >> 1
-                touched = np.flatnonzero(np.bincount(place))
-                out["block"].append(int(stretch.names[stretch.blocks[own[0]]]))
-                out["part"].append(int(stretch.word[own].sum()) ^ len(own))
-                out["places"].append(_packed(touched.astype(np.int32)))
-                out["known"].append(_packed(np.bincount(place, total[own] > 0)[touched].astype(np.int64)))
-                out["base"].append(_packed(np.bincount(place, base[own])[touched]))
-                out["model"].append(_packed(np.bincount(place, model[own])[touched]))
-            del stretch, keys, inverse, model, total, base, order
-            yield pa.RecordBatch.from_pydict(out, pa.schema([
-                ("block", pa.int64()), ("part", pa.int64()),
-                *[(n, pa.binary()) for n in ("places", "known", "base", "model")]]))
-
-    return gathered.where("block < 0").select(*STORED).mapInArrow(
-        work, "block long, part long, places binary, known binary, base binary, model binary")
+        state, stretch = tree.state(np.arange(len(tree.shorter))), None
+        for batch in batches:
+            out = {n: [] for n in kinds}
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                if row["all_words"].is_valid:
+                    # It stands before the stretch's requests.
+                    stretch = None
+                    stretch = Stretch(row, tree)
+                    continue
+                own = Pairs.read(row)
+                word = np.repeat(stretch.number(own.words), own.sizes)
+                out["block"].append(row["block"].as_py())
+                out["stretch"].append(row["stretch"].as_py())
+                out["totals"].append(_packed(stretch.total[word]))
+                out["model"].append(_packed(np.log10(stretch.chance(word, state[own.contexts]))))
+            yield pa.RecordBatch.from_pydict(out, _schema(kinds))
+
+    null = lambda kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    sums = gathered.select("stretch", F.lit(-1).cast("long").alias("block"), *null(PARTS), *STORED)
+    asked = requests.where("stretch >= 0").select("stretch", "block", *PARTS, *null(dict.fromkeys(STORED, "binary")))
+    return _by_stretch(sums.unionAll(asked)).mapInArrow(work, _fields(kinds))
 
 
 def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -472,33 +520,34 @@ def score(docs: DataFrame, held_out: str = "held_out", key: str = "doc_id", text
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{held_out}`"), F.lit(False)).alias("held_out"),
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    contexts, n_all = candidates(rows.where("NOT held_out"))
-    requests = _requests(rows, contexts, max(1, -(-n_all // STRETCH_WORDS)))
-    gathered = cut_lineage(_gather(requests, contexts.shorter))
-    tree = retain(gathered, contexts.shorter)
+    with shuffles_let_go(docs.sparkSession):
+        contexts, n_all = candidates(rows.where("NOT held_out"))
+        requests = cut_lineage(_requests(rows, contexts, max(1, -(-n_all // STRETCH_WORDS))))
+        gathered = cut_lineage(_gather(requests, contexts.shorter))
+        tree = retain(gathered, contexts.shorter)
+    even = tree.even
 
     def gather(rows: pa.Table) -> pa.Table:
-        head = next(i for i in range(rows.num_rows) if rows["doc_ids"][i].is_valid)
-        column = {n: rows[n][head].values for n in HEADS}
+        valid = rows["doc_ids"].is_valid().to_pylist()
+        head = valid.index(True)
+        column = {n: rows[n][head].values for n in ("doc_ids", "held_out", "n_tokens")}
         n = len(column["doc_ids"])
-        known, base, model = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        # In a fixed order, so that equal runs give equal sums.
-        for _, _, i in sorted((rows["part"][i].as_py(), rows["model"][i].as_py(), i)
-                              for i in range(rows.num_rows) if i != head):
-            places = _unpacked(rows["places"][i], np.int32)
-            known[places] += _unpacked(rows["known"][i], np.int64)
-            base[places] += _unpacked(rows["base"][i], np.float64)
-            model[places] += _unpacked(rows["model"][i], np.float64)
+        # In order of stretches the pairs are those of the block.
+        parts = sorted((i for i in range(rows.num_rows) if i != head), key=lambda i: rows["stretch"][i].as_py())
+        total = np.concatenate([_unpacked(rows["totals"][i], np.int64) for i in parts])
+        model = np.concatenate([_unpacked(rows["model"][i], np.float64) for i in parts])
+        times, places = _unpacked(rows["times"][head], np.int32), _unpacked(rows["places"][head], _place_type(n))
+        summed = lambda values: np.bincount(places, np.repeat(values, times), n)
         return pa.table({
             "doc_id": column["doc_ids"], "held_out": column["held_out"], "n_tokens": column["n_tokens"],
-            "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, n_all, np.int64)),
-            "base_score": pa.array(base), "score": pa.array(model),
+            "n_known": pa.array(summed(total > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, n_all, np.int64)),
+            "base_score": pa.array(summed(np.log10((total + 1) / even))), "score": pa.array(summed(model)),
         })
 
-    empty = {"part": "long", "places": "binary", "known": "binary", "base": "binary", "model": "binary"}
-    heads = gathered.where("block >= 0").select(
-        "block", *[F.lit(None).cast(k).alias(n) for n, k in empty.items()], *HEADS)
-    tails = _parts(gathered, tree).select("block", *empty, *[F.lit(None).cast(k).alias(n) for n, k in HEADS.items()])
+    null = lambda kinds: [F.lit(None).cast(k).alias(n) for n, k in kinds.items()]
+    told = {"totals": "binary", "model": "binary"}
+    heads = requests.where("stretch < 0").select("block", "stretch", *null(told), *HEADS)
+    tails = _parts(requests, gathered, tree).select("block", "stretch", *told, *null(HEADS))
     return heads.unionAll(tails).groupBy("block").applyInArrow(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")

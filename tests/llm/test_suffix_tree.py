@@ -130,3 +130,27 @@ def test_odd_rows(spark):
     assert s.score(docs.where("false")).collect() == []
     nothing = s.score(no_docs(spark).withColumn("held_out", F.lit(True)).unionAll(docs.withColumn("held_out", F.lit(True))))
     assert {r["train_tokens"] for r in nothing.collect()} == {0}
+
+
+def test_a_frequent_word_sends_its_contexts_not_its_places(spark):
+    texts = ["so so so so so so so so so so " * 100 for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, i == 3) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    contexts, n_all = s.candidates(docs.where("NOT held_out").repartition(1))
+    assert n_all == 39 * 1001
+    sent = s._requests(docs.repartition(1), contexts, 4).where("stretch >= 0").select("contexts").collect()
+    # The word after nothing, after itself and after two of itself, and the end.
+    assert sum(len(s._unpacked(pa.scalar(bytes(r["contexts"])), np.int32)) for r in sent) <= 4
+
+
+def test_pairs_that_are_added_up_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_BYTES", 10_000)
+    monkeypatch.setattr(s, "STRETCH_WORDS", 20_000)
+    held = lambda key: zlib.crc32(str(key).encode()) % 7 == 2
+    rows = [r[:2] for r in small_rows("documents", MIDDLE)][:250]
+    docs = spark.createDataFrame([(k, t, held(k)) for k, t in rows], "doc_id long, text string, held_out boolean").repartition(3)
+    docs = s.cut_lineage(docs)
+    at_once = {r["doc_id"]: r for r in s.score(docs).collect()}
+    monkeypatch.setattr(s, "MERGE_PAIRS", 50)
+    got = s.score(docs).collect()
+    check(got, rows, held)
+    assert [r["score"] for r in got] == pytest.approx([at_once[r["doc_id"]]["score"] for r in got], rel=1e-9)
