@@ -14,6 +14,8 @@ their texts are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,33 +45,63 @@ MOST_PLACES = 10_000
 
 def split_lines(text: Column) -> Column:
     """The lines with all that ends them; put together again they are the text."""
-    return F.split(F.coalesce(text, F.lit("")), LINE_END)
+    whole = F.coalesce(text, F.lit(""))
+    # Split at a single character, which takes no regular expression.
+    quick = F.split(_marked(whole, ends=True), MARK)
+    return F.when(F.contains(whole, F.lit(MARK)), F.split(whole, LINE_END)).otherwise(quick)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _marked(text: Column, ends: bool) -> Column:
+    """The text with a mark after each line, with or without the blank or break that ends it."""
+    def put(end: str) -> Callable[[Column], Column]:
+        marked = (end if ends else end.rstrip(BLANK)) + MARK
+        # Most texts lack some of these, and to find that out is far cheaper than to replace nothing.
+        return lambda x: F.when(F.contains(x, F.lit(end)), F.replace(x, F.lit(end), F.lit(marked))).otherwise(x)
+
+    for end in ("\n", ". ", "! ", "? ", "。", "！", "？"):
+        text = _let(text, put(end))
+    return text
 
 
 def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def _words(line: Column) -> Column:
-    """Words of a line without blanks around it, by the blanks in it if it has one every so many
+def _words(lines: Column) -> Column:
+    """Words of each line without blanks around it, by the blanks in it if it has one every so many
     bytes at least."""
-    plain = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    short = F.octet_length(line) <= FEW_BLANKS
-    return F.when(short, plain).when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
-        F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
+    # Blanks are taken out of all lines at once, unless they hold marks themselves.
+    tight = _let(F.split(F.replace(F.array_join(lines, MARK), F.lit(" "), F.lit("")), MARK), lambda t: F.when(
+        F.size(t) == F.size(lines), t).otherwise(F.transform(lines, lambda x: F.replace(x, F.lit(" "), F.lit("")))))
+
+    def count(line: Column, tight: Column) -> Column:
+        plain = F.octet_length(line) - F.octet_length(tight) + 1
+        return F.when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
+            F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
+
+    return F.zip_with(lines, tight, count)
 
 
 def bare_lines(text: Column) -> Column:
     """The lines that are not blank, without the blanks around them."""
     whole = F.coalesce(text, F.lit(""))
-    marked = whole
-    for end in ("\n", ". ", "! ", "? ", "。", "！", "？"):
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    # Marks around the text, too, so that the blanks at its begin and end go with them.
-    marked = F.concat(F.lit(MARK), marked, F.lit(MARK))
-    quick = F.array_remove(F.split(marked, rf"[{BLANK}]*{MARK}[{BLANK}{MARK}]*"), "")
-    slow = F.filter(F.transform(split_lines(whole), _bare), lambda line: line != "")
-    return F.when(F.contains(whole, F.lit(MARK)), slow).otherwise(quick)
+    # Marks around the text, too, so that what is next to a mark is next to a line's border.
+    marked = F.concat(F.lit(MARK), _marked(whole, ends=False), F.lit(MARK))
+
+    def split(marked: Column) -> Column:
+        odd = F.contains(marked, F.lit("\t")) | F.contains(marked, F.lit("\r"))
+        odd = odd | F.contains(marked, F.lit(" " + MARK)) | F.contains(marked, F.lit(MARK + " "))
+        lines = F.split(marked, MARK)
+        # Few texts have more blanks around lines than those that went with the marks.
+        return F.when(odd, F.transform(lines, _bare)).otherwise(lines)
+
+    slow = F.transform(F.split(whole, LINE_END), _bare)
+    return F.array_remove(F.when(F.contains(whole, F.lit(MARK)), slow).otherwise(_let(marked, split)), "")
 
 
 def chunk_hash(*lines: Column) -> Column:
@@ -92,7 +124,7 @@ def chunk_places(docs: DataFrame) -> DataFrame:
     Once the words of each line are counted, all is done in generated code, a line at a time, so
     that no row that is made holds the other lines of its text.
     """
-    read = docs.select("key_a", "lines", F.transform("lines", _words).alias("words"))
+    read = docs.select("key_a", "lines", _words(F.col("lines")).alias("words"))
     # The outer form, as the other is given a filter that splits all texts once more.
     read = read.select("key_a", "lines", "words", F.posexplode_outer("lines").alias("at", "line"))
     at, own = F.col("at"), F.col("line")
@@ -150,9 +182,11 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     # Rows that repeat key and text are one document: they only make more suspects. Joins here are
     # by hash: what they hold is narrow and small beside the other side, which need not be sorted.
     again = places.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1")
-    again = again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts"))
+    again = cut_lineage(again.select("chunk", F.ceil(F.col("n") / MOST_PLACES).cast("int").alias("parts")))
+    # Most chunks stand in one place; the filter rules nearly all of those out before the shuffle.
+    some = likely(places, again, "chunk").where("likely").drop("likely")
     # The places of a chunk in one text are one row from here on; all rows of a chunk are together.
-    met = places.join(again.hint("shuffle_hash"), "chunk").groupBy("key_a", "chunk", "parts").agg(
+    met = some.join(again.hint("shuffle_hash"), "chunk").groupBy("key_a", "chunk", "parts").agg(
         F.collect_set(F.struct("first", "size")).alias("spots"))
     suspects = cut_lineage(met.groupBy("key_a").agg(F.collect_list(F.struct("chunk", "parts", "spots")).alias("suspects")))
     texts = likely(own, suspects.select("key_a")).where("likely")

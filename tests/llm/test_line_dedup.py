@@ -240,3 +240,22 @@ def test_what_is_written_on_the_way_goes(spark):
             assert sum(r["n_removed"] for r in got.collect()) > 0
         assert written() == before + 1 - around
         assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+
+
+def test_lines_and_words_against_plain_rules(spark):
+    rng = random.Random(15)
+    parts = ["a", "bc d", " ", "  ", "\n", "\t", "\r\n", ". ", "! ", "? ", ".", "。", "！", "？", "é ", "漢字", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(600)]
+    texts += [text + d.MARK + text for text in texts[:100]] + ["", " ", "\n", "。", d.MARK]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bare = docs.select("doc_id", "text", d.bare_lines(F.col("text")).alias("lines"))
+    got = bare.select("doc_id", "lines", d._words(F.col("lines")).alias("words"), d.split_lines(F.col("text")).alias("split"))
+    end = re.compile(r"(?<=[\n。！？])|(?<=[.!?] )")
+    for r in got.collect():
+        pieces = end.split(texts[r["doc_id"]])
+        assert r["split"] == pieces
+        assert r["lines"] == [p.strip(d.BLANK) for p in pieces if p.strip(d.BLANK)]
+        for line, n in zip(r["lines"], r["words"], strict=True):
+            plain = line.count(" ") + 1
+            word = r"[漢字]{1,2}|[^\s 漢字]{1,20}"
+            assert n == (plain if len(line.encode()) <= d.FEW_BLANKS * plain else max(1, len(re.findall(word, line))))
