@@ -161,7 +161,7 @@ def likely(docs: DataFrame, keys: DataFrame, key: str = "key_a", name: str = "li
     size decides, FILTER_BITS at most, so it can be broadcast whatever the number of keys."""
     word, bits = (fresh_name(n, [*docs.columns, name]) for n in ("word", "bits"))
     place = lambda column: F.pmod(F.col(column), F.lit(FILTER_BITS))
-    row = lambda column: F.floor(place(column) / 64)
+    row = lambda column: F.shiftright(place(column), 6)
     bit = lambda column: F.pmod(place(column), F.lit(64)).cast("int")
     own = keys.select(row(key).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias(bits))
     own = own.groupBy(word).agg(F.bit_or(bits).alias(bits))
