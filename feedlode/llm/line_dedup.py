@@ -41,6 +41,9 @@ MARK = "\x01"
 FILTER_BITS = 1 << 26
 #: Places of one chunk that meet its first place in one task.
 MOST_PLACES = 10_000
+#: First line and number of lines of a place in one number: so many bits are the latter.
+SPOT_BITS = 16
+SPOT = 1 << SPOT_BITS
 
 
 def split_lines(text: Column) -> Column:
@@ -187,15 +190,17 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     some = likely(places, again, "chunk").where("likely").drop("likely")
     # The places of a chunk in one text are one row from here on; all rows of a chunk are together.
     met = some.join(again.hint("shuffle_hash"), "chunk").groupBy("key_a", "chunk", "parts").agg(
-        F.collect_set(F.struct("first", "size")).alias("spots"))
+        F.collect_set(F.col("first").cast("long") * SPOT + F.col("size")).alias("spots"))
     suspects = cut_lineage(met.groupBy("key_a").agg(F.collect_list(F.struct("chunk", "parts", "spots")).alias("suspects")))
     texts = likely(own, suspects.select("key_a")).where("likely")
     read = texts.join(suspects.hint("shuffle_hash"), "key_a").select("key_a", "key_b", "rank", "suspects", "doc_text")
     read = _once(read, "lines", bare_lines(F.col("doc_text")))
+    first = lambda s: F.shiftright(s, SPOT_BITS).cast("int")
+    size = lambda s: F.pmod(s, F.lit(SPOT)).cast("int")
     spelt = lambda s: F.struct(
-        F.array_join(F.slice("lines", s["first"] + 1, s["size"].cast("int")), "\n").alias("bytes"),
-        (s["first"] + 1).alias("first"), (s["first"] + s["size"]).alias("last"))
-    fits = lambda spots: F.filter(spots, lambda s: s["first"] + s["size"] <= F.size("lines"))
+        F.array_join(F.slice("lines", first(s) + 1, size(s)), "\n").alias("bytes"),
+        (first(s) + 1).alias("first"), (first(s) + size(s)).alias("last"))
+    fits = lambda spots: F.filter(spots, lambda s: first(s) + size(s) <= F.size("lines"))
     # Spelt out before they are made rows, so that no row holds the other lines of its text.
     each = read.select("key_a", "key_b", "rank", (F.size("lines") == 1).alias("alone"), F.inline(F.transform(
         "suspects", lambda x: F.struct(x["chunk"].alias("chunk"), x["parts"].alias("parts"),
@@ -205,7 +210,7 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     runs = F.transform(F.filter("spelt", lambda s: s["bytes"] == F.col("bytes")),
                        lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
     each = each.select("key_a", "key_b", "rank", "chunk", "parts", "alone", "bytes", runs.alias("runs"))
-    found = cut_lineage(each.select("key_a", "key_b", "chunk", "parts", "bytes", F.struct(
+    found = cut_lineage(each.select("chunk", "parts", "bytes", F.struct(
         F.col("rank").isNull().alias("last_null"), "rank", "key_a", "key_b",
         (F.array_min("runs.first") - 1).alias("first"), "alone").alias("place"), "runs"))
     # The first of equal bytes; the hash deals the rows out, the bytes decide.
@@ -214,12 +219,13 @@ def repeated_places(docs: DataFrame, text: str = "text", order: str = "doc_id")
     hot = found.where("parts > 1")
     firsts = hot.groupBy("chunk", "bytes").agg(F.min("place").alias("kept"), F.max("parts").alias("parts"))
     firsts = firsts.select("chunk", "bytes", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hot = hot.withColumn("part", F.pmod("key_a", "parts").cast("int")).join(firsts, ["chunk", "part", "bytes"])
-    own = ["key_a", "key_b", "place", "kept", "runs"]
+    hot = hot.withColumn("part", F.pmod("place.key_a", "parts").cast("int")).join(firsts, ["chunk", "part", "bytes"])
+    own = ["place", "kept", "runs"]
     met = usual.select(*own).unionByName(hot.select(*own))
     # All places but the first of all.
     later = F.filter("runs", lambda r: (F.col("place") != F.col("kept")) | (r["first"] > F.col("kept.first") + 1))
-    met = met.where("NOT (place <> kept AND place.alone AND kept.alone)").select("key_a", "key_b", later.alias("runs"))
+    met = met.where("NOT (place <> kept AND place.alone AND kept.alone)").select(
+        "place.key_a", "place.key_b", later.alias("runs"))
     return met.where(F.size("runs") > 0).groupBy("key_a", "key_b").agg(
         F.flatten(F.collect_list("runs")).alias("places"))
 
