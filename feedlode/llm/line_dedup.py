@@ -29,6 +29,9 @@ MIN_LINES, MIN_WORDS, LONG_LINE = 2, 10, 50
 #: places.
 LINE_END = r"(?<=[\n 。！？])(?<=\n|[.!?] |[。！？])"
 BLANK = " \t\r\n"
+#: All blanks between two lines, where they hold such an end: where they begin with it, or hold a
+#: line break further on, which is looked for from the first blank only.
+GAP = rf"[{BLANK}](?:(?<![^.!?] )(?<![\t\r])|(?=[{BLANK}])(?<![{BLANK}]{{2}})[ \t\r]*+\n)[{BLANK}]*+"
 #: What counts as a word in lines with few blanks: a stretch between white space, of a very long
 #: one every twenty characters; in scripts without spaces, two letters.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
@@ -50,7 +53,7 @@ def split_lines(text: Column) -> Column:
     """The lines with all that ends them; put together again they are the text."""
     whole = F.coalesce(text, F.lit(""))
     # Split at a single character, which takes no regular expression.
-    quick = F.split(_marked(whole, ends=True), MARK)
+    quick = F.split(_marked(whole), MARK)
     return F.when(F.contains(whole, F.lit(MARK)), F.split(whole, LINE_END)).otherwise(quick)
 
 
@@ -59,31 +62,24 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _marked(text: Column, ends: bool) -> Column:
-    """The text with a mark after each line, with or without the blank or break that ends it."""
+def _marked(text: Column) -> Column:
+    """The text with a mark after each line."""
     def put(end: str) -> Callable[[Column], Column]:
-        marked = (end if ends else end.rstrip(BLANK)) + MARK
         # Most texts lack some of these, and to find that out is far cheaper than to replace nothing.
-        return lambda x: F.when(F.contains(x, F.lit(end)), F.replace(x, F.lit(end), F.lit(marked))).otherwise(x)
+        return lambda x: F.when(F.contains(x, F.lit(end)), F.replace(x, F.lit(end), F.lit(end + MARK))).otherwise(x)
 
     for end in ("\n", ". ", "! ", "? ", "。", "！", "？"):
         text = _let(text, put(end))
     return text
 
 
-def _bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANK))
-
-
 def _words(lines: Column) -> Column:
     """Words of each line without blanks around it, by the blanks in it if it has one every so many
     bytes at least."""
-    # Blanks are taken out of all lines at once, unless they hold marks themselves.
-    tight = _let(F.split(F.replace(F.array_join(lines, MARK), F.lit(" "), F.lit("")), MARK), lambda t: F.when(
-        F.size(t) == F.size(lines), t).otherwise(F.transform(lines, lambda x: F.replace(x, F.lit(" "), F.lit("")))))
+    tight = F.transform(lines, lambda x: F.octet_length(F.replace(x, F.lit(" "), F.lit(""))))
 
     def count(line: Column, tight: Column) -> Column:
-        plain = F.octet_length(line) - F.octet_length(tight) + 1
+        plain = F.octet_length(line) - tight + 1
         return F.when(F.octet_length(line) <= FEW_BLANKS * plain, plain).otherwise(
             F.greatest(F.lit(1), F.regexp_count(line, F.lit(WORD))))
 
@@ -92,71 +88,59 @@ def _words(lines: Column) -> Column:
 
 def bare_lines(text: Column) -> Column:
     """The lines that are not blank, without the blanks around them."""
-    whole = F.coalesce(text, F.lit(""))
-    # Marks around the text, too, so that what is next to a mark is next to a line's border.
-    marked = F.concat(F.lit(MARK), _marked(whole, ends=False), F.lit(MARK))
-
-    def split(marked: Column) -> Column:
-        odd = F.contains(marked, F.lit("\t")) | F.contains(marked, F.lit("\r"))
-        odd = odd | F.contains(marked, F.lit(" " + MARK)) | F.contains(marked, F.lit(MARK + " "))
-        lines = F.split(marked, MARK)
-        # Few texts have more blanks around lines than those that went with the marks.
-        return F.when(odd, F.transform(lines, _bare)).otherwise(lines)
-
-    slow = F.transform(F.split(whole, LINE_END), _bare)
-    return F.array_remove(F.when(F.contains(whole, F.lit(MARK)), slow).otherwise(_let(marked, split)), "")
+    some, broken = F.lit(False), text
+    for end in "。！？":
+        some = some | F.contains(text, F.lit(end))
+        broken = F.replace(broken, F.lit(end), F.lit(end + "\n"))
+    # Most texts lack these ends, and to find that out is far cheaper than to replace nothing.
+    whole = F.coalesce(F.when(some, broken).otherwise(text), F.lit(""))
+    return F.array_remove(F.split(F.concat(F.lit("\n"), whole, F.lit("\n")), GAP), "")
 
 
 def chunk_hash(*lines: Column) -> Column:
     return F.xxhash64(*lines)
 
 
-def _first_enough(sums: list[Column]) -> Column:
-    """The number of lines, from two on, whose sum of words is the first that is enough."""
-    found = F.lit(None).cast("int")
-    for i, total in reversed(list(enumerate(sums))):
-        found = F.when(total >= MIN_WORDS, i + 2).otherwise(found)
-    return found
-
-
 def chunk_places(docs: DataFrame) -> DataFrame:
     """(key_a, first, size, chunk) of (key_a, lines): the shortest passage from each line on, and
     the shortest up to each line where that is none of the others, with a hash of its lines. Lines
     are counted from 0.
 
     Once the words of each line are counted, all is done in generated code, a line at a time, so
-    that no row that is made holds the other lines of its text.
+    that no row that is made holds the other lines of its text. That code is kept short, as long
+    code is compiled badly or not at all.
     """
     read = docs.select("key_a", "lines", _words(F.col("lines")).alias("words"))
     # The outer form, as the other is given a filter that splits all texts once more.
     read = read.select("key_a", "lines", "words", F.posexplode_outer("lines").alias("at", "line"))
-    at, own = F.col("at"), F.col("line")
+    at = F.col("at")
     word = lambda i: F.get("words", at + i)
-    # As many lines as words are always enough.
-    ahead, behind = [word(0) + word(1)], [word(0) + word(1)]
-    for i in range(2, MIN_WORDS):
-        ahead.append(ahead[-1] + word(i))
-        behind.append(behind[-1] + F.when(at >= i - 1, word(1 - i)))
-    read = read.select("key_a", "lines", "at", "line", word(0).alias("w"), word(1).alias("w_next"),
-                       _first_enough(ahead).alias("onward"), _first_enough(behind).alias("back"),
-                       *[total.alias(f"back_{i + 2}") for i, total in enumerate(behind)])
-    w, w_next, onward, back = F.col("w"), F.col("w_next"), F.col("onward"), F.col("back")
-    pair = chunk_hash(own, F.get("lines", at + 1))
-    some = lambda first, n: chunk_hash(F.slice("lines", first + 1, n))
-    own_chunk = (F.when(w >= LONG_LINE, chunk_hash(own)).when(onward == 2, pair)
-                 .when(onward.isNotNull(), some(at, onward)))
-    # Up to the next line: without it those are a passage, too, so none that starts there ends here.
-    total = F.lit(None).cast("int")
-    for i in range(len(behind) - 1, 0, -1):
-        total = F.when(back == i + 2, F.col(f"back_{i + 2}")).otherwise(total)
-    up_to = F.when(w_next < LONG_LINE, F.when(w >= LONG_LINE, pair).when(
-        (back > 2) & (total - w_next >= MIN_WORDS), some(at + 2 - back, back)))
-    row = lambda first, size, chunk: F.struct(first.alias("first"), size.cast("short").alias("size"), chunk.alias("chunk"))
-    one = F.lit(1)
-    runs = read.select("key_a", F.inline(F.array(
-        row(at, F.when(w >= LONG_LINE, one).otherwise(onward), own_chunk),
-        row(F.when(w >= LONG_LINE, at).otherwise(at + 2 - back), F.when(w >= LONG_LINE, one + 1).otherwise(back), up_to))))
-    return runs.where("chunk IS NOT NULL")
+    # Words of so many lines from this one on, and up to this one; null beyond the text. As many
+    # lines as words are always enough.
+    read = read.select("key_a", "lines", "words", "at", word(0).alias("on_1"), word(0).alias("up_1"), word(1).alias("w_next"))
+    for n in range(2, MIN_WORDS + 1):
+        read = read.select("*", (F.col(f"on_{n - 1}") + word(n - 1)).alias(f"on_{n}"),
+                           (F.col(f"up_{n - 1}") + word(1 - n)).alias(f"up_{n}"))
+    w, w_next = F.col("on_1"), F.col("w_next")
+    onward = up_to = F.lit(None).cast("int")
+    for n in range(MIN_WORDS, 1, -1):
+        onward = F.when(F.col(f"on_{n}") >= MIN_WORDS, n).otherwise(onward)
+        # Up to the next line: without it those are a passage, too, so none that starts there ends here.
+        longer = F.when(F.col(f"up_{n - 1}") + w_next < MIN_WORDS, n + 1)
+        up_to = F.when(F.col(f"up_{n}") >= MIN_WORDS, longer).otherwise(up_to)
+    onward = F.when(w >= LONG_LINE, 1).otherwise(onward)
+    up_to = F.when(w_next < LONG_LINE, F.when(w >= LONG_LINE, 2).otherwise(up_to))
+    # Most lines have but the first of both.
+    one = (w < LONG_LINE) & (F.col("on_2") >= MIN_WORDS)
+    ends = F.explode(F.when(one, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))
+    runs = read.select("key_a", "lines", "at", w.alias("w"), onward.alias("onward"), up_to.alias("up_to"), ends.alias("ends"))
+    runs = runs.select("key_a", "lines", F.when(F.col("ends") & (F.col("w") < LONG_LINE), at + 2 - F.col("up_to")).otherwise(at)
+                       .alias("first"), F.when(F.col("ends"), F.col("up_to")).otherwise(F.col("onward")).alias("size"))
+    first, size = F.col("first"), F.col("size")
+    line = lambda i: F.get("lines", first + i)
+    chunk = (F.when(size == 2, chunk_hash(line(0), line(1))).when(size == 1, chunk_hash(line(0)))
+             .otherwise(chunk_hash(F.slice("lines", first + 1, size))))
+    return runs.where("size IS NOT NULL").select("key_a", "first", size.cast("short").alias("size"), chunk.alias("chunk"))
 
 
 def likely(docs: DataFrame, keys: DataFrame, key: str = "key_a", name: str = "likely") -> DataFrame:
@@ -264,7 +248,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id",
     split = F.when(F.col(places).isNotNull(), split_lines(F.col(f"`{text}`")))
     spread = _once(joined, lines, split)
     # Places are counted among lines that are not blank: the number of each of those.
-    bare = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"[^{BLANK}]"), i + 1)), lambda i: i.isNotNull())
+    # Nearly all begin with a byte beyond the blanks, which is quick to see.
+    holds = lambda x: (x >= F.lit("!")) | x.rlike(rf"[^{BLANK}]")
+    bare = F.filter(F.transform(lines, lambda x, i: F.when(holds(x), i + 1)), lambda i: i.isNotNull())
     spread = _once(spread, numbers, bare)
     gone = F.flatten(F.transform(F.col(places), lambda p: F.sequence(
         F.element_at(numbers, p["first"]), F.element_at(numbers, p["last"]))))

@@ -259,3 +259,29 @@ def test_lines_and_words_against_plain_rules(spark):
             plain = line.count(" ") + 1
             word = r"[漢字]{1,2}|[^\s 漢字]{1,20}"
             assert n == (plain if len(line.encode()) <= d.FEW_BLANKS * plain else max(1, len(re.findall(word, line))))
+
+
+def test_lines_are_split_in_generated_code(spark):
+    docs = spark.createDataFrame([(1, "One line. And\none more.")], "key_a long, text string")
+    lines = docs.select("key_a", d.bare_lines(F.col("text")).alias("lines"))
+    # A function over the values of an array is worked out by an interpreter, value by value.
+    assert "lambda" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    code = d.chunk_places(lines)._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    # Methods of more than 8,000 bytes are not compiled, and long ones badly.
+    assert max(sizes) < 6500
+
+
+def test_blanks_around_lines(spark):
+    texts = {
+        " a.  b \t\n\n c.\t d": ["a.", "b", "c.\t d"], "a \t b\r\n\r\n": ["a \t b"], ".\t \n. ": [".", "."], "a.": ["a."],
+        " \n": [], None: [], "a。 b！ \n c": ["a。", "b！", "c"], "\x01 a. \x01": ["\x01 a.", "\x01"], "\u00a0 . b": ["\u00a0 .", "b"],
+        # Time in proportion to the blanks.
+        "a" + " " * 400_000 + "b": ["a" + " " * 400_000 + "b"], "a" + " \t" * 200_000 + "\n b": ["a", "b"],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = docs.select("doc_id", d.bare_lines(F.col("text")).alias("lines"), d.split_lines(F.col("text")).alias("split"))
+    for r in read.collect():
+        text = list(texts)[r["doc_id"]]
+        assert r["lines"] == texts[text]
+        assert r["split"] == re.split(r"(?<=[\n。！？])|(?<=[.!?] )", text or "")
